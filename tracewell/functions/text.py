@@ -5,34 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def csv_text(value: Column, data_type: str = "double") -> Column:
-    """Cell text of one value; NULL becomes the empty string.
-
-    Floating point values are written with the fewest digits that read back to the same
-    number, positional from 1e-4 up to 1e16 and as ``1e+16`` / ``1e-05`` beyond.
-    """
-    if data_type in ("double", "float"):
-        text = _shortest_float_text(value.cast("double"))
-    elif data_type == "boolean":
-        text = F.when(value, F.lit("True")).when(~value, F.lit("False"))
-    else:
-        text = value.cast("string")
-    return F.coalesce(text, F.lit(""))
-
-
-def _shortest_float_text(v: Column) -> Column:
+def shortest_scientific(v: Column) -> Column:
+    """``d.ddde±xx`` text with the fewest of 15, 16 or 17 digits that reads back to ``v``."""
     digits15, digits16, digits17 = (F.format_string(f"%.{n}e", v) for n in (14, 15, 16))
-    sci = (
+    return (
         F.when(digits15.cast("double") == v, digits15)
         .when(digits16.cast("double") == v, digits16)
         .otherwise(digits17)
     )
-    mantissa = F.substring_index(sci, "e", 1)
-    exponent = F.substring_index(sci, "e", -1).cast("int")
-    sign = F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    kept = F.rtrim(F.regexp_replace(mantissa, "[-.]", ""), F.lit("0"))
-    digits = F.when(kept == "", F.lit("0")).otherwise(kept)
 
+
+def scientific_digits(scientific: Column) -> Column:
+    """Significant digits of :func:`shortest_scientific` text, at least one."""
+    mantissa = F.substring_index(scientific, "e", 1)
+    kept = F.rtrim(F.translate(mantissa, "-.", ""), F.lit("0"))
+    return F.when(kept == "", F.lit("0")).otherwise(kept)
+
+
+def scientific_exponent(scientific: Column) -> Column:
+    return F.substring_index(scientific, "e", -1).cast("int")
+
+
+def float_text(v: Column, digits: Column, exponent: Column) -> Column:
+    """Positional text from 1e-4 up to 1e16, ``1e+16`` / ``1e-05`` beyond; NULL stays NULL."""
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
     whole_len = exponent + 1
     at_or_above_one = F.when(
         F.length(digits) <= whole_len, F.concat(F.rpad(digits, whole_len, F.lit("0")), F.lit(".0"))
@@ -52,16 +48,19 @@ def _shortest_float_text(v: Column) -> Column:
         F.format_string("%02d", F.abs(exponent)),
     )
     return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(v), F.lit("nan"))
+        F.when(F.isnan(v), F.lit("nan"))
         .when(v == float("inf"), F.lit("inf"))
         .when(v == float("-inf"), F.lit("-inf"))
         .when((exponent < -4) | (exponent >= 16), F.concat(sign, scientific))
         .when(exponent < 0, F.concat(sign, below_one))
-        .otherwise(F.concat(sign, at_or_above_one))
+        .when(exponent >= 0, F.concat(sign, at_or_above_one))
     )
 
 
+def boolean_text(value: Column) -> Column:
+    return F.when(value, F.lit("True")).when(~value, F.lit("False"))
+
+
 def display_label(name: Column, units: Column) -> Column:
     """``name (units)``, or the bare name when there are no units."""
     return F.when(

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.functions.text import csv_text
+from tracewell.functions.text import (
+    boolean_text,
+    float_text,
+    scientific_digits,
+    scientific_exponent,
+    shortest_scientific,
+)
 from tracewell.functions.time import iso_text
 
 
@@ -30,16 +36,34 @@ def align_wide(result: DataFrame, tools: list[str], time_column: str = "bucket")
 
 
 def as_csv_text(rows: DataFrame) -> DataFrame:
-    """Every cell as the text the CSV sinks write; timestamps in ISO-8601 UTC."""
+    """Every cell as the text the CSV sinks write; NULL becomes the empty string.
+
+    Timestamps are ISO-8601 UTC. Floating point text is built in three projections, so that
+    the digits found by the first are computed once and not wherever they are used.
+    """
+    kinds = {field.name: field.dataType.typeName() for field in rows.schema.fields}
+    floats = {name: i for i, name in enumerate(kinds) if kinds[name] in ("double", "float")}
+    values = {name: _quoted(name).cast("double") for name in floats}
+    found = rows.withColumns(
+        {f"__sci_{i}": shortest_scientific(values[name]) for name, i in floats.items()}
+    )
+    split = found.withColumns(
+        {f"__digits_{i}": scientific_digits(F.col(f"__sci_{i}")) for i in floats.values()}
+        | {f"__exp_{i}": scientific_exponent(F.col(f"__sci_{i}")) for i in floats.values()}
+    )
     cells = []
-    for field in rows.schema.fields:
-        kind = field.dataType.typeName()
-        if kind.startswith("timestamp"):
-            cell = F.coalesce(iso_text(_quoted(field.name)), F.lit(""))
+    for name, kind in kinds.items():
+        if name in floats:
+            i = floats[name]
+            text = float_text(values[name], F.col(f"__digits_{i}"), F.col(f"__exp_{i}"))
+        elif kind.startswith("timestamp"):
+            text = iso_text(_quoted(name))
+        elif kind == "boolean":
+            text = boolean_text(_quoted(name))
         else:
-            cell = csv_text(_quoted(field.name), kind)
-        cells.append(cell.alias(field.name))
-    return rows.select(*cells)
+            text = _quoted(name).cast("string")
+        cells.append(F.coalesce(text, F.lit("")).alias(name))
+    return split.select(*cells)
 
 
 def _quoted(column: str) -> Column:

@@ -32,6 +32,14 @@ def tool_groups(entries: DataFrame) -> DataFrame:
     )
 
 
+def latest_categories(categories: DataFrame) -> DataFrame:
+    """The last entry per category id."""
+    last = F.max_by(F.struct("name", "parent_id"), F.struct("ord", "pos")).alias("c")
+    return categories.groupBy("category_id").agg(last).select(
+        "category_id", "c.name", "c.parent_id"
+    )
+
+
 def process_groups(groups: DataFrame) -> DataFrame:
     return groups.select("prc_group_id").distinct()
 

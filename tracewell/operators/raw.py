@@ -82,15 +82,22 @@ def total_order(rows: DataFrame, order: str = "asc") -> list[Column]:
     return [first, F.col("tool_id").asc(), *[_quoted(c).asc() for c in rest]]
 
 
-def page(rows: DataFrame, *, offset: int, limit: int, order: str = "asc") -> DataFrame:
+def page(
+    rows: DataFrame,
+    *,
+    offset: int,
+    limit: int,
+    order: str = "asc",
+    direct_rows: int = DIRECT_PAGE_ROWS,
+) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the total order.
 
     A shallow page is one distributed top-k. For a deep one, counts per day, then hour, minute
     and so on move the start of the scan close to the page before the top-k runs.
     """
-    if offset + limit <= DIRECT_PAGE_ROWS:
+    if offset + limit <= direct_rows:
         return rows.orderBy(*total_order(rows, order)).offset(offset).limit(limit)
-    held, skipped = _seek(rows, offset, limit, order)
+    held, skipped = _seek(rows, offset, limit, order, direct_rows)
     return held.orderBy(*total_order(rows, order)).offset(offset - skipped).limit(limit)
 
 
@@ -106,7 +113,9 @@ def page_after(
     return rows.where(reach).where(beyond | same).orderBy(*total_order(rows, order)).limit(limit)
 
 
-def _seek(rows: DataFrame, offset: int, limit: int, order: str) -> tuple[DataFrame, int]:
+def _seek(
+    rows: DataFrame, offset: int, limit: int, order: str, direct_rows: int
+) -> tuple[DataFrame, int]:
     """Cut ``rows`` to a stretch of the order that starts close before the page.
 
     Returns the stretch and the number of rows before it. Every step counts only inside the one
@@ -139,7 +148,7 @@ def _seek(rows: DataFrame, offset: int, limit: int, order: str) -> tuple[DataFra
             high, low = slot_high, last_slot or low
         else:
             low, high = slot_low, last_slot + width if last_slot else high
-        if last - skipped <= DIRECT_PAGE_ROWS:
+        if last - skipped <= direct_rows:
             return rows.where(in_range(F.col("ts"), low, high)), skipped
     # Only rows sharing one timestamp are left to skip: skip whole tools among them.
     at_start = F.col("ts") == utc_literal(slot_low)

@@ -26,16 +26,19 @@ def by_name() -> list[Column]:
 
 def tool_sensor_pairs(sets: DataFrame) -> DataFrame:
     """Every tool with every sensor of a set, from the set's own arrays."""
-    canonical = F.transform(
-        "sensors_canonical", lambda s: F.struct(F.lit("canonical").alias("kind"), s.alias("sensor"))
+    per_tool = sets.select(
+        "set_id",
+        F.explode("tools").alias("tool_id"),
+        F.size("sensors_canonical").alias("n_canonical"),
+        F.concat("sensors_canonical", "sensors_raw").alias("names"),
     )
-    raw = F.transform(
-        "sensors_raw", lambda s: F.struct(F.lit("raw").alias("kind"), s.alias("sensor"))
-    )
-    return (
-        sets.select("set_id", F.explode("tools").alias("tool_id"), F.concat(canonical, raw).alias("s"))
-        .select("set_id", "tool_id", F.explode("s").alias("s"))
-        .select("set_id", "tool_id", "s.kind", "s.sensor")
+    return per_tool.select(
+        "set_id", "tool_id", "n_canonical", F.posexplode("names").alias("ord", "sensor")
+    ).select(
+        "set_id",
+        "tool_id",
+        F.when(F.col("ord") < F.col("n_canonical"), "canonical").otherwise("raw").alias("kind"),
+        "sensor",
     )
 
 

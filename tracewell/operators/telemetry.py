@@ -113,4 +113,4 @@ def seconds_since_last_exit(
 
 def _seconds_between(start: Column, end: Column) -> Column:
     micros = epoch_micros(end) - epoch_micros(start)
-    return F.bround(F.greatest(micros, F.lit(0)) / 1_000_000, 3)
+    return F.bround(F.when(micros < 0, 0).otherwise(micros) / 1_000_000, 3)

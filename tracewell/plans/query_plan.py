@@ -17,26 +17,22 @@ def expand_selection(selections: DataFrame) -> DataFrame:
 
     ``ord`` is the place of the sensor in the request: raw names first, then canonical ones.
     """
-    raw = F.transform(
-        "sensors_raw",
-        lambda name, i: F.struct(name.alias("name"), F.lit("raw").alias("source"), i.alias("ord")),
-    )
-    canonical = F.transform(
-        "sensors_canonical",
-        lambda name, i: F.struct(
-            name.alias("name"),
-            F.lit("canonical").alias("source"),
-            (i + F.size("sensors_raw")).alias("ord"),
-        ),
-    )
     per_tool = selections.select(
         "selection_id",
         F.posexplode("tools").alias("tool_ord", "tool_id"),
-        F.concat(raw, canonical).alias("wanted"),
+        F.size("sensors_raw").alias("n_raw"),
+        F.concat("sensors_raw", "sensors_canonical").alias("names"),
     )
     return per_tool.select(
-        "selection_id", "tool_id", "tool_ord", F.explode("wanted").alias("w")
-    ).select("selection_id", "tool_id", "tool_ord", "w.name", "w.source", "w.ord")
+        "selection_id", "tool_id", "tool_ord", "n_raw", F.posexplode("names").alias("ord", "name")
+    ).select(
+        "selection_id",
+        "tool_id",
+        "tool_ord",
+        "name",
+        F.when(F.col("ord") < F.col("n_raw"), "raw").otherwise("canonical").alias("source"),
+        "ord",
+    )
 
 
 def resolve_columns(wanted: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from tracewell.sources.readings import (
     read_table,
 )
 from tracewell.sources.sinks import (
+    read_partitioned,
     write_chart_csv,
-    write_hourly,
+    write_partitioned,
     write_report_json,
     write_table_csv,
 )
@@ -33,12 +34,13 @@ __all__ = [
     "parse_sensors",
     "parse_tool_groups",
     "read_by_index",
+    "read_partitioned",
     "read_readings",
     "read_table",
     "scan_index",
     "sensor_catalog",
     "write_chart_csv",
-    "write_hourly",
+    "write_partitioned",
     "write_report_json",
     "write_table_csv",
 ]
