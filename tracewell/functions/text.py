@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def shortest_scientific(v: Column) -> Column:
-    """``d.ddde±xx`` text with the fewest of 15, 16 or 17 digits that reads back to ``v``."""
+def scientific_text(v: Column) -> Column:
+    """Shortest ``d.ddde±xx`` text of values below 1e-3 or from 1e7 on; NULL for all others.
+
+    In between, the engine's own number text is already the shortest positional one. Its text
+    of large numbers can carry needless digits, so there fewer digits are tried first.
+    """
     digits15, digits16, digits17 = (F.format_string(f"%.{n}e", v) for n in (14, 15, 16))
+    size = F.abs(v)
     return (
-        F.when(digits15.cast("double") == v, digits15)
-        .when(digits16.cast("double") == v, digits16)
+        F.when((size == 0) | (size >= 1e-3) & (size < 1e7), F.lit(None).cast("string"))
+        .when(size < 1e-3, F.lower(v.cast("string")))
+        .when(digits15.try_cast("double") == v, digits15)
+        .when(digits16.try_cast("double") == v, digits16)
         .otherwise(digits17)
     )
 
 
 def scientific_digits(scientific: Column) -> Column:
-    """Significant digits of :func:`shortest_scientific` text, at least one."""
+    """Significant digits of :func:`scientific_text`, at least one."""
     mantissa = F.substring_index(scientific, "e", 1)
     kept = F.rtrim(F.translate(mantissa, "-.", ""), F.lit("0"))
     return F.when(kept == "", F.lit("0")).otherwise(kept)
 
 
 def scientific_exponent(scientific: Column) -> Column:
-    return F.substring_index(scientific, "e", -1).cast("int")
+    return F.substring_index(scientific, "e", -1).try_cast("int")
 
 
 def float_text(v: Column, digits: Column, exponent: Column) -> Column:
@@ -51,9 +58,10 @@ def float_text(v: Column, digits: Column, exponent: Column) -> Column:
         F.when(F.isnan(v), F.lit("nan"))
         .when(v == float("inf"), F.lit("inf"))
         .when(v == float("-inf"), F.lit("-inf"))
+        .when(exponent.isNull(), v.cast("string"))
         .when((exponent < -4) | (exponent >= 16), F.concat(sign, scientific))
         .when(exponent < 0, F.concat(sign, below_one))
-        .when(exponent >= 0, F.concat(sign, at_or_above_one))
+        .otherwise(F.concat(sign, at_or_above_one))
     )
 
 

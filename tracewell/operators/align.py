@@ -9,7 +9,7 @@ from tracewell.functions.text import (
     float_text,
     scientific_digits,
     scientific_exponent,
-    shortest_scientific,
+    scientific_text,
 )
 from tracewell.functions.time import iso_text
 
@@ -45,7 +45,7 @@ def as_csv_text(rows: DataFrame) -> DataFrame:
     floats = {name: i for i, name in enumerate(kinds) if kinds[name] in ("double", "float")}
     values = {name: _quoted(name).cast("double") for name in floats}
     found = rows.withColumns(
-        {f"__sci_{i}": shortest_scientific(values[name]) for name, i in floats.items()}
+        {f"__sci_{i}": scientific_text(values[name]) for name, i in floats.items()}
     )
     split = found.withColumns(
         {f"__digits_{i}": scientific_digits(F.col(f"__sci_{i}")) for i in floats.values()}
