@@ -77,5 +77,5 @@ def display_label(name: Column, units: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Caseless form for matching. Upper then lower expands letters such as the German sharp s."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Caseless form for matching: lower case, final sigma as sigma, German sharp s as ``ss``."""
+    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
