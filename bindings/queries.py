@@ -138,6 +138,24 @@ def downsample_canonical(spark, sf_dir):
     return rounded(downsample.downsample_plan(t.long(spark, sf_dir), plan, 3600), "avg")
 
 
+@query
+def downsample_wanted(spark, sf_dir):
+    wanted = {
+        "tool_0": ["l_tax", "l_quantity"],
+        "tool_3": ["l_discount", "absent"],
+        "tool_5": ["l_quantity", "l_tax"],
+        "tool_9": ["l_tax"],
+    }
+    return rounded(downsample.downsample_wanted(t.wide(spark, sf_dir), wanted, 86400), "avg")
+
+
+@query
+def downsample_index_extent(spark, sf_dir):
+    extents = index.tool_extents(t.file_index(spark, sf_dir))
+    readings = downsample.to_long(t.wide(spark, sf_dir), ["l_quantity", "l_tax"])
+    return rounded(downsample.downsample_extent(readings, 500, extents), "avg")
+
+
 @query
 def downsample_from_files(spark, sf_dir):
     files = index_of(scan_files(spark, sf_dir, ("ts", "l_shipdate")))

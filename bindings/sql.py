@@ -245,6 +245,17 @@ _BODIES = {
     ),
     "downsample_wide": _wide_buckets(EVENT_SENSORS, "1 hour", "sparse"),
     "downsample_canonical": _long_buckets("1 hour", "JOIN signals USING (tool_id, sensor)"),
+    "downsample_wanted": """SELECT tool_id, sensor, bucket, round(avg, 6) AS avg, min, max FROM series
+        WHERE (tool_id IN ('tool_0', 'tool_5') AND sensor IN ('l_tax', 'l_quantity'))
+           OR (tool_id = 'tool_3' AND sensor = 'l_discount')""",
+    "downsample_index_extent": """SELECT tool_id, sensor, width,
+        time_bucket(to_seconds(width), ts) AS bucket, round(avg(value), 6) AS avg,
+        min(value) AS min, max(value) AS max, count(value) AS n
+        FROM (SELECT tool_id, ts, 'l_quantity' AS sensor, l_quantity AS value FROM wide
+              UNION ALL SELECT tool_id, ts, 'l_tax', l_tax FROM wide)
+        JOIN (SELECT tool_id, greatest(1, round_even(
+            (epoch_us(max(max_ts)) - epoch_us(min(min_ts))) / 1000000 / 500, 0))::BIGINT AS width
+            FROM file_index WHERE NOT archived GROUP BY tool_id) USING (tool_id) GROUP BY ALL""",
     "downsample_from_files": """SELECT tool_id, time_bucket(INTERVAL '1 day', ts) AS bucket,
         round(avg(l_quantity), 6) AS l_quantity_avg, min(l_quantity) AS l_quantity_min,
         max(l_quantity) AS l_quantity_max, round(avg(value), 6) AS value_avg,

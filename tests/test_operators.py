@@ -31,6 +31,17 @@ def test_nulls_nans_and_empty_selection(spark):
     assert downsample.downsample(rows, [], 60).count() == 0
 
 
+def test_sensor_groups_join_to_the_same_result(spark, monkeypatch):
+    rows = readings(spark, [(f"t{i % 2}", START + timedelta(seconds=i), float(i), -float(i)) for i in range(100)])
+    names = {"a": "odd {name}", "b": "tick`s"}
+    rows = rows.withColumnsRenamed(names)
+    whole = {tuple(r) for r in downsample.downsample(rows, list(names.values()), 7).collect()}
+    monkeypatch.setattr(downsample, "SENSORS_PER_AGGREGATE", 1)
+    split = downsample.downsample(rows, list(names.values()), 7)
+    assert {tuple(r) for r in split.collect()} == whole and len(whole) == 30
+    assert split.columns[:5] == ["tool_id", "bucket", "odd {name}_avg", "odd {name}_min", "odd {name}_max"]
+
+
 def test_range_is_half_open_and_first_label_may_precede_it(spark):
     rows = readings(spark, [("t", START + timedelta(seconds=s), float(s), None) for s in range(0, 30)])
     got = downsample.downsample(rows, ["a"], 10, start=START + timedelta(seconds=5), end=START + timedelta(seconds=25))

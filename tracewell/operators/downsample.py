@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.time import bucket_start, bucket_start_by, in_range
 from tracewell.plans.resolution import bucket_seconds, extent_seconds_column
-from tracewell.session import inline_if_small
+from tracewell.session import inline_if_small, rows_if_few
+
+# Four buffers per sensor stay below the field limit set in ``tracewell.session``.
+SENSORS_PER_AGGREGATE = 120
+MAX_TOOLS_IN_FILTER = 1_000
 
 
 def downsample(
@@ -22,16 +27,38 @@ def downsample(
 ) -> DataFrame:
     """Wide result ``keys, bucket, {sensor}_avg, {sensor}_min, {sensor}_max``.
 
-    All tools go through one hash aggregate: rows shrink to one per tool and bucket on the map
-    side, so a tool holding a third of the readings costs no more shuffle than any other.
+    All tools go through the same hash aggregate: rows shrink to one per tool and bucket on the
+    map side, so a tool holding a third of the readings costs no more shuffle than any other.
+
+    Tools with very many sensors are aggregated in groups that generated code can hold, each
+    reading its own columns, and put side by side on the bucket. The groups are partitioned
+    alike, so this join of small results adds no shuffle.
     """
-    bucket = bucket_start(F.col("ts"), width_seconds)
-    scoped = readings.where(in_range(F.col("ts"), start, end)).select(
-        *keys, bucket.alias("bucket"), *map(_quoted, sensors)
+    scoped = readings.where(in_range(F.col("ts"), start, end)).withColumn(
+        "bucket", bucket_start(F.col("ts"), width_seconds)
     )
     if not sensors:
-        return scoped.where(F.lit(False))
-    return scoped.groupBy(*keys, "bucket").agg(*_wide_aggregates(sensors))
+        return scoped.select(*keys, "bucket").where(F.lit(False))
+    groups = [
+        sensors[i : i + SENSORS_PER_AGGREGATE]
+        for i in range(0, len(sensors), SENSORS_PER_AGGREGATE)
+    ]
+    parts = [_aggregate(scoped, keys, group) for group in groups]
+    return reduce(lambda left, right: left.join(right, [*keys, "bucket"]), parts)
+
+
+def _aggregate(scoped: DataFrame, keys: tuple[str, ...], sensors: list[str]) -> DataFrame:
+    """One group's aggregate as SQL text: a single call however many columns there are."""
+    key_list = ", ".join([*map(_name, keys), "bucket"])
+    cells = ", ".join(
+        f"{function}({_name(s)}) AS {_name(f'{s}_{function}')}"
+        for s in sensors
+        for function in ("avg", "min", "max")
+    )
+    return scoped.sparkSession.sql(
+        f"SELECT {_braced(key_list)}, {_braced(cells)} FROM {{rows}} GROUP BY {_braced(key_list)}",
+        rows=scoped,
+    )
 
 
 def downsample_auto(
@@ -57,19 +84,22 @@ def downsample_long(
     return scoped.groupBy(*keys, "bucket").agg(*_long_aggregates())
 
 
-def downsample_extent(readings: DataFrame, points: int) -> DataFrame:
+def downsample_extent(
+    readings: DataFrame, points: int, extents: DataFrame | None = None
+) -> DataFrame:
     """Each tool over its own full extent, at ``max(1, round(span / points))`` seconds.
 
-    The extents are one row per tool. They are inlined when proven few, so the readings are
-    not shuffled for the look-up.
+    ``extents`` holds ``tool_id, earliest, latest``; pass the file index's ``tool_extents`` to
+    spare the pass over the readings that finds them otherwise. It is one row per tool, inlined
+    when proven few, so the readings are not shuffled for the look-up.
     """
-    extents = (
-        readings.groupBy("tool_id")
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .select(
-            "tool_id",
-            extent_seconds_column(F.col("first_ts"), F.col("last_ts"), points).alias("width"),
+    if extents is None:
+        extents = readings.groupBy("tool_id").agg(
+            F.min("ts").alias("earliest"), F.max("ts").alias("latest")
         )
+    extents = extents.select(
+        "tool_id",
+        extent_seconds_column(F.col("earliest"), F.col("latest"), points).alias("width"),
     )
     bucketed = readings.join(inline_if_small(extents), "tool_id").select(
         "tool_id",
@@ -99,17 +129,46 @@ def downsample_plan(
 ) -> DataFrame:
     """Down-sample exactly the ``(tool_id, raw_name)`` pairs of a resolved plan, in one job.
 
-    The pairs filter the bucketed rows before the aggregate. They are inlined when few.
+    The pairs filter the rows before the aggregate. They are inlined when few.
     """
-    pairs = inline_if_small(
-        plan.select("tool_id", F.col("raw_name").alias("sensor")).distinct()
-    )
+    pairs = plan.select("tool_id", F.col("raw_name").alias("sensor")).distinct()
+    few = rows_if_few(pairs)
+    if few is not None:
+        pairs = readings.sparkSession.createDataFrame(few, pairs.schema)
+        tools = sorted({row["tool_id"] for row in few})
+        if len(tools) <= MAX_TOOLS_IN_FILTER:
+            # A plain filter prunes the folders of all other tools; a join does not.
+            readings = readings.where(F.col("tool_id").isin(tools))
     wanted = readings.where(in_range(F.col("ts"), start, end)).join(
         pairs, ["tool_id", "sensor"], "left_semi"
     )
     return downsample_long(wanted, width_seconds)
 
 
+def downsample_wanted(
+    readings: DataFrame,
+    wanted: dict[str, list[str]],
+    width_seconds: int,
+    *,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+) -> DataFrame:
+    """Series of wide readings for each tool's own sensor list, all tools in one job.
+
+    Sensors no file holds give no rows, like tools without readings; ``tool_status`` names them.
+    """
+    sensors = sorted({s for names in wanted.values() for s in names} & set(readings.columns))
+    scoped = readings.where(F.col("tool_id").isin(list(wanted)))
+    series = series_of(downsample(scoped, sensors, width_seconds, start=start, end=end), sensors)
+    tools_by_list: dict[tuple[str, ...], list[str]] = {}
+    for tool, names in wanted.items():
+        tools_by_list.setdefault(tuple(sorted(names)), []).append(tool)
+    asked = F.lit(False)
+    for names, tools in tools_by_list.items():
+        asked = asked | (F.col("tool_id").isin(tools) & F.col("sensor").isin(list(names)))
+    return series.where(asked)
+
+
 def to_long(readings: DataFrame, sensors: list[str]) -> DataFrame:
     """Wide readings to ``tool_id, ts, sensor, value``."""
     values = [F.col(_name(s)).cast("double").alias(s) for s in sensors]
@@ -138,14 +197,6 @@ def series_of(wide: DataFrame, sensors: list[str]) -> DataFrame:
     return wide.select("tool_id", "bucket", F.inline(stats))
 
 
-def _wide_aggregates(sensors: list[str]) -> list[Column]:
-    return [
-        function(_quoted(s)).alias(f"{s}_{kind}")
-        for s in sensors
-        for kind, function in (("avg", F.avg), ("min", F.min), ("max", F.max))
-    ]
-
-
 def _long_aggregates() -> list[Column]:
     return [
         F.avg("value").alias("avg"),
@@ -162,3 +213,8 @@ def _name(column: str) -> str:
 
 def _quoted(column: str) -> Column:
     return F.col(_name(column))
+
+
+def _braced(text: str) -> str:
+    """Column names may hold braces, which mark parameters in SQL text."""
+    return text.replace("{", "{{").replace("}", "}}")

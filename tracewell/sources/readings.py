@@ -29,12 +29,13 @@ def read_readings(
 
     The schema is given, not merged: a column some file lacks reads as NULL and float files
     widen to double. ``ts_ns`` is kept for nanosecond files, whose ``ts`` rounds down.
+    ``paths`` may be folders, such as whole tools, which keeps the list short for bulk reads.
     """
     readable = [s for s in sensors if s not in text_columns]
     schema = T.StructType([T.StructField(time_column, _spark_time_type(time_type))])
     for sensor in readable:
         schema.add(sensor, T.LongType() if sensor in int_columns else T.DoubleType())
-    rows = spark.read.schema(schema).parquet(*paths)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
     tool = tool_id if tool_id is not None else tool_of(
         relative_path(F.col("_metadata.file_path"), root)
     )
@@ -63,18 +64,21 @@ def read_by_index(
 ) -> DataFrame:
     """Readings of the given index rows, one scan per kind of file, united by name.
 
-    ``files`` should already be pruned to the tools and range wanted; only its paths and file
-    kinds come to the driver, which is what a Spark file scan needs there in any case. Columns
-    held as integers by any file of a kind are read as such.
+    ``files`` should already be pruned to the tools and range wanted: a Spark scan needs its
+    paths on the driver. To read all there is, pass folders to :func:`read_readings` instead.
+    Columns held as integers by the files of a kind are read as such.
     """
-    kinds = files.groupBy("time_column", "time_type", "int_columns", "text_columns").agg(
-        F.collect_list("path").alias("paths")
-    )
+    kind_columns = ["time_column", "time_type", "int_columns", "text_columns"]
     united = None
-    for kind in kinds.toLocalIterator():
+    for kind in files.select(*kind_columns).distinct().collect():
+        same = F.lit(True)
+        for column in kind_columns:
+            value = kind[column]
+            literal = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+            same = same & (F.col(column) == literal.cast(files.schema[column].dataType))
         part = read_readings(
             spark,
-            kind["paths"],
+            [row["path"] for row in files.where(same).select("path").toLocalIterator()],
             sensors,
             root=root,
             time_column=kind["time_column"],
