@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.time import bucket_start, bucket_start_by, in_range
 from tracewell.plans.resolution import bucket_seconds, extent_seconds_column
-from tracewell.session import inline_if_small, rows_if_few
+from tracewell.session import broadcast_if_small, rows_if_few
 
 # Four buffers per sensor stay below the field limit set in ``tracewell.session``.
 SENSORS_PER_AGGREGATE = 120
@@ -90,8 +90,8 @@ def downsample_extent(
     """Each tool over its own full extent, at ``max(1, round(span / points))`` seconds.
 
     ``extents`` holds ``tool_id, earliest, latest``; pass the file index's ``tool_extents`` to
-    spare the pass over the readings that finds them otherwise. It is one row per tool, inlined
-    when proven few, so the readings are not shuffled for the look-up.
+    spare the pass over the readings that finds them otherwise. It is one row per tool and
+    broadcast when proven few, so the readings are not shuffled for the look-up.
     """
     if extents is None:
         extents = readings.groupBy("tool_id").agg(
@@ -101,7 +101,7 @@ def downsample_extent(
         "tool_id",
         extent_seconds_column(F.col("earliest"), F.col("latest"), points).alias("width"),
     )
-    bucketed = readings.join(inline_if_small(extents), "tool_id").select(
+    bucketed = readings.join(broadcast_if_small(extents), "tool_id").select(
         "tool_id",
         "sensor",
         "width",
@@ -129,12 +129,12 @@ def downsample_plan(
 ) -> DataFrame:
     """Down-sample exactly the ``(tool_id, raw_name)`` pairs of a resolved plan, in one job.
 
-    The pairs filter the rows before the aggregate. They are inlined when few.
+    The pairs filter the rows before the aggregate. They are broadcast when proven few.
     """
     pairs = plan.select("tool_id", F.col("raw_name").alias("sensor")).distinct()
     few = rows_if_few(pairs)
     if few is not None:
-        pairs = readings.sparkSession.createDataFrame(few, pairs.schema)
+        pairs = F.broadcast(readings.sparkSession.createDataFrame(few, pairs.schema))
         tools = sorted({row["tool_id"] for row in few})
         if len(tools) <= MAX_TOOLS_IN_FILTER:
             # A plain filter prunes the folders of all other tools; a join does not.

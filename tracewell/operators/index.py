@@ -146,8 +146,17 @@ def upsert(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     """The next index snapshot: new measurements, old ``pinned`` and ``archived`` flags.
 
     A known checksum stays as long as size and extents are unchanged. Files the scan did not
-    find keep their row; drop them with :func:`vanished`.
+    find keep their row.
     """
+    return _merged(indexed, scanned, "full_outer")
+
+
+def rescan(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The same for a complete scan: files it did not find leave the index."""
+    return _merged(indexed, scanned, "right_outer")
+
+
+def _merged(indexed: DataFrame, scanned: DataFrame, how: str) -> DataFrame:
     old, new = indexed.alias("o"), scanned.alias("n")
     is_new = F.col("n.file_id").isNotNull()
     unchanged = (
@@ -156,7 +165,7 @@ def upsert(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
         & (F.col("o.max_ts") == F.col("n.max_ts"))
     )
     sha = F.coalesce("n.sha256", F.when(~is_new | unchanged, F.col("o.sha256")))
-    return old.join(new, F.col("o.file_id") == F.col("n.file_id"), "full_outer").select(
+    return old.join(new, F.col("o.file_id") == F.col("n.file_id"), how).select(
         F.coalesce("n.file_id", "o.file_id").alias("file_id"),
         *[
             F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in MEASURED
@@ -167,11 +176,6 @@ def upsert(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
-def rescan(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Upsert of a complete scan: vanished files leave the index."""
-    return upsert(indexed, scanned).join(scanned.select("file_id"), "file_id", "left_semi")
-
-
 def mark_archived(indexed: DataFrame, gone: DataFrame) -> DataFrame:
     """Set ``archived`` on files the manifest no longer lists."""
     flags = gone.select("file_id", F.lit(True).alias("gone"))

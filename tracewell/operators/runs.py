@@ -86,12 +86,13 @@ def volume_report(
 def _numbered(rows: DataFrame, in_order: Window, gap: int) -> DataFrame:
     """Number stretches of rows; a row starts one when it follows a silence above ``gap``."""
     silence = F.col("first_us") - F.lag("last_us").over(in_order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = rows.withColumn("silence", silence).withColumn(
         "starts", F.col("silence").isNull() | (F.col("silence") > gap)
     )
     return starts.withColumn(
         "silence_us", F.when(F.col("starts"), F.col("silence"))
-    ).withColumn("number", F.sum(F.col("starts").cast("int")).over(in_order))
+    ).withColumn("number", F.sum(F.col("starts").cast("int")).over(so_far))
 
 
 def _extent() -> list[Column]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 RUNTIME_SETTINGS = {
     # Readings are wall-clock UTC; every text or epoch conversion relies on it.
@@ -40,26 +41,19 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later jobs start from files."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def rows_if_few(df: DataFrame, max_rows: int = 20_000) -> list[Row] | None:
-    """All rows of a dimension proven to hold at most ``max_rows``, else None."""
+def rows_if_few(
+    df: DataFrame, max_rows: int = 20_000, max_bytes: int = 8 * 1024 * 1024
+) -> list[Row] | None:
+    """All rows of a dimension proven to be within both bounds, else None."""
     rows = df.take(max_rows + 1)
-    return rows if len(rows) <= max_rows else None
+    few = len(rows) <= max_rows and len(pickle.dumps([tuple(r) for r in rows])) <= max_bytes
+    return rows if few else None
 
 
-def inline_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Replace a dimension by its literal rows when it is proven to hold at most ``max_rows``.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a dimension once its rows are fetched and found to be few and small.
 
-    The literal relation has exact statistics, so Spark itself decides on a broadcast against
-    ``spark.sql.autoBroadcastJoinThreshold``. Anything larger is returned untouched and joins
-    through a shuffle.
+    Anything larger is returned untouched and joins through a shuffle.
     """
-    rows = rows_if_few(df, max_rows)
-    return df if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+    rows = rows_if_few(df)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -68,23 +68,21 @@ def read_by_index(
     paths on the driver. To read all there is, pass folders to :func:`read_readings` instead.
     Columns held as integers by the files of a kind are read as such.
     """
-    kind_columns = ["time_column", "time_type", "int_columns", "text_columns"]
+    kinds: dict[tuple, list[str]] = {}
+    facts = files.select("path", "time_column", "time_type", "int_columns", "text_columns")
+    for path, time_column, time_type, ints, texts in facts.collect():
+        kinds.setdefault((time_column, time_type, tuple(ints), tuple(texts)), []).append(path)
     united = None
-    for kind in files.select(*kind_columns).distinct().collect():
-        same = F.lit(True)
-        for column in kind_columns:
-            value = kind[column]
-            literal = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
-            same = same & (F.col(column) == literal.cast(files.schema[column].dataType))
+    for (time_column, time_type, ints, texts), paths in kinds.items():
         part = read_readings(
             spark,
-            [row["path"] for row in files.where(same).select("path").toLocalIterator()],
+            paths,
             sensors,
             root=root,
-            time_column=kind["time_column"],
-            time_type=kind["time_type"],
-            int_columns=tuple(kind["int_columns"]),
-            text_columns=tuple(kind["text_columns"]),
+            time_column=time_column,
+            time_type=time_type,
+            int_columns=ints,
+            text_columns=texts,
         )
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     if united is not None:
