@@ -54,7 +54,11 @@ def query(build: Query) -> Query:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Averages depend on the order of additions in the last digits."""
+    """Averages depend on the order of additions in the last digits.
+
+    The number of digits keeps clear of exact halves: with values of two decimals, a mean of n
+    ends in a half at six digits when n is a multiple of 32, at seven when of 64.
+    """
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
 
 
@@ -305,7 +309,7 @@ def aligned_wide(spark, sf_dir):
     sensors = ["l_quantity", "l_tax"]
     daily = downsample.downsample(t.wide(spark, sf_dir), sensors, 86400)
     result = align.align_wide(daily, t.TOOLS)
-    return rounded(result, *[c for c in result.columns if c.endswith("_avg")])
+    return rounded(result, *[c for c in result.columns if c.endswith("_avg")], digits=7)
 
 
 @query

@@ -211,7 +211,7 @@ def _iso(ts: str) -> str:
 
 def _aligned() -> str:
     cells = [
-        (f"round(max(CASE WHEN tool_id = '{tool}' THEN {c} END), 6)" if c.endswith("_avg")
+        (f"round(max(CASE WHEN tool_id = '{tool}' THEN {c} END), 7)" if c.endswith("_avg")
          else f"max(CASE WHEN tool_id = '{tool}' THEN {c} END)") + f' AS "{tool}.{c}"'
         for tool in TOOLS
         for s in ("l_quantity", "l_tax")

@@ -43,48 +43,63 @@ def files_for(files: DataFrame, tool_id: str, start: datetime, end: datetime) ->
 def overlapping_files(selections: DataFrame, files: DataFrame, bin_days: int = 31) -> DataFrame:
     """Files overlapping each ``selection_id, tool_id, start, end`` row, both ends included.
 
+    ``bin_days`` should be near the usual length of a requested range.
+    """
+    return _with_files(selections, files, bin_days, "inner").select(
+        "selection_id", "tool_id", "file_id", "min_ts", "max_ts"
+    )
+
+
+def _with_files(selections: DataFrame, files: DataFrame, bin_days: int, how: str) -> DataFrame:
+    """Join ranges with the files they overlap.
+
     Ranges are laid over day-aligned bins and joined on tool and bin, so only neighbours in time
     ever meet. A pair sharing several bins is kept in the first of them alone, which makes a
-    distinct unnecessary. ``bin_days`` should be near the usual length of a requested range.
+    distinct unnecessary.
     """
     bin_micros = bin_days * 86_400_000_000
 
     def bin_of(ts: Column) -> Column:
         return floor_div(epoch_micros(ts), bin_micros)
 
-    ranges = selections.where(F.col("start") <= F.col("end")).select(
+    start_bin, end_bin = bin_of(F.col("start")), bin_of(F.col("end"))
+    bins = F.when(F.col("start") <= F.col("end"), F.sequence(start_bin, end_bin))
+    ranges = selections.select(
         "selection_id",
         "tool_id",
         "start",
         "end",
-        bin_of(F.col("start")).alias("start_bin"),
-        F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))).alias("bin"),
+        start_bin.alias("start_bin"),
+        F.explode_outer(bins).alias("bin"),
     )
+    file_bin = bin_of(F.col("min_ts"))
     spans = active(files).select(
-        "tool_id",
+        F.col("tool_id").alias("file_tool"),
         "file_id",
         "min_ts",
         "max_ts",
-        bin_of(F.col("min_ts")).alias("file_bin"),
-        F.explode(F.sequence(bin_of(F.col("min_ts")), bin_of(F.col("max_ts")))).alias("bin"),
+        file_bin.alias("file_bin"),
+        F.explode(F.sequence(file_bin, bin_of(F.col("max_ts")))).alias("span_bin"),
     )
-    return (
-        ranges.join(spans, ["tool_id", "bin"])
-        .where((F.col("min_ts") <= F.col("end")) & (F.col("max_ts") >= F.col("start")))
-        .where(F.col("bin") == F.greatest("start_bin", "file_bin"))
-        .select("selection_id", "tool_id", "file_id", "min_ts", "max_ts")
+    meets = (
+        (F.col("tool_id") == F.col("file_tool"))
+        & (F.col("bin") == F.col("span_bin"))
+        & (F.col("min_ts") <= F.col("end"))
+        & (F.col("max_ts") >= F.col("start"))
+        & (F.col("bin") == F.greatest("start_bin", "file_bin"))
     )
+    return ranges.join(spans, meets, how)
 
 
 def coverage(selections: DataFrame, files: DataFrame, bin_days: int = 31) -> DataFrame:
     """Earliest and latest overlapping data per selection and tool, with the warnings shown."""
     found = (
-        overlapping_files(selections, files, bin_days)
-        .groupBy("selection_id", "tool_id")
+        _with_files(selections, files, bin_days, "left")
+        .groupBy("selection_id", "tool_id", "start", "end")
         .agg(
             F.min("min_ts").alias("earliest"),
             F.max("max_ts").alias("latest"),
-            F.count("*").alias("files"),
+            F.count("file_id").alias("files"),
         )
     )
     none = F.concat(
@@ -106,13 +121,8 @@ def coverage(selections: DataFrame, files: DataFrame, bin_days: int = 31) -> Dat
             )
         )
     )
-    return selections.join(found, ["selection_id", "tool_id"], "left").select(
-        "selection_id",
-        "tool_id",
-        "earliest",
-        "latest",
-        F.coalesce("files", F.lit(0)).alias("files"),
-        warnings.alias("warnings"),
+    return found.select(
+        "selection_id", "tool_id", "earliest", "latest", "files", warnings.alias("warnings")
     )
 
 
