@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from bindings.queries import QUERIES
+from bindings.sql import CHECKS
 from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 UNCHECKED = {"checksum_audit"}  # SQL sees tables, not the bytes of their files
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the test tables")
@@ -23,6 +24,10 @@ def test_every_query_has_a_check():
     assert set(QUERIES) - set(CHECKS) == UNCHECKED and not set(CHECKS) - set(QUERIES)
 
 
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
+
+
 def test_flagship_runs(spark):
     assert entry.entry(spark).columns == ["tool_id", "sensor", "bucket", "avg", "min", "max", "n"]
 
