@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.llm.common import materialise, numbered, word_count
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 FAN_IN = 256
 SOLID = 1e-12
 ROUNDED = "rank long, bucket long, key long, doc_id long, size long, p double, extra int"

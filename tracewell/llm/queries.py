@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
 from tracewell.llm.mixing import mix_sources
+from tracewell.llm.phrases import fingerprint_documents
+from tracewell.llm.pieces import encode_documents
+from tracewell.llm.quality import judge_documents
 from tracewell.llm.secret_scan import find_secrets
 from tracewell.llm.shards import kd_shards
 
@@ -23,15 +26,30 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies"
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op5_fingerprints": op5_fingerprints,
     "op6_source_mix": op6_source_mix,
+    "op8_quality": op8_quality,
+    "op10_pieces": op10_pieces,
 }
 CHECKS: dict[str, str] = {}
