@@ -24,6 +24,7 @@ from tracewell.llm.common import materialise
 SAMPLE_ROWS = 4_000  # labelled rows that the models are fitted on, whatever the size of the corpus
 WORDS_KEPT = 400
 LEAST_DOCUMENTS = 4
+BEGINNINGS = (5, 7)
 REJECT_AT = 0.5
 KINDS = ("low", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
@@ -32,7 +33,9 @@ STRENGTHS = (2.0, 10_000.0)
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """Distinct words, and their beginnings, which families of inflected words share."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*[{w[:n] + "-" for w in words if len(w) >= n} for n in BEGINNINGS])
 
 
 def style_of(text: str, words: int) -> list[float]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.lattice import score_documents
 from tracewell.llm.mixing import mix_sources
 from tracewell.llm.phrases import fingerprint_documents
 from tracewell.llm.pieces import encode_documents
@@ -40,6 +41,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_source_mix": op6_source_mix,
     "op8_quality": op8_quality,
+    "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
 }
 CHECKS: dict[str, str] = {}
