@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
 from tracewell.llm.lattice import score_documents
+from tracewell.llm.lines import dedup_lines
 from tracewell.llm.mixing import mix_sources
 from tracewell.llm.phrases import fingerprint_documents
 from tracewell.llm.pieces import encode_documents
 from tracewell.llm.quality import judge_documents
 from tracewell.llm.secret_scan import find_secrets
 from tracewell.llm.shards import kd_shards
+from tracewell.llm.signature_tree import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(docs, ["doc_id", "n_chars", "lang", "source"], shards=24)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,9 +61,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_lines": op2_lines,
     "op3_secret_scan": op3_secret_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_source_mix": op6_source_mix,
+    "op7_signature_tree": op7_signature_tree,
     "op8_quality": op8_quality,
     "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
