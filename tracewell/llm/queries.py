@@ -16,6 +16,7 @@ from tracewell.llm.quality import judge_documents
 from tracewell.llm.secret_scan import find_secrets
 from tracewell.llm.shards import kd_shards
 from tracewell.llm.signature_tree import jaccard_components
+from tracewell.llm.vector_graph import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_lines": op2_lines,
     "op3_secret_scan": op3_secret_scan,
+    "op4_vector_graph": op4_vector_graph,
     "op5_fingerprints": op5_fingerprints,
     "op6_source_mix": op6_source_mix,
     "op7_signature_tree": op7_signature_tree,
