@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.llm.common import materialise, table
+from tracewell.llm.lines import dedup_lines
 from tracewell.llm.mixing import mixed_documents
+from tracewell.llm.pieces import encode_documents
+from tracewell.llm.quality import kept_documents
+from tracewell.llm.signature_tree import one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the classifier finds of low quality or toxic."""
+    return kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines whose template already occurs in an earlier document."""
+    shorter = dedup_lines(docs).select(*docs.columns)
+    return shorter.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-equal ones."""
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +33,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("source mix", mixing)]
-ORACLE_SQL = None  # rounding draws and learned models are beyond SQL
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, checked by decoding them."""
+    return encode_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mix", mixing),
+    ("piece encoding", encoding),
+]
+ORACLE_SQL = None  # learned models, rounding draws and piece searches are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,10 +76,28 @@ class Graph:
         graph.adjacent = np.full((len(x), widest), -1, dtype=np.int64)
         for row, found in zip(graph.adjacent, lists):
             row[: len(found)] = found
+        # for the expansion an edge leads both ways, so that no vector is without a way in
+        tail, head = np.nonzero(graph.adjacent >= 0)[0], graph.adjacent[graph.adjacent >= 0]
+        edges = np.unique(np.concatenate([tail * len(x) + head, head * len(x) + tail]))
+        graph.head = edges % len(x)
+        graph.first = np.searchsorted(edges, np.arange(len(x) + 1) * len(x))
         return graph
 
-    def search(self, queries: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Greedy beam search for all queries at once: beams of ids and cosines, and what was seen."""
+    def around(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of ``nodes``, edges taken both ways, and whose they are."""
+        count = self.first[nodes + 1] - self.first[nodes]
+        owner = np.repeat(np.arange(len(nodes)), count)
+        skip = np.cumsum(count) - count
+        return owner, self.head[np.arange(len(owner)) - skip[owner] + self.first[nodes][owner]]
+
+    def search(
+        self, queries: np.ndarray, starts: np.ndarray, at_least: float = np.inf
+    ) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Greedy beam search for all queries at once.
+
+        Returns the beams' ids, what was seen, and all (query, node, cosine) with a cosine of
+        ``at_least`` that were met on the way, those that fell out of the beam included.
+        """
         n, rows = len(queries), np.arange(len(queries))[:, None]
         seen = np.zeros((n, len(self.x)), dtype=bool)
         ids = np.full((n, self.beam), -1, dtype=np.int64)
@@ -90,18 +108,22 @@ class Graph:
         same = (starts[:, 1:] == starts[:, :-1]) if width > 1 else np.zeros((n, 0), dtype=bool)
         near[:, 1:width][same] = -np.inf
         seen[rows, starts] = True
+        q, k = np.nonzero(near >= at_least)
+        met = [(q, ids[q, k], near[q, k])]
         while True:
             open_ = np.where(done | np.isinf(near), -np.inf, near)
             pick = open_.argmax(axis=1)
             live = np.flatnonzero(open_[rows[:, 0], pick] > -np.inf)
             if not len(live):
-                return ids, near, seen
+                return ids, seen, met
             done[live, pick[live]] = True
             next_ = self.adjacent[ids[live, pick[live]]]
             fresh = (next_ >= 0) & ~seen[live[:, None], next_]
             seen[live[:, None], np.where(fresh, next_, ids[live, pick[live]][:, None])] = True
             cosine = np.einsum("brd,bd->br", self.x[next_], queries[live])
             cosine[~fresh] = -np.inf
+            q, k = np.nonzero(cosine >= at_least)
+            met.append((live[q], next_[q, k], cosine[q, k]))
             all_near = np.concatenate([near[live], cosine], axis=1)
             best = np.argpartition(-all_near, self.beam - 1, axis=1)[:, : self.beam]
             ids[live] = np.take_along_axis(np.concatenate([ids[live], next_], axis=1), best, axis=1)
@@ -110,17 +132,16 @@ class Graph:
             near[live] = np.take_along_axis(all_near, best, axis=1)
 
     def within(self, queries: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) at the threshold: the beam's, then all that expanding them leads to."""
-        ids, near, seen = self.search(queries, starts)
-        at = near >= threshold - RANGE_SLACK
-        q, node, cosine = np.nonzero(at)[0], ids[at], near[at]
+        """Pairs (query, node) at the threshold: those met, then all that expanding them leads to."""
+        _, seen, met = self.search(queries, starts, threshold - RANGE_SLACK)
+        q, node, cosine = (np.concatenate([m[k] for m in met]) for k in range(3))
         found = [(q[cosine >= threshold], node[cosine >= threshold])]
         while len(q):
             more_q, more_node = [], []
             for part in range(0, len(q), 4096):
-                pq, next_ = q[part : part + 4096], self.adjacent[node[part : part + 4096]]
-                fresh = (next_ >= 0) & ~seen[pq[:, None], next_]
-                pairs = np.unique((pq[:, None] * len(self.x) + next_)[fresh])
+                owner, next_ = self.around(node[part : part + 4096])
+                pq = q[part : part + 4096][owner]
+                pairs = np.unique((pq * len(self.x) + next_)[~seen[pq, next_]])
                 fq, fn = pairs // len(self.x), pairs % len(self.x)
                 seen[fq, fn] = True
                 cosine = np.concatenate(
