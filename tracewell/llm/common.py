@@ -20,6 +20,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a common beginning that no column of ``df`` has."""
+    taken, start = {c.lower() for c in df.columns}, "_"
+    while any((start + n).lower() in taken for n in names):
+        start += "_"
+    return [start + n for n in names]
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; NULL counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")

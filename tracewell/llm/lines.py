@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import materialise, unused
 
 DEPTH = 3  # leading tokens that lead to a leaf
 BANDS = 3
@@ -120,22 +120,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     except n_lines and n_dropped, which are replaced. No rows give no rows.
     """
     other = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = recurring_lines(docs).select(
-        F.col("id").alias("_drop_id"), F.col("row").alias("_drop_row"), F.col("lines").alias("_drop_lines")
-    )
+    id_, row, dropped = unused(docs, "id", "row", "lines")
+    drops = recurring_lines(docs).toDF(id_, row, dropped)
     joined = docs.join(
         drops,
-        (F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)) == F.col("_drop_id"))
-        & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_drop_row")),
+        (F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col(id_))
+        & (F.xxhash64("doc_id", "text") == F.col(row)),
         "left",
     )
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(
-        F.filter(lines, lambda _, k: ~F.array_contains("_drop_lines", k)), "\n"
+        F.filter(lines, lambda _, k: ~F.array_contains(dropped, k)), "\n"
     )
-    text = F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in other],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_drop_lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
     )

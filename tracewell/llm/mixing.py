@@ -15,7 +15,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewell.llm.common import materialise, numbered, word_count
+from tracewell.llm.common import materialise, numbered, unused, word_count
 
 BUCKET_ROWS = 4096
 FAN_IN = 256
@@ -177,25 +177,26 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, label: str =
 
 def mixed_documents(docs: DataFrame, cap: float = 3.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows with equal id are told apart."""
-    mine = Window.partitionBy("doc_id", "_size").orderBy("text", "source")
-    copies = mix_sources(docs, cap, seed).where("copies > 0")
-    counted = copies.select(
-        F.col("doc_id").alias("_id"),
-        F.col("size").alias("_words"),
-        F.row_number()
-        .over(Window.partitionBy("doc_id", "size").orderBy("source", "copies"))
-        .alias("_nth"),
-        "copies",
+    size, row, id_, words, nth, times, copy = unused(docs, "size", "row", "id", "words", "nth", "times", "copy")
+    mine = Window.partitionBy("doc_id", size).orderBy("text", "source")
+    same = Window.partitionBy("doc_id", "size").orderBy("source", "copies")
+    counted = (
+        mix_sources(docs, cap, seed)
+        .where("size > 0")
+        .select("doc_id", "size", F.row_number().over(same), "copies")
+        .toDF(id_, words, nth, times)
+        .where(F.col(times) > 0)
     )
     return (
-        docs.withColumn("_size", word_count(F.col("text")))
-        .withColumn("_row", F.row_number().over(mine))
+        docs.withColumn(size, word_count(F.col("text")))
+        .where(F.col(size) > 0)
+        .withColumn(row, F.row_number().over(mine))
         .join(
             counted,
-            F.col("doc_id").eqNullSafe(F.col("_id"))
-            & (F.col("_size") == F.col("_words"))
-            & (F.col("_row") == F.col("_nth")),
+            F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+            & (F.col(size) == F.col(words))
+            & (F.col(row) == F.col(nth)),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*docs.columns)
     )

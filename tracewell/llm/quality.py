@@ -11,7 +11,6 @@ out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import materialise, unused
 
 SAMPLE_ROWS = 4_000  # labelled rows that the models are fitted on, whatever the size of the corpus
 WORDS_KEPT = 400
@@ -88,33 +87,34 @@ class Model:
         return logit - np.log(self.rate / (1 - self.rate))
 
 
-def informative_words(word_sets: list[set[str]], y: np.ndarray, keep: int = WORDS_KEPT) -> list[str]:
+def informative_words(sample: DataFrame, kind: str, keep: int = WORDS_KEPT) -> list[str]:
     """Words whose presence tells most about the label, by the z score of log odds."""
-    yes, no = Counter(), Counter()
-    for words, label in zip(word_sets, y):
-        (yes if label else no).update(words)
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
-    for w in yes.keys() | no.keys():
-        a, b = yes[w], no[w]
-        if a + b < LEAST_DOCUMENTS:
-            continue
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        scored.append((-abs(odds / error), w))
-    return [w for _, w in sorted(scored)[:keep]]
+    n1, n = sample.agg(F.sum(kind), F.count("*")).first()
+    a, b = F.col("a") + 0.5, F.col("b") - F.col("a") + 0.5
+    not_a, not_b = F.lit(n1 + 1.0) - a, F.lit(n - n1 + 1.0) - b
+    odds = F.log(a / not_a) - F.log(b / not_b)
+    error = F.sqrt(1 / a + 1 / not_a + 1 / b + 1 / not_b)
+    found = (
+        sample.select(F.explode("words").alias("word"), F.col(kind).alias("y"))
+        .groupBy("word")
+        .agg(F.sum("y").alias("a"), F.count("*").alias("b"))
+        .where(F.col("b") >= LEAST_DOCUMENTS)
+        .orderBy(F.desc(F.round(F.abs(odds / error), 9)), "word")
+        .limit(keep)
+        .collect()
+    )
+    return [r.word for r in found]
 
 
-def fit(styles: np.ndarray, word_sets: list[set[str]], y: np.ndarray, ridge: float = 2.0) -> Model:
+def fit(styles: np.ndarray, word_sets: list[list[str]], chosen: list[str], y: np.ndarray, ridge: float = 2.0) -> Model:
     """Logistic regression by Newton steps with a ridge on everything but the intercept."""
     mean, scale = styles.mean(axis=0), styles.std(axis=0) + 1e-6
-    chosen = informative_words(word_sets, y)
     place = {w: k for k, w in enumerate(chosen)}
     x = np.zeros((len(y), 1 + styles.shape[1] + len(chosen)))
     x[:, 0] = 1.0
     x[:, 1 : 1 + styles.shape[1]] = (styles - mean) / scale
     for row, words in enumerate(word_sets):
-        for w in words & place.keys():
+        for w in place.keys() & words:
             x[row, 1 + styles.shape[1] + place[w]] = 1.0
     weights = np.zeros(x.shape[1])
     rate = (y.sum() + 1.0) / (len(y) + 2.0)
@@ -134,8 +134,10 @@ def fit(styles: np.ndarray, word_sets: list[set[str]], y: np.ndarray, ridge: flo
 
 
 def neutral() -> Model:
-    width = len(style_of("", 0))
-    return Model(np.zeros(width), np.ones(width), 0.0, np.zeros(width), {}, 0.5)
+    """A model without evidence, for a label that is as good as never given."""
+    width, rate = len(style_of("", 0)), 1e-6
+    bias = float(np.log(rate / (1 - rate)))
+    return Model(np.zeros(width), np.ones(width), bias, np.zeros(width), {}, rate)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -143,12 +145,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
-        .agg((F.min("quality") < 1).cast("int").alias("low"), F.max("toxic").alias("toxic"))
+        .agg((F.min("quality") < 1).cast("int").alias("low"), (F.max("toxic") > 0).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select(
-        F.col("_id").alias("doc_id"), "text", "low", "toxic"
+    texts = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+        "doc_id", "text", "low", "toxic"
     )
 
 
@@ -170,19 +173,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[s
                 ["doc_id", "words", "style", "low", "toxic"],
             )
 
-    sample = labelled_sample(docs, labels, rows)
-    found = sample.mapInArrow(
-        features, "doc_id long, words array<string>, style array<double>, low int, toxic int"
-    ).collect()
-    found.sort(key=lambda r: (r.doc_id, r.words))
+    sample = materialise(
+        labelled_sample(docs, labels, rows).mapInArrow(
+            features, "doc_id long, words array<string>, style array<double>, low int, toxic int"
+        ),
+        "quality-sample",
+    )
     models = {}
     for kind in KINDS:
-        y = np.array([float(r[kind] > 0) for r in found])
-        if len(y) == 0 or y.min() == y.max():
+        chosen = informative_words(sample, kind) if sample.agg(F.count_distinct(kind)).first()[0] > 1 else []
+        if not chosen:
             models[kind] = neutral()
-        else:
-            styles = np.array([r.style for r in found])
-            models[kind] = fit(styles, [set(r.words) for r in found], y)
+            continue
+        told = F.array_intersect("words", F.lit(chosen)).alias("words")
+        found = sample.select("doc_id", told, "style", F.col(kind).alias("y")).collect()
+        found.sort(key=lambda r: (r.doc_id, r.words, r.style))
+        y = np.array([float(r.y > 0) for r in found])
+        models[kind] = fit(np.array([r.style for r in found]), [r.words for r in found], chosen, y)
     return models
 
 
@@ -315,8 +322,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows of one id stay or go together: they go when all of them are rejected.
     """
     verdict = judge_documents(docs, labels)
+    (name,) = unused(docs, "gone")
     gone = (
-        verdict.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max("keep").alias("kept")).where("NOT kept").select("_id")
+        verdict.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name))
+        .agg(F.max("keep").alias("kept")).where("NOT kept").select(name)
     )
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

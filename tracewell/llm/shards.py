@@ -126,11 +126,8 @@ def _refine(rows: DataFrame, searching: list[Node]) -> None:
         & ((F.col("stage") < 2) | (F.col("id") == F.col("fixed")[1]))
         & key.between(F.col("low"), F.col("high"))
     )
-    # the difference may pass 63 bits; shifting both sides by half keeps it inside
-    wide = F.col("step") > (1 << 52)
-    place = F.when(
-        wide, F.floor((key / F.lit(2.0) - F.col("low") / F.lit(2.0)) / (F.col("step") / F.lit(2.0)))
-    ).otherwise(F.expr("0L") + (key - F.col("low")) / F.col("step"))
+    wide = "decimal(20, 0)"  # the difference of two longs may pass 63 bits
+    place = (key.cast(wide) - F.col("low").cast(wide)) / F.col("step").cast(wide)
     bins = (
         _per_node(rows, table, len(searching))
         .where(inside)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.llm.common import components, materialise
+from tracewell.llm.common import components, materialise, unused
 
 SHINGLE = 3
 PERCENT = 90
@@ -381,5 +381,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names its component; rows without an id stay."""
-    gone = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
