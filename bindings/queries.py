@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bindings import tables as t
 from tracewell import configure, shared_dir
@@ -20,7 +21,7 @@ from tracewell.operators import (
     summary,
     telemetry,
 )
-from tracewell.functions import bucket_start
+from tracewell.functions.time import hour_floor
 from tracewell.plans import (
     bucket_seconds_column,
     displayed_columns,
@@ -33,7 +34,7 @@ from tracewell.plans import (
 )
 from tracewell.plans.resolution import bucket_seconds
 from tracewell.sources import payloads
-from tracewell.sources.checksum import audit_checksums, file_checksums
+from tracewell.sources.checksum import audit_checksums
 from tracewell.sources.files import index_of, quarantine_of, scan_files, sensor_catalog
 from tracewell.sources.readings import read_by_index
 from tracewell.sources.sinks import read_partitioned, write_partitioned
@@ -144,15 +145,30 @@ def downsample_canonical(spark, sf_dir):
 
 @query
 def downsample_wanted(spark, sf_dir):
-    wanted = {
-        "tool_0": ["l_tax", "l_quantity"],
-        "tool_3": ["l_discount", "absent"],
-        "tool_5": ["l_quantity", "l_tax"],
-        "tool_9": ["l_tax"],
-    }
+    wanted = {tool: t.WIDE_SENSORS[i % 3 : i % 3 + 2] + ["absent"] for i, tool in enumerate(t.TOOLS)}
+    wanted["tool_9"] = ["l_tax"]
     return rounded(downsample.downsample_wanted(t.wide(spark, sf_dir), wanted, 86400), "avg")
 
 
+@query
+def downsample_plan_wide(spark, sf_dir):
+    plan = plan_columns(_resolved(spark, sf_dir))
+    return rounded(
+        downsample.downsample_plan_wide(t.wide(spark, sf_dir), plan, 86400, sensors=t.WIDE_SENSORS),
+        "avg",
+    )
+
+
+@query
+def downsample_wide_groups(spark, sf_dir):
+    """More sensors than generated code holds."""
+    names = [f"s{i}" for i in range(t.MANY_SENSORS)]
+    rows = t.wide(spark, sf_dir).select(
+        "tool_id", "ts", *[(F.col("l_quantity") * i - 25).alias(s) for i, s in enumerate(names)]
+    )
+    return rounded(downsample.downsample(rows, names, 70 * 86400), *[f"{s}_avg" for s in names])
+
+
 @query
 def downsample_index_extent(spark, sf_dir):
     extents = index.tool_extents(t.file_index(spark, sf_dir))
@@ -242,12 +258,8 @@ def raw_count(spark, sf_dir):
 
 @query
 def raw_rows_padded(spark, sf_dir):
-    wanted = {
-        "tool_0": ["l_quantity", "l_tax"],
-        "tool_1": ["l_discount"],
-        "tool_2": ["l_discount", "l_quantity"],
-        "tool_9": ["a_ghost"],
-    }
+    wanted = {tool: t.WIDE_SENSORS[i % 3 : i % 3 + 2] for i, tool in enumerate(t.TOOLS)}
+    wanted["tool_9"] = ["a_ghost"]
     return raw.raw_rows(t.wide(spark, sf_dir), wanted)
 
 
@@ -268,7 +280,16 @@ def raw_page_desc(spark, sf_dir):
 
 @query
 def raw_page_deep(spark, sf_dir):
-    return raw.page(t.wide(spark, sf_dir), offset=4500, limit=250, direct_rows=1000)
+    rows = t.undated(spark, sf_dir)
+    return raw.page(rows, offset=rows.count() * 3 // 4, limit=250, direct_rows=1000)
+
+
+@query
+def raw_page_undated(spark, sf_dir):
+    """A page over the border between rows with and without a time."""
+    rows = t.undated(spark, sf_dir)
+    dated = rows.where("ts IS NOT NULL").count()
+    return raw.page(rows, offset=dated - 100, limit=250, order="desc", direct_rows=100)
 
 
 @query
@@ -301,14 +322,13 @@ def sparkline_summary(spark, sf_dir):
 def series_status(spark, sf_dir):
     tools, plan, sensors, files, bad = t.status_inputs(spark, sf_dir)
     status = tool_status(tools, plan, sensors, files, bad)
-    return summary.series_status(plan, _daily_series(spark, sf_dir), status)
+    return summary.series_status(plan, _daily_series(spark, sf_dir), status, sensors)
 
 
 @query
 def aligned_wide(spark, sf_dir):
-    sensors = ["l_quantity", "l_tax"]
-    daily = downsample.downsample(t.wide(spark, sf_dir), sensors, 86400)
-    result = align.align_wide(daily, t.TOOLS)
+    daily = downsample.downsample(t.wide(spark, sf_dir), t.WIDE_SENSORS, 86400)
+    result = align.align_wide(daily, t.ALIGNED)
     return rounded(result, *[c for c in result.columns if c.endswith("_avg")], digits=7)
 
 
@@ -463,13 +483,13 @@ def update_summary(spark, sf_dir):
 
 @query
 def checksum_audit(spark, sf_dir):
-    stored = file_checksums(spark, sf_dir)
-    listed = stored.select(
-        "file_id",
-        "tool_id",
-        F.expr(
-            "CASE size_bytes % 3 WHEN 0 THEN sha256 WHEN 1 THEN reverse(sha256) END"
-        ).alias("sha256"),
+    stored = t.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page_"), "page_id").alias("file_id"), F.sha2("html", 256).alias("sha256")
+    )
+    listed = t.table(spark, sf_dir, "pages").selectExpr(
+        "concat('page_', page_id + page_id % 5 * 1000000 * int(page_id % 7 = 3)) AS file_id",
+        "concat('tool_', page_id % 8) AS tool_id",
+        "CASE page_id % 3 WHEN 0 THEN sha2(html, 256) WHEN 1 THEN sha2(url, 256) END AS sha256",
     )
     return audit_checksums(stored, listed)
 
@@ -576,9 +596,36 @@ def sensor_search(spark, sf_dir):
     return catalog.search_results(_picker(spark, sf_dir), " RinG")
 
 
+@query
+def sensor_search_count(spark, sf_dir):
+    return catalog.search_count(_picker(spark, sf_dir), " RinG")
+
+
+@query
+def catalog_ordered(spark, sf_dir):
+    """Each tool's sensors with their place in the picker."""
+    rows = _picker(spark, sf_dir)
+    place = Window.partitionBy("tool_id").orderBy(*catalog.picker_order())
+    return rows.select("tool_id", "category", "sensor", F.row_number().over(place).cast("long").alias("place"))
+
+
+@query
+def index_ordered(spark, sf_dir):
+    """Each tool's active files with their place in time."""
+    place = Window.partitionBy("tool_id").orderBy("min_ts", "file_id")
+    files = index.active(t.file_index(spark, sf_dir))
+    return files.select("tool_id", "file_id", F.row_number().over(place).cast("long").alias("place"))
+
+
+@query
+def hours_with_data(spark, sf_dir):
+    hours = t.long(spark, sf_dir).groupBy("tool_id", hour_floor(F.col("ts")).alias("hour"))
+    return hours.agg(F.count("*").alias("rows"))
+
+
 @query
 def selection_counts(spark, sf_dir):
-    chosen = t.table(spark, sf_dir, "lineitem").where("l_quantity >= 40").selectExpr(
+    chosen = t.table(spark, sf_dir, "lineitem").selectExpr(
         "concat('tool_', l_suppkey % 8) AS tool_id",
         "'canonical' AS kind",
         "concat('part_', l_partkey) AS sensor",
@@ -595,6 +642,23 @@ def telemetry_parse(spark, sf_dir):
     return telemetry.event_fields(events, "query_run")
 
 
+@query
+def telemetry_all_types(spark, sf_dir):
+    """All fields of every event type, as text."""
+    events = telemetry.parse_event_lines(t.all_event_lines(spark, sf_dir))
+    parts = [
+        telemetry.event_fields(events, kind).select(
+            F.lit(kind).alias("type"),
+            "created_at",
+            F.concat_ws(
+                "|", *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields]
+            ).alias("fields"),
+        )
+        for kind, fields in telemetry.EVENT_FIELDS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def telemetry_counts(spark, sf_dir):
     return telemetry.counts_per_day(telemetry.parse_event_lines(t.event_lines(spark, sf_dir)))
@@ -617,6 +681,12 @@ def saved_set_parse(spark, sf_dir):
     return _joined_text(saved_sets.parse_saved_sets(t.saved_set_rows(spark, sf_dir)))
 
 
+@query
+def saved_set_roundtrip(spark, sf_dir):
+    sets = saved_sets.parse_saved_sets(t.saved_set_rows(spark, sf_dir))
+    return _joined_text(saved_sets.parse_saved_sets(saved_sets.encode_saved_sets(sets)))
+
+
 @query
 def saved_set_pairs(spark, sf_dir):
     return saved_sets.tool_sensor_pairs(

@@ -8,7 +8,15 @@ from __future__ import annotations
 
 import re
 
-from bindings.tables import EVENT_SENSORS, TOOLS, WIDE_SENSORS
+from bindings.tables import (
+    ALIGNED,
+    EVENT_SENSORS,
+    EVENT_TYPES,
+    MANY_SENSORS,
+    TOOLS,
+    WIDE_SENSORS,
+)
+from tracewell.operators.telemetry import EVENT_FIELDS
 
 CTES = {
     "wide": """SELECT 'tool_' || (l_suppkey % 8) AS tool_id, l_shipdate AS ts,
@@ -27,10 +35,12 @@ CTES = {
               count(*) AS row_count FROM wide GROUP BY 1, 2, 3)""",
     "scanned_index": """SELECT tool_id || '/' || hour_bucket || '.parquet' AS file_id, tool_id,
         hour_bucket, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS row_count,
-        count(*) * 32 AS size_bytes
-        FROM (SELECT 'tool_' || (l_suppkey % 8) AS tool_id, l_shipdate AS ts,
-              strftime(l_shipdate, '%Y-%m') AS hour_bucket
-              FROM lineitem WHERE l_returnflag <> 'N' AND month(l_shipdate) <> l_suppkey % 8 + 1) GROUP BY ALL""",
+        count(*) * 128 AS size_bytes
+        FROM (SELECT 'tool_' || (o_custkey % 8) AS tool_id, o_orderdate AS ts,
+              strftime(o_orderdate, '%Y-%m') AS hour_bucket FROM orders) GROUP BY ALL""",
+    "undated": """SELECT 'tool_' || (l_suppkey % 8) AS tool_id,
+        CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate END AS ts,
+        l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem""",
     "manifest": """SELECT file_id, tool_id,
         CASE WHEN n % 4 = 1 THEN 'https://files/' || file_id ELSE '/v1/data/' || file_id END AS url,
         CASE WHEN n % 5 > 1 THEN sha256(file_id || ':' || (n % 3)) END AS sha256,
@@ -132,22 +142,25 @@ CTES = {
         for s in WIDE_SENSORS
     ),
     "asked": """SELECT DISTINCT 'tool_' || (o_custkey % 9) AS tool_id,
-        CASE WHEN o_custkey % 9 = 5 AND o_orderkey % 10 = 0 THEN 'l_ghost'
+        CASE WHEN o_custkey % 9 = 6 OR o_custkey % 9 = 5 AND o_orderkey % 10 = 0 THEN 'l_ghost'
              WHEN o_orderkey % 2 = 0 THEN 'l_quantity' ELSE 'l_tax' END AS raw_name FROM orders""",
+    "known_asked": """SELECT *, raw_name <> 'l_ghost'
+        AND tool_id IN (SELECT tool_id FROM wide) AS known FROM asked""",
     "outcome": """SELECT tool_id,
-        CASE WHEN reason IS NOT NULL THEN 'unreadable' WHEN NOT has_files THEN 'empty'
-             WHEN absent IS NOT NULL THEN 'missing_column' ELSE 'ok' END AS status,
-        CASE WHEN reason IS NOT NULL THEN reason WHEN NOT has_files THEN ''
-             WHEN absent IS NOT NULL THEN 'no column ''' || absent || ''' in this tool''s files'
-             ELSE '' END AS message
+        CASE WHEN NOT has_files AND reason IS NOT NULL THEN 'unreadable'
+             WHEN NOT has_files THEN 'empty'
+             WHEN all_absent THEN 'missing_column' ELSE 'ok' END AS status,
+        CASE WHEN NOT has_files THEN coalesce(reason, '')
+             WHEN all_absent THEN absent ELSE coalesce(reason, absent, '') END AS message
         FROM (SELECT tool_id,
-              min(CASE WHEN raw_name = 'l_ghost'
-                       OR tool_id NOT IN (SELECT tool_id FROM wide) THEN raw_name END) AS absent,
+              'no column ''' || min(CASE WHEN NOT known THEN raw_name END)
+                  || ''' in this tool''s files' AS absent,
+              bool_and(NOT known) AS all_absent,
               bool_or(tool_id IN (SELECT tool_id FROM file_index)) AS has_files
-              FROM asked GROUP BY tool_id)
-        LEFT JOIN (SELECT 'tool_' || (s_suppkey % 8) AS tool_id,
-                   min('bad file of ' || s_name) AS reason
-                   FROM supplier WHERE s_nationkey = 7 GROUP BY 1) USING (tool_id)""",
+              FROM known_asked GROUP BY tool_id)
+        LEFT JOIN (SELECT 'tool_' || (s_nationkey % 11) AS tool_id,
+                   min('bad file of ' || s_name) AS reason FROM supplier
+                   WHERE s_nationkey % 11 IN (2, 8, 9) GROUP BY 1) USING (tool_id)""",
     "silences": """SELECT tool_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (
         PARTITION BY tool_id ORDER BY ts) AS us FROM long""",
     "numbered": """SELECT *, sum(CASE WHEN us IS NULL OR us > 7200000000 THEN 1 ELSE 0 END) OVER (
@@ -213,11 +226,59 @@ def _aligned() -> str:
     cells = [
         (f"round(max(CASE WHEN tool_id = '{tool}' THEN {c} END), 7)" if c.endswith("_avg")
          else f"max(CASE WHEN tool_id = '{tool}' THEN {c} END)") + f' AS "{tool}.{c}"'
-        for tool in TOOLS
-        for s in ("l_quantity", "l_tax")
-        for c in (f"{s}_avg", f"{s}_min", f"{s}_max")
+        for tool, columns in ALIGNED.items()
+        for c in columns
     ]
-    return f"SELECT bucket AS ts, {', '.join(cells)} FROM daily GROUP BY bucket"
+    listed = ", ".join(f"'{tool}'" for tool in ALIGNED)
+    return f"SELECT bucket AS ts, {', '.join(cells)} FROM daily WHERE tool_id IN ({listed}) GROUP BY bucket"
+
+
+def _many() -> str:
+    cells = ", ".join(
+        f"round(avg(l_quantity * {i} - 25), 6) AS s{i}_avg, min(l_quantity * {i} - 25) AS s{i}_min,"
+        f" max(l_quantity * {i} - 25) AS s{i}_max"
+        for i in range(MANY_SENSORS)
+    )
+    return f"SELECT tool_id, time_bucket(INTERVAL 70 DAY, ts) AS bucket, {cells} FROM wide GROUP BY ALL"
+
+
+def _own_sensors(sensor: str) -> str:
+    """Tools that ask for a sensor in the lists of two each."""
+    at = WIDE_SENSORS.index(sensor)
+    return ", ".join(f"'{tool}'" for i, tool in enumerate(TOOLS) if at in (i % 3, i % 3 + 1))
+
+
+EVENT_CELLS = {
+    "tool_count": "k::VARCHAR",
+    "sensor_count": "user_id::VARCHAR",
+    "range_seconds": "'-'",
+    "resolution_seconds": "k || '.5'",
+    "latency_ms": "event_id::VARCHAR",
+    "error_type": "'E' || (k % 5)",
+    "partial_results": "(k % 2 = 0)::VARCHAR",
+    "file_id": "'f' || k",
+    "resuming": "(k % 3 = 0)::VARCHAR",
+    "existing_bytes": "(k * 10)::VARCHAR",
+    "partial_bytes": "(k * 7)::VARCHAR",
+    "bytes_written": "(k * 100)::VARCHAR",
+    "cache_hit": "(k % 2 = 1)::VARCHAR",
+    "app_version": "'1.' || k",
+    "platform": "'p' || (k % 3)",
+    "platform_release": "'r1'",
+    "python_version": "'3.' || (k % 4)",
+    "seconds_since_last_exit": "k || '.25'",
+    "traceback": "'line ' || k",
+    "thread": "'main'",
+}
+
+
+def _all_event_types() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS type, ts AS created_at, "
+        + " || '|' || ".join(EVENT_CELLS[field] for field in EVENT_FIELDS[kind])
+        + f" AS fields FROM kinds WHERE event_id % 9 = {i}"
+        for i, kind in enumerate(EVENT_TYPES)
+    )
 
 
 FULL_RANGE = "WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'"
@@ -245,9 +306,11 @@ _BODIES = {
     ),
     "downsample_wide": _wide_buckets(EVENT_SENSORS, "1 hour", "sparse"),
     "downsample_canonical": _long_buckets("1 hour", "JOIN signals USING (tool_id, sensor)"),
-    "downsample_wanted": """SELECT tool_id, sensor, bucket, round(avg, 6) AS avg, min, max FROM series
-        WHERE (tool_id IN ('tool_0', 'tool_5') AND sensor IN ('l_tax', 'l_quantity'))
-           OR (tool_id = 'tool_3' AND sensor = 'l_discount')""",
+    "downsample_wanted": "SELECT tool_id, sensor, bucket, round(avg, 6) AS avg, min, max FROM series WHERE "
+    + " OR ".join(f"(sensor = '{s}' AND tool_id IN ({_own_sensors(s)}))" for s in WIDE_SENSORS),
+    "downsample_plan_wide": """SELECT tool_id, sensor, bucket, round(avg, 6) AS avg, min, max
+        FROM series JOIN (SELECT DISTINCT tool_id, raw_name AS sensor FROM plan) USING (tool_id, sensor)""",
+    "downsample_wide_groups": _many(),
     "downsample_index_extent": """SELECT tool_id, sensor, width,
         time_bucket(to_seconds(width), ts) AS bucket, round(avg(value), 6) AS avg,
         min(value) AS min, max(value) AS max, count(value) AS n
@@ -281,15 +344,16 @@ _BODIES = {
     "tool_outcome": "SELECT * FROM outcome",
     "raw_count": """SELECT tool_id, count(*) AS "rows" FROM wide
         WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '2001-01-01' GROUP BY tool_id""",
-    "raw_rows_padded": """SELECT tool_id, ts, NULL::DOUBLE AS a_ghost,
-        CASE WHEN tool_id IN ('tool_1', 'tool_2') THEN l_discount END AS l_discount,
-        CASE WHEN tool_id IN ('tool_0', 'tool_2') THEN l_quantity END AS l_quantity,
-        CASE WHEN tool_id = 'tool_0' THEN l_tax END AS l_tax
-        FROM wide WHERE tool_id IN ('tool_0', 'tool_1', 'tool_2', 'tool_9')""",
+    "raw_rows_padded": "SELECT tool_id, ts, NULL::DOUBLE AS a_ghost, "
+    + ", ".join(f"CASE WHEN tool_id IN ({_own_sensors(s)}) THEN {s} END AS {s}" for s in WIDE_SENSORS)
+    + " FROM wide",
     "raw_union_padded": "SELECT * FROM wide UNION ALL BY NAME SELECT * FROM sparse",
     "raw_page_asc": f"SELECT * FROM wide ORDER BY ts, {PAGE_ORDER} LIMIT 250 OFFSET 500",
     "raw_page_desc": f"SELECT * FROM wide ORDER BY ts DESC, {PAGE_ORDER} LIMIT 250 OFFSET 500",
-    "raw_page_deep": f"SELECT * FROM wide ORDER BY ts, {PAGE_ORDER} LIMIT 250 OFFSET 4500",
+    "raw_page_deep": f"""SELECT * FROM undated ORDER BY ts NULLS FIRST, {PAGE_ORDER}
+        LIMIT 250 OFFSET (SELECT count(*) * 3 // 4 FROM lineitem)""",
+    "raw_page_undated": f"""SELECT * FROM undated ORDER BY ts DESC NULLS LAST, {PAGE_ORDER}
+        LIMIT 250 OFFSET (SELECT count(ts) - 100 FROM undated)""",
     "raw_page_keyset": f"""SELECT * FROM wide WHERE ts > TIMESTAMP '1999-06-15'
         OR (ts = TIMESTAMP '1999-06-15' AND tool_id > 'tool_3')
         ORDER BY ts, {PAGE_ORDER} LIMIT 250""",
@@ -303,10 +367,11 @@ _BODIES = {
                     max(avg) AS high, min(bucket) AS x_start, max(bucket) AS x_end
                     FROM series GROUP BY ALL))""",
     "series_status": """SELECT a.tool_id, a.raw_name,
-        CASE WHEN o.status IN ('unreadable', 'missing_column') THEN 'error'
-             WHEN coalesce(p.points, 0) = 0 THEN 'no_data' ELSE 'data' END AS status,
+        CASE WHEN p.points > 0 THEN 'data'
+             WHEN o.status IN ('unreadable', 'missing_column') OR NOT a.known THEN 'error'
+             ELSE 'no_data' END AS status,
         coalesce(p.points, 0) AS points
-        FROM asked a LEFT JOIN outcome o USING (tool_id)
+        FROM known_asked a LEFT JOIN outcome o USING (tool_id)
         LEFT JOIN (SELECT tool_id, sensor AS raw_name, count(*) AS points FROM series
                    WHERE isfinite(avg) GROUP BY ALL) p USING (tool_id, raw_name)""",
     "aligned_wide": _aligned(),
@@ -389,6 +454,13 @@ _BODIES = {
         FROM downloads GROUP BY tool_id""",
     "update_summary": """SELECT (SELECT count(*) FROM downloads) AS to_download,
         (SELECT count(*) FROM gone) AS archived_locally""",
+    "checksum_audit": """SELECT m.file_id, m.tool_id, m.sha256, f.sha256 AS actual_sha256,
+        CASE WHEN f.sha256 IS NULL THEN 'missing' WHEN m.sha256 IS NULL THEN 'unchecked'
+             WHEN m.sha256 = f.sha256 THEN 'ok' ELSE 'mismatch' END AS status
+        FROM (SELECT 'page_' || (page_id + CASE WHEN page_id % 7 = 3 THEN page_id % 5 * 1000000 ELSE 0 END)
+                  AS file_id, 'tool_' || (page_id % 8) AS tool_id,
+              CASE page_id % 3 WHEN 0 THEN sha256(html) WHEN 1 THEN sha256(url) END AS sha256 FROM pages) m
+        LEFT JOIN (SELECT 'page_' || page_id AS file_id, sha256(html) AS sha256 FROM pages) f USING (file_id)""",
     "mapping_parse": "SELECT * FROM map_lines WHERE raw_name IS NOT NULL",
     "mapping_latest": "SELECT * FROM mapping",
     "tool_process_group": "SELECT * FROM tool_group",
@@ -415,15 +487,26 @@ _BODIES = {
         WHERE contains(lower(label), 'ring') OR contains(lower(tool_id), 'ring')
            OR contains(lower(sensor), 'ring') OR contains(lower(units), 'ring')
            OR contains(lower(description), 'ring')""",
+    "sensor_search_count": """SELECT count(*) AS hits FROM picker
+        WHERE contains(lower(label), 'ring') OR contains(lower(tool_id), 'ring')
+           OR contains(lower(sensor), 'ring') OR contains(lower(units), 'ring')
+           OR contains(lower(description), 'ring')""",
+    "catalog_ordered": """SELECT tool_id, category, sensor, row_number() OVER (
+        PARTITION BY tool_id ORDER BY uncategorised, category, sensor) AS place FROM picker""",
+    "index_ordered": """SELECT tool_id, file_id, row_number() OVER (
+        PARTITION BY tool_id ORDER BY min_ts, file_id) AS place FROM file_index WHERE NOT archived""",
+    "hours_with_data": """SELECT tool_id, date_trunc('hour', ts) AS hour, count(*) AS "rows"
+        FROM long GROUP BY ALL""",
     "selection_counts": """SELECT p.tool_id, count(c.sensor) AS selected, count(*) AS total
         FROM picker p LEFT JOIN (SELECT DISTINCT 'tool_' || (l_suppkey % 8) AS tool_id,
             'canonical' AS kind, 'part_' || l_partkey AS sensor
-            FROM lineitem WHERE l_quantity >= 40) c
+            FROM lineitem) c
           ON c.tool_id = p.tool_id AND c.kind = p.kind AND c.sensor = p.sensor
         GROUP BY ROLLUP (p.tool_id)""",
     "telemetry_parse": """SELECT ts AS created_at, k::BIGINT AS tool_count,
         user_id AS sensor_count, NULL::BIGINT AS range_seconds, value AS resolution_seconds,
         7::BIGINT AS latency_ms FROM kinds WHERE event_type = 'view' """,
+    "telemetry_all_types": _all_event_types(),
     "telemetry_counts": """SELECT CASE event_type WHEN 'view' THEN 'query_run'
         WHEN 'click' THEN 'download_completed' WHEN 'purchase' THEN 'update_check'
         WHEN 'error' THEN 'app_exit' ELSE 'app_start' END AS type,
@@ -436,6 +519,9 @@ _BODIES = {
     "saved_set_parse": """SELECT set_id, name, array_to_string(tools, ',') AS tools,
         array_to_string(sensors_canonical, ',') AS sensors_canonical,
         array_to_string(sensors_raw, ',') AS sensors_raw FROM saved""",
+    "saved_set_roundtrip": """SELECT set_id, name, array_to_string(tools, ',') AS tools,
+        array_to_string(sensors_canonical, ',') AS sensors_canonical,
+        array_to_string(sensors_raw, ',') AS sensors_raw FROM saved""",
     "saved_set_pairs": """SELECT set_id, tool_id, kind, unnest(sensors) AS sensor FROM (
         SELECT set_id, unnest(tools) AS tool_id, 'canonical' AS kind, sensors_canonical AS sensors
         FROM saved UNION ALL

@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WIDE_SENSORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 EVENT_SENSORS = ["click", "error", "purchase", "signup", "view"]
 TOOLS = [f"tool_{i}" for i in range(8)]
+MANY_SENSORS = 130
+# Each tool's own columns of the aligned table; tool_7 has failed and is left out.
+ALIGNED = {
+    tool: [f"{s}_{k}" for s in WIDE_SENSORS[i % 3 : i % 3 + 2] for k in ("avg", "min", "max")]
+    for i, tool in enumerate(TOOLS[:7])
+}
 EVENTS_START, EVENTS_END = datetime(2024, 1, 1), datetime(2024, 1, 31)
 ZOOM_START, ZOOM_END = datetime(2024, 1, 10), datetime(2024, 1, 16)
 
@@ -29,6 +35,16 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the time of every seventh order line lost."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(
+        F.expr("concat('tool_', l_suppkey % 8)").alias("tool_id"),
+        F.expr("if(l_orderkey % 7 = 0, NULL, l_shipdate)").alias("ts"),
+        *WIDE_SENSORS,
+    )
+
+
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings: one sensor value per row."""
     return table(spark, sf_dir, "events").select(
@@ -67,17 +83,15 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later scan: fewer rows in some files, one month of each tool gone, no checksums."""
+    """A later scan, of the orders: other rows in most files, some months gone, no checksums."""
     return _monthly(
-        table(spark, sf_dir, "lineitem")
-        .where("l_returnflag <> 'N' AND month(l_shipdate) <> l_suppkey % 8 + 1")
-        .select(
-            F.expr("concat('tool_', l_suppkey % 8)").alias("tool_id"),
-            F.col("l_shipdate").alias("ts"),
+        table(spark, sf_dir, "orders").select(
+            F.expr("concat('tool_', o_custkey % 8)").alias("tool_id"),
+            F.col("o_orderdate").alias("ts"),
         )
     ).select(
         "*",
-        F.expr("row_count * 32").alias("size_bytes"),
+        F.expr("row_count * 128").alias("size_bytes"),
         F.lit(None).cast("string").alias("sha256"),
     )
 
@@ -261,6 +275,35 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every event type, in the order in which event numbers go round them.
+EVENT_TYPES = (
+    "query_run query_failed download_started download_failed download_completed update_check"
+    " app_start app_exit error"
+).split()
+
+
+def all_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as usage-event JSON lines of every type in turn, each with every field there is."""
+    kinds = ", ".join(f"'{kind}'" for kind in EVENT_TYPES)
+    data = """concat('"tool_count":', k, ',"sensor_count":', user_id, ',"range_seconds":"n/a"',
+        ',"resolution_seconds":', k, '.5,"latency_ms":', event_id, ',"error_type":"E', k % 5,
+        '","partial_results":', k % 2 = 0, ',"file_id":"f', k, '","resuming":', k % 3 = 0,
+        ',"existing_bytes":', k * 10, ',"partial_bytes":', k * 7, ',"bytes_written":', k * 100,
+        ',"cache_hit":', k % 2 = 1, ',"app_version":"1.', k, '","platform":"p', k % 3,
+        '","platform_release":"r1","python_version":"3.', k % 4, '","seconds_since_last_exit":', k,
+        '.25,"traceback":"line ', k, '","thread":"main"')"""
+    numbered = table(spark, sf_dir, "events").withColumn(
+        "k", F.expr("cast(get_json_object(props, '$.k') AS int)")
+    )
+    return numbered.select(
+        F.expr(
+            f"""concat('{{"type":"', element_at(array({kinds}), int(event_id % 9) + 1),
+            '","created_at":"', replace(cast(ts AS string), ' ', 'T'), '+00:00","data":{{', {data},
+            '}}}}')"""
+        ).alias("value")
+    )
+
+
 def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups as application starts and errors as exits, per user."""
     return table(spark, sf_dir, "events").selectExpr(
@@ -289,7 +332,7 @@ def status_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Tools, plan, catalog, files and quarantine for the per-tool status."""
     plan = table(spark, sf_dir, "orders").selectExpr(
         "concat('tool_', o_custkey % 9) AS tool_id",
-        "CASE WHEN o_custkey % 9 = 5 AND o_orderkey % 10 = 0 THEN 'l_ghost'"
+        "CASE WHEN o_custkey % 9 = 6 OR o_custkey % 9 = 5 AND o_orderkey % 10 = 0 THEN 'l_ghost'"
         " WHEN o_orderkey % 2 = 0 THEN 'l_quantity' ELSE 'l_tax' END AS raw_name",
     ).distinct()
     catalog = (
@@ -299,11 +342,8 @@ def status_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
         .select("tool_id", F.explode(F.array(*map(F.lit, WIDE_SENSORS))).alias("raw_name"))
     )
     files = file_index(spark, sf_dir)
-    bad = (
-        table(spark, sf_dir, "supplier")
-        .where("s_nationkey = 7")
-        .selectExpr(
-            "concat('tool_', s_suppkey % 8) AS tool_id", "concat('bad file of ', s_name) AS reason"
-        )
+    bad = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('tool_', s_nationkey % 11) AS tool_id",
+        "if(s_nationkey % 11 IN (2, 8, 9), concat('bad file of ', s_name), NULL) AS reason",
     )
     return plan.select("tool_id").distinct(), plan, catalog, files, bad

@@ -31,15 +31,23 @@ def test_nulls_nans_and_empty_selection(spark):
     assert downsample.downsample(rows, [], 60).count() == 0
 
 
-def test_sensor_groups_join_to_the_same_result(spark, monkeypatch):
-    rows = readings(spark, [(f"t{i % 2}", START + timedelta(seconds=i), float(i), -float(i)) for i in range(100)])
-    names = {"a": "odd {name}", "b": "tick`s"}
-    rows = rows.withColumnsRenamed(names)
-    whole = {tuple(r) for r in downsample.downsample(rows, list(names.values()), 7).collect()}
-    monkeypatch.setattr(downsample, "SENSORS_PER_AGGREGATE", 1)
-    split = downsample.downsample(rows, list(names.values()), 7)
-    assert {tuple(r) for r in split.collect()} == whole and len(whole) == 30
-    assert split.columns[:5] == ["tool_id", "bucket", "odd {name}_avg", "odd {name}_min", "odd {name}_max"]
+def test_very_many_sensors_and_rows_without_a_tool(spark):
+    names = [f"odd {{{i}}}" for i in range(129)] + ["tick`s"]
+    values = ", ".join(f"id * {i} AS `{n.replace('`', '``')}`" for i, n in enumerate(names))
+    rows = spark.sql(f"SELECT if(id % 3 = 0, NULL, concat('t', id % 3)) AS tool_id, timestamp_ntz'2026-01-01 00:00:00' AS ts, {values.replace('{', '{{').replace('}', '}}')} FROM range(30)".replace("{{", "{").replace("}}", "}"))
+    got = {r["tool_id"]: r for r in downsample.downsample(rows, names, 7).collect()}
+    assert set(got) == {None, "t1", "t2"}
+    assert all(got["t2"][f"{n}_max"] == 29 * i and got[None][f"{n}_min"] == 0 for i, n in enumerate(names))
+
+
+def test_each_tool_reads_its_own_sensors(spark):
+    rows = readings(spark, [("x", START, 1.0, 2.0), ("y", START, 3.0, 4.0), ("z", START, 5.0, 6.0)])
+    got = downsample.downsample_wanted(rows, {"x": ["a"], "y": ["b", "a"], "gone": ["a"], "z": ["none"]}, 60)
+    want = {("x", "a", 1.0), ("y", "a", 3.0), ("y", "b", 4.0)}
+    assert {(r["tool_id"], r["sensor"], r["avg"]) for r in got.collect()} == want
+    plan = frame(spark, [(t, s) for t, s, _ in want] + [("z", "none")], "tool_id string, raw_name string")
+    assert {(r["tool_id"], r["sensor"], r["avg"]) for r in downsample.downsample_plan_wide(rows, plan, 60).collect()} == want
+    assert downsample.downsample_wanted(rows, {"z": ["none"]}, 60).count() == 0
 
 
 def test_range_is_half_open_and_first_label_may_precede_it(spark):
@@ -70,17 +78,30 @@ def test_deep_pages_equal_slices_of_the_sorted_rows(spark, order):
         assert got == data[offset : offset + limit], (offset, limit)
 
 
-def test_keyset_pages_walk_everything_once(spark):
-    data = [(f"t{i % 3}", START + timedelta(seconds=i // 3), float(i), None) for i in range(60)]
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_with_undated_rows_agree_at_every_depth(spark, order):
+    stamps = [None] * 60 + [START + timedelta(seconds=i // 5) for i in range(90)]
+    rows = readings(spark, [(f"t{i % 4}" if i % 9 else None, s, float(i), None) for i, s in enumerate(stamps)]).cache()
+    whole = [tuple(r) for r in rows.orderBy(*raw.total_order(rows, order)).collect()]
+    for offset, limit in [(0, 7), (10, 5), (55, 10), (59, 70), (60, 5), (85, 10), (100, 60), (145, 9), (150, 3)]:
+        for direct in (0, 10, 1000):
+            got = [tuple(r) for r in raw.page(rows, offset=offset, limit=limit, order=order, direct_rows=direct).collect()]
+            assert got == whole[offset : offset + limit], (offset, limit, direct)
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_keyset_pages_walk_everything_once(spark, order):
+    data = [(f"t{i:03d}", None if i < 20 else START + timedelta(seconds=i // 3), float(i), None) for i in range(60)]
     rows = readings(spark, data)
-    seen, last = [], ("1900-01-01", "")
+    whole = [r["a"] for r in rows.orderBy(*raw.total_order(rows, order)).collect()]
+    seen, last = [], (None, "") if order == "asc" else ("2100-01-01", "")
     while True:
-        got = raw.page_after(rows, last_ts=last[0], last_tool=last[1], limit=7).collect()
+        got = raw.page_after(rows, last_ts=last[0], last_tool=last[1], limit=7, order=order).collect()
         if not got:
             break
         seen += [r["a"] for r in got]
         last = (got[-1]["ts"], got[-1]["tool_id"])
-    assert seen == [float(i) for i in range(60)]
+    assert seen == whole
 
 
 def series(spark, rows):
@@ -108,7 +129,11 @@ def test_series_status_and_caps(spark):
     status = {r["raw_name"]: r["status"] for r in summary.series_status(plan, points, ok).collect()}
     assert (status["s0"], status["s1"], status["s2"]) == ("data", "no_data", "no_data")
     bad = ok.withColumn("status", F.lit("unreadable"))
-    assert {r["status"] for r in summary.series_status(plan, points, bad).collect()} == {"error"}
+    failed = {r["raw_name"]: r["status"] for r in summary.series_status(plan, points, bad).collect()}
+    assert failed.pop("s0") == "data" and set(failed.values()) == {"error"}
+    known = frame(spark, [("t", "s0"), ("t", "s1")], "tool_id string, raw_name string")
+    status = {r["raw_name"]: r["status"] for r in summary.series_status(plan, points, ok, known).collect()}
+    assert (status["s0"], status["s1"], status["s2"]) == ("data", "no_data", "error")
     for mode, shown in (("overview", 60), ("standard", 50), ("focus", 4)):
         modes = frame(spark, [(1, mode)], "selection_id int, mode string")
         assert summary.shown_series(plan, modes).count() == shown
@@ -243,19 +268,23 @@ def csv_lines(path):
 
 
 def test_chart_csv_text(spark, tmp_path):
-    second = timedelta(seconds=1)
-    result = frame(spark, [("tool_b", START + second, None, 10.0), ("tool_b", START + 2 * second, None, 20.0), ("tool_a", START, 1.0, None), ("tool_a", START + second, 2.0, None)],
-                   "tool_id string, bucket timestamp_ntz, chamber_pressure double, rf_power double")
-    a = align.align_wide(result.drop("rf_power").where("tool_id = 'tool_a'"), ["tool_a"])
-    sinks.write_chart_csv(a, str(tmp_path / "a"))
-    assert csv_lines(tmp_path / "a") == ["ts,tool_a.chamber_pressure", "2026-01-01T00:00:00+00:00,1.0", "2026-01-01T00:00:01+00:00,2.0"]
-    wide = align.align_wide(result, ["tool_b", "tool_a"]).select("ts", "`tool_a.chamber_pressure`", "`tool_b.rf_power`")
-    sinks.write_chart_csv(wide, str(tmp_path / "ab"))
-    assert csv_lines(tmp_path / "ab") == ["ts,tool_a.chamber_pressure,tool_b.rf_power", "2026-01-01T00:00:00+00:00,1.0,", "2026-01-01T00:00:01+00:00,2.0,10.0", "2026-01-01T00:00:02+00:00,,20.0"]
+    half = timedelta(minutes=30)
+    rows = [("oven", START, 7.25, -1.0), ("oven", START + half, 8.5, None), ("pump", START + half, None, 0.5), ("pump", START + 2 * half, 3.0, 0.75)]
+    result = frame(spark, rows, "tool_id string, bucket timestamp_ntz, heat_avg double, flow_avg double")
+    sinks.write_chart_csv(align.align_wide(result, {"pump": ["flow_avg"], "oven": ["heat_avg"]}), str(tmp_path / "two"))
+    assert csv_lines(tmp_path / "two") == ["ts,oven.heat_avg,pump.flow_avg", "2026-01-01T00:00:00+00:00,7.25,", "2026-01-01T00:30:00+00:00,8.5,0.5", "2026-01-01T01:00:00+00:00,,0.75"]
+    sinks.write_chart_csv(align.align_wide(result, {"oven": ["heat_avg", "flow_avg"]}), str(tmp_path / "one"))
+    assert csv_lines(tmp_path / "one") == ["ts,oven.heat_avg,oven.flow_avg", "2026-01-01T00:00:00+00:00,7.25,-1.0", "2026-01-01T00:30:00+00:00,8.5,"]
     sinks.write_chart_csv(frame(spark, [], "ts timestamp_ntz"), str(tmp_path / "none"))
     assert csv_lines(tmp_path / "none") == ["ts"]
 
 
+def test_aligned_names_do_not_clash(spark):
+    rows = frame(spark, [("t", START, 1.0, 2.0), ("t_a", START, 3.0, 4.0)], "tool_id string, bucket timestamp_ntz, a_x_avg double, x_avg double")
+    got = align.align_wide(rows, ["t", "t_a"]).first().asDict()
+    assert got == {"ts": START, "t.a_x_avg": 1.0, "t.x_avg": 2.0, "t_a.a_x_avg": 3.0, "t_a.x_avg": 4.0}
+
+
 def test_table_csv_text(spark, tmp_path):
     rows = readings(spark, [("b", START, 1.5, None), ("a", START, 2.0, 1e16), ("a", START + timedelta(microseconds=500000), math.nan, 1e-5)])
     sinks.write_table_csv(rows, str(tmp_path / "t"))

@@ -132,14 +132,15 @@ def test_tool_status(spark):
     def frame(rows, ddl):
         return spark.createDataFrame(rows, ddl)
     got = tool_status(
-        frame([("ok",), ("none",), ("lacks",), ("bad",), ("idle",)], "tool_id string"),
-        frame([("ok", "p"), ("none", "p"), ("lacks", "p"), ("lacks", "q"), ("bad", "p")], "tool_id string, raw_name string"),
-        frame([("ok", "p"), ("lacks", "p")], "tool_id string, raw_name string"),
-        frame([("ok",), ("lacks",), ("bad",), ("idle",)], "tool_id string"),
-        frame([("bad", "unreadable footer")], "tool_id string, reason string"))
+        frame([("ok",), ("none",), ("lacks",), ("bad",), ("idle",), ("part",), ("blank",)], "tool_id string"),
+        frame([("ok", "p"), ("none", "p"), ("lacks", "p"), ("lacks", "q"), ("bad", "p"), ("part", "p"), ("blank", "x"), ("blank", "y")], "tool_id string, raw_name string"),
+        frame([("ok", "p"), ("lacks", "p"), ("part", "p"), ("blank", "p")], "tool_id string, raw_name string"),
+        frame([("ok",), ("lacks",), ("idle",), ("blank",)] + [("part",)] * 99, "tool_id string"),
+        frame([("bad", "unreadable footer"), ("part", "one bad page"), ("ok", None)], "tool_id string, reason string"))
     assert {r["tool_id"]: (r["status"], r["message"]) for r in got.collect()} == {
         "ok": ("ok", ""), "none": ("empty", ""), "idle": ("empty", ""), "bad": ("unreadable", "unreadable footer"),
-        "lacks": ("missing_column", "no column 'q' in this tool's files")}
+        "lacks": ("ok", "no column 'q' in this tool's files"), "part": ("ok", "one bad page"),
+        "blank": ("missing_column", "no column 'x' in this tool's files")}
 
 
 def test_saved_sets(spark):

@@ -30,22 +30,22 @@ def write(path, columns, *, rows=100, hz=10, start=START, time_type=pa.timestamp
 
 
 def test_index_layouts(spark, tmp_path):
-    write(tmp_path / "etch_a1.parquet", {"p": pa.float64()})
-    write(tmp_path / "etch_b2" / "2026-01-01T13.parquet", {"p": pa.float64()})
-    write(tmp_path / "etch_c3" / "2026" / "05" / "01" / "07.parquet", {"p": pa.float32()})
+    write(tmp_path / "kiln_1.parquet", {"p": pa.float64()})
+    write(tmp_path / "kiln_2" / "2026-03-09T21.parquet", {"p": pa.float64()})
+    write(tmp_path / "kiln_3" / "2026" / "11" / "30" / "00.parquet", {"p": pa.float32()})
     rows = {r["file_id"]: r for r in index_of(scan_files(spark, str(tmp_path))).collect()}
-    flat = rows["etch_a1.parquet"]
-    assert (flat["tool_id"], flat["hour_bucket"], flat["row_count"]) == ("etch_a1", None, 100)
+    flat = rows["kiln_1.parquet"]
+    assert (flat["tool_id"], flat["hour_bucket"], flat["row_count"]) == ("kiln_1", None, 100)
     assert (flat["min_ts"], flat["max_ts"]) == (START, START + timedelta(seconds=9.9))
-    assert flat["size_bytes"] == (tmp_path / "etch_a1.parquet").stat().st_size
-    assert rows["etch_b2/2026-01-01T13.parquet"]["hour_bucket"] == "2026-01-01T13"
-    assert rows["etch_c3/2026/05/01/07.parquet"]["hour_bucket"] == "2026-05-01T07"
+    assert flat["size_bytes"] == (tmp_path / "kiln_1.parquet").stat().st_size
+    assert rows["kiln_2/2026-03-09T21.parquet"]["hour_bucket"] == "2026-03-09T21"
+    assert rows["kiln_3/2026/11/30/00.parquet"]["hour_bucket"] == "2026-11-30T00"
     assert not flat["archived"] and not flat["pinned"]
 
 
 def test_bad_files_are_quarantined_with_reasons(spark, tmp_path):
     write(tmp_path / "good.parquet", {"p": pa.float64()})
-    (tmp_path / "bad.parquet").write_bytes(b"not a parquet file at all")
+    (tmp_path / "bad.parquet").write_bytes(bytes(range(40)))
     write(tmp_path / "other.parquet", {"p": pa.float64()}, name="timestamp")
     pq.write_table(pa.table({"ts": pa.array([], type=pa.timestamp("us"))}), tmp_path / "none.parquet")
     pq.write_table(
@@ -97,6 +97,50 @@ def test_mixed_units_and_columns_read_as_one_table(spark, tmp_path):
     assert rows.schema["p"].dataType.typeName() == "double"
 
 
+def test_odd_time_columns_are_quarantined(spark, tmp_path):
+    write(tmp_path / "good.parquet", {"p": pa.float64()})
+    write(tmp_path / "ns.parquet", {"p": pa.float64()}, time_type=pa.timestamp("ns"))
+    for name, kind, value in (("text", pa.string(), "2026-01-01"), ("day", pa.date32(), START.date()), ("real", pa.float64(), 1.5)):
+        pq.write_table(pa.table({"ts": pa.array([value], type=kind)}), tmp_path / f"{name}.parquet")
+    scanned = scan_files(spark, str(tmp_path))
+    reasons = {r["tool_id"]: r["reason"] for r in quarantine_of(scanned).collect()}
+    assert reasons == {"text": "time column ts has type string", "day": "time column ts has type date32[day]", "real": "time column ts has type double"}
+    assert {r["tool_id"]: r["min_ts"] for r in index_of(scanned).collect()} == {"good": START, "ns": START}
+
+
+@pytest.mark.parametrize("tool", ["tool a", "50%", "a+b", "k=v", "ü"])
+def test_tools_keep_their_spelling(spark, tmp_path, tool):
+    write(tmp_path / tool / "2026-01-01T08.parquet", {"p": pa.float64()})
+    files = index_of(scan_files(spark, str(tmp_path)))
+    rows = read_by_index(spark, files, ["p"], root=str(tmp_path))
+    assert files.first()["tool_id"] == tool and rows.first()["tool_id"] == tool and rows.count() == 100
+
+
+def test_decimals_and_booleans_are_numbers(spark, tmp_path):
+    columns = {"ts": pa.array([START] * 3, type=pa.timestamp("us")), "money": pa.array([1, 2, None], type=pa.decimal128(10, 2)), "on": pa.array([True, False, None]), "big": pa.array([2**63, 1, None], type=pa.uint64())}
+    pq.write_table(pa.table(columns), tmp_path / "t.parquet")
+    files = index_of(scan_files(spark, str(tmp_path)))
+    got = read_by_index(spark, files, ["money", "on", "big"], root=str(tmp_path)).agg(*[F.sum(c) for c in ("money", "on", "big")]).first()
+    assert tuple(got) == (3.0, 1.0, 2.0**63)
+    assert all(r["numeric"] for r in sensor_catalog(files).collect())
+
+
+def test_other_columns_make_no_kinds_of_files(spark, tmp_path):
+    for i, extra in enumerate(({"x": pa.int64()}, {"y": pa.float32()}, {})):
+        write(tmp_path / f"t{i}.parquet", {"v": pa.float64(), **extra}, time_type=pa.timestamp("us"))
+    rows = read_by_index(spark, index_of(scan_files(spark, str(tmp_path))), ["v"], root=str(tmp_path))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and rows.count() == 300
+
+
+def test_catalog_skips_a_file_that_went_away(spark, tmp_path):
+    write(tmp_path / "a.parquet", {"p": pa.float64()})
+    write(tmp_path / "b.parquet", {"q": pa.float64()})
+    files = index_of(scan_files(spark, str(tmp_path))).cache()
+    assert files.count() == 2
+    (tmp_path / "a.parquet").unlink()
+    assert [r["raw_name"] for r in sensor_catalog(files).collect()] == ["q"]
+
+
 def test_no_files_read_as_empty_table(spark, tmp_path):
     write(tmp_path / "t.parquet", {"p": pa.float64()})
     files = index_of(scan_files(spark, str(tmp_path))).where("tool_id = 'absent'")
@@ -151,13 +195,12 @@ def test_range_and_columns_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<ts:timestamp_ntz,p:double>" in plan
 
 
-def test_checksums_whole_and_streamed(spark, tmp_path):
+def test_checksums_of_streamed_files(spark, tmp_path):
     write(tmp_path / "a.parquet", {"p": pa.float64()})
     write(tmp_path / "b" / "x.parquet", {"p": pa.float64()}, rows=5000)
     want = {f"{n}": hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("a.parquet", "b/x.parquet")}
-    for limit in (1 << 26, 10_000, 0):
-        stored = file_checksums(spark, str(tmp_path), limit)
-        assert {r["file_id"]: r["sha256"] for r in stored.collect()} == want
+    stored = file_checksums(spark, str(tmp_path))
+    assert {r["file_id"]: r["sha256"] for r in stored.collect()} == want
     manifest = spark.createDataFrame(
         [("a.parquet", "a", want["a.parquet"]), ("b/x.parquet", "b", "0" * 64), ("c", "c", None)],
         "file_id string, tool_id string, sha256 string")

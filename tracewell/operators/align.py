@@ -14,25 +14,27 @@ from tracewell.functions.text import (
 from tracewell.functions.time import iso_text
 
 
-def align_wide(result: DataFrame, tools: list[str], time_column: str = "bucket") -> DataFrame:
+def align_wide(
+    result: DataFrame, tools: list[str] | dict[str, list[str]], time_column: str = "bucket"
+) -> DataFrame:
     """Full outer alignment of a wide result on its time column.
 
-    Columns are ``ts`` and ``{tool}.{column}``, by tool, then in the result's column order.
-    The tools are the caller's list, so the pivot needs no extra job to find them and is one
-    aggregate keyed on time.
+    Columns are ``ts`` and ``{tool}.{column}``, by tool, then in the order listed. ``tools`` maps
+    each tool to its own columns of the result; a plain list gives every tool all of them. Tools
+    that failed are left out by not naming them. The caller names the tools, so no extra job has
+    to find them, and all is one aggregate keyed on time.
     """
     values = [c for c in result.columns if c not in ("tool_id", time_column)]
-    ordered = sorted(tools)
-    pivoted = (
-        result.groupBy(F.col(time_column).alias("ts"))
-        .pivot("tool_id", ordered)
-        .agg(*[F.first(_quoted(c), ignorenulls=True).alias(c) for c in values])
-    )
-    produced = [
-        f"{tool}_{c}" if len(values) > 1 else tool for tool in ordered for c in values
+    own = tools if isinstance(tools, dict) else dict.fromkeys(tools, values)
+    cells = [
+        F.first(F.when(F.col("tool_id") == tool, _quoted(c)), ignorenulls=True).alias(f"{tool}.{c}")
+        for tool in sorted(own)
+        for c in own[tool]
     ]
-    named = [f"{tool}.{c}" for tool in ordered for c in values]
-    return pivoted.select("ts", *[_quoted(p).alias(n) for p, n in zip(produced, named)])
+    scoped = result.where(F.col("tool_id").isin(list(own))).groupBy(
+        _quoted(time_column).alias("ts")
+    )
+    return scoped.agg(*cells) if cells else scoped.agg(F.count("*")).select("ts")
 
 
 def as_csv_text(rows: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.text import display_label, fold_case
 
+# Texts shown to the user.
 UNMAPPED = "—"
 NO_MAPPING = "(no mapping)"
 RAW_CATEGORY = "All sensors (raw)"
 NO_CATEGORY = "Other"
 BREADCRUMB = "  /  "
-MAX_PIVOT_TOOLS = 5_000
 
 
 def latest_mapping(mappings: DataFrame) -> DataFrame:
@@ -61,10 +61,9 @@ def mapping_matrix(
     """One row per canonical sensor, one column per tool, ``—`` where unmapped.
 
     Only existing mappings are pivoted and the catalog is joined to the result, so empty cells
-    cost nothing before the last projection.
+    cost nothing before the last projection. Name tools in blocks when they are very many, or
+    use :func:`mapping_cells`, which has a row per tool.
     """
-    if len(tools) > MAX_PIVOT_TOOLS:
-        raise ValueError("too many tools for one column each; use mapping_cells")
     known = (
         mapping.groupBy("canonical_name").pivot("tool_id", tools).agg(F.first("raw_name"))
     )
@@ -163,6 +162,11 @@ def search_results(rows: DataFrame, needle: str) -> DataFrame:
     )
 
 
+def search_count(rows: DataFrame, needle: str) -> DataFrame:
+    """How many rows the search lists, as one row ``hits``."""
+    return search_results(rows, needle).agg(F.count("*").alias("hits"))
+
+
 def selection_counts(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected and total sensors per tool, with the grand total on a NULL tool row.
 

@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.time import bucket_start, bucket_start_by, in_range
 from tracewell.plans.resolution import bucket_seconds, extent_seconds_column
-from tracewell.session import broadcast_if_small, rows_if_few
-
-# Four buffers per sensor stay below the field limit set in ``tracewell.session``.
-SENSORS_PER_AGGREGATE = 120
-MAX_TOOLS_IN_FILTER = 1_000
 
 
 def downsample(
@@ -30,25 +25,19 @@ def downsample(
     All tools go through the same hash aggregate: rows shrink to one per tool and bucket on the
     map side, so a tool holding a third of the readings costs no more shuffle than any other.
 
-    Tools with very many sensors are aggregated in groups that generated code can hold, each
-    reading its own columns, and put side by side on the bucket. The groups are partitioned
-    alike, so this join of small results adds no shuffle.
+    It is one aggregate whatever the number of sensors. Rows without a tool or time form groups
+    of their own.
     """
     scoped = readings.where(in_range(F.col("ts"), start, end)).withColumn(
         "bucket", bucket_start(F.col("ts"), width_seconds)
     )
     if not sensors:
         return scoped.select(*keys, "bucket").where(F.lit(False))
-    groups = [
-        sensors[i : i + SENSORS_PER_AGGREGATE]
-        for i in range(0, len(sensors), SENSORS_PER_AGGREGATE)
-    ]
-    parts = [_aggregate(scoped, keys, group) for group in groups]
-    return reduce(lambda left, right: left.join(right, [*keys, "bucket"]), parts)
+    return _aggregate(scoped, keys, sensors)
 
 
 def _aggregate(scoped: DataFrame, keys: tuple[str, ...], sensors: list[str]) -> DataFrame:
-    """One group's aggregate as SQL text: a single call however many columns there are."""
+    """The aggregate as SQL text: a single call however many columns there are."""
     key_list = ", ".join([*map(_name, keys), "bucket"])
     cells = ", ".join(
         f"{function}({_name(s)}) AS {_name(f'{s}_{function}')}"
@@ -90,8 +79,8 @@ def downsample_extent(
     """Each tool over its own full extent, at ``max(1, round(span / points))`` seconds.
 
     ``extents`` holds ``tool_id, earliest, latest``; pass the file index's ``tool_extents`` to
-    spare the pass over the readings that finds them otherwise. It is one row per tool and
-    broadcast when proven few, so the readings are not shuffled for the look-up.
+    spare the pass over the readings that finds them otherwise. It is one row per tool; Spark
+    broadcasts it at run time when it turns out small, and splits busy tools when not.
     """
     if extents is None:
         extents = readings.groupBy("tool_id").agg(
@@ -101,7 +90,7 @@ def downsample_extent(
         "tool_id",
         extent_seconds_column(F.col("earliest"), F.col("latest"), points).alias("width"),
     )
-    bucketed = readings.join(broadcast_if_small(extents), "tool_id").select(
+    bucketed = readings.join(extents, "tool_id").select(
         "tool_id",
         "sensor",
         "width",
@@ -129,22 +118,37 @@ def downsample_plan(
 ) -> DataFrame:
     """Down-sample exactly the ``(tool_id, raw_name)`` pairs of a resolved plan, in one job.
 
-    The pairs filter the rows before the aggregate. They are broadcast when proven few.
+    The pairs filter the rows before the aggregate, in a join that Spark broadcasts at run time
+    when they turn out few. No job runs while the query is being built.
     """
     pairs = plan.select("tool_id", F.col("raw_name").alias("sensor")).distinct()
-    few = rows_if_few(pairs)
-    if few is not None:
-        pairs = F.broadcast(readings.sparkSession.createDataFrame(few, pairs.schema))
-        tools = sorted({row["tool_id"] for row in few})
-        if len(tools) <= MAX_TOOLS_IN_FILTER:
-            # A plain filter prunes the folders of all other tools; a join does not.
-            readings = readings.where(F.col("tool_id").isin(tools))
     wanted = readings.where(in_range(F.col("ts"), start, end)).join(
         pairs, ["tool_id", "sensor"], "left_semi"
     )
     return downsample_long(wanted, width_seconds)
 
 
+def downsample_plan_wide(
+    readings: DataFrame,
+    plan: DataFrame,
+    width_seconds: int,
+    *,
+    sensors: list[str] | None = None,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+) -> DataFrame:
+    """The pairs of a resolved plan from wide readings: ``tool_id, sensor, bucket, avg, min, max``.
+
+    Tools that the plan doesn't name leave before the aggregate. The pairs then choose among the
+    buckets, which are few. ``sensors`` narrows the columns read; all by default.
+    """
+    columns = sensors or [c for c in readings.columns if c not in ("tool_id", "ts", "ts_ns")]
+    pairs = plan.select("tool_id", F.col("raw_name").alias("sensor")).distinct()
+    asked = readings.join(pairs.select("tool_id").distinct(), "tool_id", "left_semi")
+    series = series_of(downsample(asked, columns, width_seconds, start=start, end=end), columns)
+    return series.join(pairs, ["tool_id", "sensor"], "left_semi").select(*series.columns)
+
+
 def downsample_wanted(
     readings: DataFrame,
     wanted: dict[str, list[str]],
@@ -153,20 +157,26 @@ def downsample_wanted(
     start: datetime | str | None = None,
     end: datetime | str | None = None,
 ) -> DataFrame:
-    """Series of wide readings for each tool's own sensor list, all tools in one job.
+    """Series of wide readings for each tool's own sensor list.
 
-    Sensors no file holds give no rows, like tools without readings; ``tool_status`` names them.
+    Tools with the same list share one aggregate of just these sensors; other tools' rows and
+    other columns leave before it. Sensors no file holds give no rows, like tools without
+    readings; ``tool_status`` names them.
     """
-    sensors = sorted({s for names in wanted.values() for s in names} & set(readings.columns))
-    scoped = readings.where(F.col("tool_id").isin(list(wanted)))
-    series = series_of(downsample(scoped, sensors, width_seconds, start=start, end=end), sensors)
+    present = set(readings.columns)
     tools_by_list: dict[tuple[str, ...], list[str]] = {}
     for tool, names in wanted.items():
-        tools_by_list.setdefault(tuple(sorted(names)), []).append(tool)
-    asked = F.lit(False)
+        if own := tuple(sorted(set(names) & present)):
+            tools_by_list.setdefault(own, []).append(tool)
+    parts = []
     for names, tools in tools_by_list.items():
-        asked = asked | (F.col("tool_id").isin(tools) & F.col("sensor").isin(list(names)))
-    return series.where(asked)
+        scoped = readings.where(F.col("tool_id").isin(tools))
+        result = downsample(scoped, list(names), width_seconds, start=start, end=end)
+        parts.append(series_of(result, list(names)))
+    if not parts:
+        empty = "tool_id string, sensor string, bucket timestamp_ntz, avg double, min double, max double"
+        return readings.sparkSession.createDataFrame([], empty)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def to_long(readings: DataFrame, sensors: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.time import in_range, utc_literal
 
@@ -92,8 +92,10 @@ def page(
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the total order.
 
-    A shallow page is one distributed top-k. For a deep one, counts per day, then hour, minute
-    and so on move the start of the scan close to the page before the top-k runs.
+    Rows without a time come first in rising order and last in falling order, at any depth. A
+    shallow page is one distributed top-k. For a deep one, counts per day, then hour, minute and
+    so on move the start of the scan close to the page before the top-k runs; both ways give the
+    same rows.
     """
     if offset + limit <= direct_rows:
         return rows.orderBy(*total_order(rows, order)).offset(offset).limit(limit)
@@ -102,15 +104,31 @@ def page(
 
 
 def page_after(
-    rows: DataFrame, *, last_ts: datetime | str, last_tool: str, limit: int, order: str = "asc"
+    rows: DataFrame,
+    *,
+    last_ts: datetime | str | None,
+    last_tool: str,
+    limit: int,
+    order: str = "asc",
 ) -> DataFrame:
-    """Next rows behind a ``(ts, tool_id)`` position; cost does not grow with depth."""
-    ts, bound = F.col("ts"), utc_literal(last_ts)
-    beyond = ts > bound if order == "asc" else ts < bound
-    same = (ts == bound) & (F.col("tool_id") > last_tool)
+    """Next rows behind a ``(ts, tool_id)`` position; cost does not grow with depth.
+
+    ``last_ts`` is None behind a row without a time, which has its place as in :func:`page`.
+    """
+    ts, tool = F.col("ts"), F.col("tool_id") > last_tool
+    if last_ts is None:
+        beyond = (ts.isNull() & tool) | (ts.isNotNull() if order == "asc" else F.lit(False))
+        return rows.where(beyond).orderBy(*total_order(rows, order)).limit(limit)
+    bound = utc_literal(last_ts)
+    later = ts > bound if order == "asc" else (ts < bound) | ts.isNull()
     # The first condition repeats the time bound alone so that it reaches the scan.
-    reach = ts >= bound if order == "asc" else ts <= bound
-    return rows.where(reach).where(beyond | same).orderBy(*total_order(rows, order)).limit(limit)
+    reach = ts >= bound if order == "asc" else (ts <= bound) | ts.isNull()
+    return (
+        rows.where(reach)
+        .where(later | ((ts == bound) & tool))
+        .orderBy(*total_order(rows, order))
+        .limit(limit)
+    )
 
 
 def _seek(
@@ -118,12 +136,38 @@ def _seek(
 ) -> tuple[DataFrame, int]:
     """Cut ``rows`` to a stretch of the order that starts close before the page.
 
-    Returns the stretch and the number of rows before it. Every step counts only inside the one
-    slot that holds the page's first row, so a step returns few counts whatever the data size.
+    Returns the stretch and the number of rows before it.
+    """
+    undated, dated = rows.where(F.col("ts").isNull()), rows.where(F.col("ts").isNotNull())
+    if order == "asc":
+        before = undated.count()
+        if offset >= before:
+            held, skipped, _ = _seek_dated(dated, offset - before, limit, order, direct_rows)
+            return held, skipped + before
+        held, skipped = _skip_tools(undated, offset, 0)
+        rest = offset + limit - before
+        if rest > 0:
+            held = held.union(_seek_dated(dated, 0, rest, order, direct_rows)[0])
+        return held, skipped
+    held, skipped, total = _seek_dated(dated, offset, limit, order, direct_rows)
+    if total is None:
+        return held, skipped
+    if offset >= total:
+        return _skip_tools(undated, offset, total)
+    return held.union(undated), skipped
+
+
+def _seek_dated(
+    rows: DataFrame, offset: int, limit: int, order: str, direct_rows: int
+) -> tuple[DataFrame, int, int | None]:
+    """As :func:`_seek` for rows with a time, and their number where the page reaches beyond.
+
+    Every step counts only inside the one slot that holds the page's first row, so a step
+    returns few counts whatever the data size.
     """
     falling = order == "desc"
     last = offset + limit
-    low, high, skipped = None, None, 0
+    low, high, skipped, total = None, None, 0, None
     slot_low, slot_high = None, None
     for width in SEEK_WIDTHS:
         label = F.window("ts", f"{width // timedelta(microseconds=1)} microseconds")["start"]
@@ -141,25 +185,39 @@ def _seek(
             if last_slot is None and after >= last:
                 last_slot = row["slot"]
             position = after
+        if slot_low is None and position < last:
+            total = position
         if first_slot is None:
-            return rows.where(F.lit(False)), offset
+            return rows.where(F.lit(False)), offset, total
         slot_low, slot_high = first_slot, first_slot + width
         if falling:
             high, low = slot_high, last_slot or low
         else:
             low, high = slot_low, last_slot + width if last_slot else high
         if last - skipped <= direct_rows:
-            return rows.where(in_range(F.col("ts"), low, high)), skipped
+            return rows.where(in_range(F.col("ts"), low, high)), skipped, total
     # Only rows sharing one timestamp are left to skip: skip whole tools among them.
     at_start = F.col("ts") == utc_literal(slot_low)
-    per_tool = rows.where(at_start).groupBy("tool_id").count().orderBy("tool_id").collect()
-    for row in per_tool:
-        first_tool = row["tool_id"]
-        if skipped + row["count"] > offset:
-            break
-        skipped += row["count"]
-    kept = ~at_start | (F.col("tool_id") >= first_tool)
-    return rows.where(in_range(F.col("ts"), low, high)).where(kept), skipped
+    tied, skipped = _skip_tools(rows.where(at_start), offset, skipped)
+    return rows.where(in_range(F.col("ts"), low, high)).where(~at_start).union(tied), skipped, total
+
+
+def _skip_tools(rows: DataFrame, offset: int, skipped: int) -> tuple[DataFrame, int]:
+    """Leave out whole tools among rows of one time; the running count stays on the executors."""
+    upto = Window.orderBy(F.col("tool_id").asc_nulls_first())
+    at = (
+        rows.groupBy("tool_id")
+        .count()
+        .select("tool_id", "count", F.sum("count").over(upto).alias("upto"))
+        .where(F.col("upto") + skipped > offset)
+        .orderBy("upto")
+        .first()
+    )
+    if at is None:
+        return rows.where(F.lit(False)), offset
+    if at["tool_id"] is None:
+        return rows, skipped
+    return rows.where(F.col("tool_id") >= at["tool_id"]), skipped + at["upto"] - at["count"]
 
 
 def _quoted(column: str) -> Column:

@@ -19,6 +19,11 @@ def parse_saved_sets(rows: DataFrame) -> DataFrame:
     return parsed.select("set_id", "name", *parts)
 
 
+def encode_saved_sets(sets: DataFrame) -> DataFrame:
+    """Arrays back to ``set_id, name, payload``, the text that :func:`parse_saved_sets` reads."""
+    return sets.select("set_id", "name", F.to_json(F.struct(*PARTS)).alias("payload"))
+
+
 def by_name() -> list[Column]:
     """Listing order: name without regard to case."""
     return [F.lower("name"), F.col("set_id")]

@@ -58,11 +58,14 @@ def sparkline_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def series_status(plan: DataFrame, series: DataFrame, tools: DataFrame) -> DataFrame:
+def series_status(
+    plan: DataFrame, series: DataFrame, tools: DataFrame, catalog: DataFrame | None = None
+) -> DataFrame:
     """``error``, ``no_data`` or ``data`` for every planned ``(tool_id, raw_name)``.
 
-    ``tools`` is the result of ``tool_status``; an unreadable tool or a column its files lack
-    is an error for all of the tool's series.
+    ``tools`` is the result of ``tool_status``; an unreadable tool is an error for all of its
+    series, a column that ``catalog(tool_id, raw_name)`` lacks for its own series alone. A
+    series with points is never an error.
     """
     points = series.groupBy("tool_id", F.col("sensor").alias("raw_name")).agg(
         F.count_if(is_finite(F.col("avg"))).alias("points")
@@ -71,13 +74,20 @@ def series_status(plan: DataFrame, series: DataFrame, tools: DataFrame) -> DataF
         "tool_id", F.col("status").isin("unreadable", "missing_column").alias("failed")
     )
     status = (
-        F.when(F.col("failed"), "error")
-        .when(F.coalesce("points", F.lit(0)) == 0, "no_data")
-        .otherwise("data")
+        F.when(F.coalesce("points", F.lit(0)) > 0, "data")
+        .when(F.col("failed") | ~F.col("present"), "error")
+        .otherwise("no_data")
     )
+    asked = plan.select("tool_id", "raw_name").distinct()
+    if catalog is None:
+        asked = asked.withColumn("present", F.lit(True))
+    else:
+        known = catalog.select("tool_id", "raw_name", F.lit(True).alias("known")).distinct()
+        asked = asked.join(known, ["tool_id", "raw_name"], "left").select(
+            "tool_id", "raw_name", F.col("known").isNotNull().alias("present")
+        )
     return (
-        plan.select("tool_id", "raw_name")
-        .distinct()
+        asked
         .join(points, ["tool_id", "raw_name"], "left")
         .join(failed, "tool_id", "left")
         .select(

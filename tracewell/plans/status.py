@@ -10,6 +10,10 @@ def tool_status(
 ) -> DataFrame:
     """``ok``, ``empty``, ``missing_column`` or ``unreadable`` with a message for every tool.
 
+    A tool with readable files keeps its result: bad files beside them, or some absent columns,
+    only show in the message. ``unreadable`` has bad files alone, ``missing_column`` none of the
+    columns asked for.
+
     ``tools(tool_id)``, ``plan(tool_id, raw_name)``, ``catalog(tool_id, raw_name)``,
     ``files(tool_id)`` of readable files and ``quarantine(tool_id, reason)``.
     """
@@ -20,24 +24,23 @@ def tool_status(
         .groupBy("tool_id")
         .agg(
             F.count("*").alias("n_columns"),
+            F.count_if(F.col("known").isNull()).alias("n_absent"),
             F.min(F.when(F.col("known").isNull(), F.col("raw_name"))).alias("first_absent"),
         )
     )
     readable = files.groupBy("tool_id").agg(F.count("*").alias("n_files"))
     bad = quarantine.groupBy("tool_id").agg(F.min("reason").alias("reason"))
+    absent = F.concat(F.lit("no column '"), "first_absent", F.lit("' in this tool's files"))
     status = (
-        F.when(F.col("reason").isNotNull(), "unreadable")
+        F.when(F.col("n_files").isNull() & F.col("reason").isNotNull(), "unreadable")
         .when(F.col("n_files").isNull() | F.col("n_columns").isNull(), "empty")
-        .when(F.col("first_absent").isNotNull(), "missing_column")
+        .when(F.col("n_absent") == F.col("n_columns"), "missing_column")
         .otherwise("ok")
     )
     message = (
-        F.when(status == "unreadable", F.col("reason"))
-        .when(
-            status == "missing_column",
-            F.concat(F.lit("no column '"), "first_absent", F.lit("' in this tool's files")),
-        )
-        .otherwise(F.lit(""))
+        F.when(status == "empty", F.lit(""))
+        .when(status == "missing_column", absent)
+        .otherwise(F.coalesce("reason", absent, F.lit("")))
     )
     return (
         tools.select("tool_id")

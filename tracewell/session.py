@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pickle
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
     # Readings are wall-clock UTC; every text or epoch conversion relies on it.
@@ -24,7 +23,8 @@ RUNTIME_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -40,20 +40,3 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tracewell-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-
-def rows_if_few(
-    df: DataFrame, max_rows: int = 20_000, max_bytes: int = 8 * 1024 * 1024
-) -> list[Row] | None:
-    """All rows of a dimension proven to be within both bounds, else None."""
-    rows = df.take(max_rows + 1)
-    few = len(rows) <= max_rows and len(pickle.dumps([tuple(r) for r in rows])) <= max_bytes
-    return rows if few else None
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension once its rows are fetched and found to be few and small.
-
-    Anything larger is returned untouched and joins through a shuffle.
-    """
-    rows = rows_if_few(df)
-    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

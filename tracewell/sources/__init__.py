@@ -12,7 +12,6 @@ from tracewell.sources.readings import (
     normalise_time,
     read_by_index,
     read_readings,
-    read_table,
 )
 from tracewell.sources.sinks import (
     read_partitioned,
@@ -36,7 +35,6 @@ __all__ = [
     "read_by_index",
     "read_partitioned",
     "read_readings",
-    "read_table",
     "scan_index",
     "sensor_catalog",
     "write_chart_csv",

@@ -11,31 +11,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracewell.sources.files import _locate, list_parquet
 from tracewell.sources.layout import relative_path, tool_of
 
-# Files up to this size are hashed by Spark from one binary value, larger ones as a stream.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
 CHUNK_BYTES = 1024 * 1024
 HASH_FIELDS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
 
 
-def file_checksums(
-    spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """``file_id, tool_id, size_bytes, sha256`` of every Parquet file below ``root``."""
-    small = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .where(F.col("length") <= whole_file_bytes)
-        .select("path", "length", F.sha2("content", 256).alias("sha256"))
-    )
-    large = (
-        list_parquet(spark, root)
-        .where(F.col("length") > whole_file_bytes)
-        .mapInArrow(_hash_streams, "path string, length bigint, sha256 string")
+def file_checksums(spark: SparkSession, root: str) -> DataFrame:
+    """``file_id, tool_id, size_bytes, sha256`` of every Parquet file below ``root``.
+
+    Executors read each file as a stream, so no file has to fit in memory.
+    """
+    hashed = list_parquet(spark, root).mapInArrow(
+        _hash_streams, "path string, length bigint, sha256 string"
     )
     relative = relative_path(F.col("path"), root)
-    return small.unionByName(large).select(
+    return hashed.select(
         relative.alias("file_id"),
         tool_of(relative).alias("tool_id"),
         F.col("length").alias("size_bytes"),

@@ -22,8 +22,7 @@ FOOTER_FIELDS = pa.schema(
         ("length", pa.int64()),
         ("time_column", pa.string()),
         ("time_type", pa.string()),
-        ("int_columns", pa.list_(pa.string())),
-        ("text_columns", pa.list_(pa.string())),
+        ("column_types", pa.map_(pa.string(), pa.string())),
         ("min_us", pa.int64()),
         ("max_us", pa.int64()),
         ("row_count", pa.int64()),
@@ -32,7 +31,7 @@ FOOTER_FIELDS = pa.schema(
 )
 FOOTER_DDL = (
     "path string, length bigint, time_column string, time_type string,"
-    " int_columns array<string>, text_columns array<string>,"
+    " column_types map<string, string>,"
     " min_us bigint, max_us bigint, row_count bigint, reason string"
 )
 COLUMN_FIELDS = pa.schema(
@@ -79,8 +78,7 @@ def scan_files(
         F.col("length").alias("size_bytes"),
         "time_column",
         "time_type",
-        "int_columns",
-        "text_columns",
+        "column_types",
         "reason",
     )
 
@@ -101,8 +99,7 @@ def index_of(scanned: DataFrame) -> DataFrame:
         "size_bytes",
         "time_column",
         "time_type",
-        "int_columns",
-        "text_columns",
+        "column_types",
     )
 
 
@@ -118,7 +115,10 @@ def scan_index(
 
 
 def sensor_catalog(index: DataFrame) -> DataFrame:
-    """Columns and units of each tool's oldest active file, in file order, without its time."""
+    """Columns and units of each tool's oldest active file, in file order, without its time.
+
+    A file that went away or broke since the scan gives no columns; the next scan sees it.
+    """
     first = (
         index.where(~F.col("archived"))
         .groupBy("tool_id")
@@ -153,21 +153,25 @@ def _footer_facts(path: str, time_columns: tuple[str, ...]) -> dict:
     if footer.num_row_groups == 0:
         return {"reason": "no row groups"}
     time_type = schema.field(column).type
-    place = [footer.schema.column(i).path for i in range(len(footer.schema))].index(column)
-    stats = [footer.row_group(g).column(place).statistics for g in range(footer.num_row_groups)]
-    if any(s is None or not s.has_min_max for s in stats):
-        return {"reason": f"no statistics on {column}"}
-    unit = time_type.unit if pa.types.is_timestamp(time_type) else "ns"
-    to_micros = _micros_from(unit)
-    sensors = [f for f in schema if f.name != column]
+    if not (pa.types.is_timestamp(time_type) or time_type == pa.int64()):
+        return {"reason": f"time column {column} has type {time_type}"}
+    try:
+        place = [footer.schema.column(i).path for i in range(len(footer.schema))].index(column)
+        groups = [footer.row_group(g).column(place) for g in range(footer.num_row_groups)]
+        stats = [group.statistics for group in groups]
+        if any(s is None or not s.has_min_max for s in stats):
+            return {"reason": f"no statistics on {column}"}
+        to_micros = _micros_from(time_type.unit if time_type != pa.int64() else "ns")
+        low, high = min(s.min_raw for s in stats), max(s.max_raw for s in stats)
+        extent = {"min_us": to_micros(low), "max_us": to_micros(high)}
+    except (OSError, ValueError, TypeError, pa.ArrowException) as error:
+        return {"reason": f"unreadable statistics: {str(error).splitlines()[0]}"}
     return {
         "time_column": column,
         "time_type": str(time_type),
-        "int_columns": sorted(f.name for f in sensors if pa.types.is_integer(f.type)),
-        "text_columns": sorted(f.name for f in sensors if not _is_number(f.type)),
-        "min_us": to_micros(min(s.min_raw for s in stats)),
-        "max_us": to_micros(max(s.max_raw for s in stats)),
+        "column_types": [(f.name, str(f.type)) for f in schema if f.name != column],
         "row_count": footer.num_rows,
+        **extent,
     }
 
 
@@ -175,8 +179,11 @@ def _read_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for entry in batch.to_pylist():
-            filesystem, inner = _locate(entry["path"])
-            schema = pq.read_schema(inner, filesystem=filesystem)
+            try:
+                filesystem, inner = _locate(entry["path"])
+                schema = pq.read_schema(inner, filesystem=filesystem)
+            except (OSError, ValueError, pa.ArrowException):
+                continue
             for position, field in enumerate(schema):
                 if field.name != entry["time_column"]:
                     rows.append(
@@ -197,7 +204,12 @@ def _units_of(field: pa.Field) -> str | None:
 
 
 def _is_number(kind: pa.DataType) -> bool:
-    return pa.types.is_integer(kind) or pa.types.is_floating(kind)
+    return (
+        pa.types.is_integer(kind)
+        or pa.types.is_floating(kind)
+        or pa.types.is_decimal(kind)
+        or pa.types.is_boolean(kind)
+    )
 
 
 def _micros_from(unit: str):

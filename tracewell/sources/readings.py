@@ -8,11 +8,6 @@ from tracewell.functions.time import ns_to_ts
 from tracewell.sources.layout import relative_path, tool_of
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One file or folder as it is."""
-    return spark.read.parquet(path)
-
-
 def read_readings(
     spark: SparkSession,
     paths: list[str],
@@ -21,33 +16,38 @@ def read_readings(
     root: str,
     time_column: str = "ts",
     time_type: str = "timestamp[us]",
-    int_columns: tuple[str, ...] = (),
-    text_columns: tuple[str, ...] = (),
+    column_types: dict[str, str] | None = None,
     tool_id: Column | None = None,
 ) -> DataFrame:
-    """``tool_id, ts`` and the sensors as doubles from files that share one time type.
+    """``tool_id, ts`` and the sensors as doubles from files that share their types.
 
     The schema is given, not merged: a column some file lacks reads as NULL and float files
-    widen to double. ``ts_ns`` is kept for nanosecond files, whose ``ts`` rounds down.
-    ``paths`` may be folders, such as whole tools, which keeps the list short for bulk reads.
+    widen to double. ``column_types`` has the stored types of sensors that aren't floating:
+    integers, decimals and booleans (1 and 0) become doubles, text and nested columns read as
+    NULL. ``ts_ns`` is kept for nanosecond files, whose ``ts`` rounds down. ``paths`` may be
+    folders, such as whole tools, which keeps the list short for bulk reads.
     """
-    readable = [s for s in sensors if s not in text_columns]
+    stored = {s: _spark_type((column_types or {}).get(s, "double")) for s in sensors}
     schema = T.StructType([T.StructField(time_column, _spark_time_type(time_type))])
-    for sensor in readable:
-        schema.add(sensor, T.LongType() if sensor in int_columns else T.DoubleType())
+    for sensor, kind in stored.items():
+        if kind is not None:
+            schema.add(sensor, kind)
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
-    tool = tool_id if tool_id is not None else tool_of(
-        relative_path(F.col("_metadata.file_path"), root)
-    )
+    tool = tool_id if tool_id is not None else tool_of(relative_path(plain_path(), root))
     cells = [
-        (_quoted(s).cast("double") if s in readable else F.lit(None).cast("double")).alias(s)
-        for s in sensors
+        (F.lit(None) if stored[s] is None else _quoted(s)).cast("double").alias(s) for s in sensors
     ]
     return normalise_time(
         rows.select(tool.alias("tool_id"), time_column, *cells), time_column, time_type
     )
 
 
+def plain_path() -> Column:
+    """The row's file as the file scan names it; Spark gives it percent-encoded here."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def normalise_time(rows: DataFrame, time_column: str, time_type: str) -> DataFrame:
     """Replace the file's time column by ``ts`` in UTC, plus ``ts_ns`` for nanosecond files."""
     time = _quoted(time_column)
@@ -66,14 +66,17 @@ def read_by_index(
 
     ``files`` should already be pruned to the tools and range wanted: a Spark scan needs its
     paths on the driver. To read all there is, pass folders to :func:`read_readings` instead.
-    Columns held as integers by the files of a kind are read as such.
+    A kind is a time type and the types of the sensors asked for; other columns make no kinds.
     """
+    asked = F.array(*[F.lit(s) for s in sensors]).cast("array<string>")
+    types = F.transform(asked, lambda s: F.col("column_types")[s])
     kinds: dict[tuple, list[str]] = {}
-    facts = files.select("path", "time_column", "time_type", "int_columns", "text_columns")
-    for path, time_column, time_type, ints, texts in facts.collect():
-        kinds.setdefault((time_column, time_type, tuple(ints), tuple(texts)), []).append(path)
+    for path, time_column, time_type, found in files.select(
+        "path", "time_column", "time_type", types
+    ).collect():
+        kinds.setdefault((time_column, time_type, tuple(found)), []).append(path)
     united = None
-    for (time_column, time_type, ints, texts), paths in kinds.items():
+    for (time_column, time_type, found), paths in kinds.items():
         part = read_readings(
             spark,
             paths,
@@ -81,8 +84,7 @@ def read_by_index(
             root=root,
             time_column=time_column,
             time_type=time_type,
-            int_columns=ints,
-            text_columns=texts,
+            column_types={s: kind for s, kind in zip(sensors, found) if kind},
         )
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     if united is not None:
@@ -97,6 +99,18 @@ def _spark_time_type(time_type: str) -> T.DataType:
     return T.TimestampType() if "tz=" in time_type else T.TimestampNTZType()
 
 
+def _spark_type(stored: str) -> T.DataType | None:
+    """How Spark reads a column of this stored type, or None for one that is no number."""
+    if stored.startswith(("int", "uint")):
+        return T.DecimalType(20, 0) if stored == "uint64" else T.LongType()
+    if stored.startswith("decimal"):
+        precision, scale = stored[stored.index("(") + 1 : -1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    if stored == "bool":
+        return T.BooleanType()
+    return T.DoubleType() if stored in ("float", "double", "halffloat") else None
+
+
 def _is_nanos(time_type: str) -> bool:
     return time_type.startswith("timestamp[ns") or time_type == "int64"
 
