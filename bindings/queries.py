@@ -468,7 +468,8 @@ def _gone(spark, sf_dir):
 
 @query
 def manifest_archived(spark, sf_dir):
-    return index.mark_archived(t.file_index(spark, sf_dir), _gone(spark, sf_dir))
+    listed = payloads.parse_manifest(t.manifest_payloads(spark, sf_dir))
+    return index.archive_unlisted(t.file_index(spark, sf_dir), listed)
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 
@@ -76,6 +78,25 @@ def display_label(name: Column, units: Column) -> Column:
     ).otherwise(name)
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters whose full Unicode case folding isn't their lower case: to one character, as
+    two strings for ``translate``, and to several, as a mapping."""
+    found = {}
+    for code in range(0x110000):
+        char = chr(code)
+        if char.casefold() != char.lower():
+            found[char] = char.casefold()
+    single = {c: f for c, f in found.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in found.items() if len(f) > 1}
+
+
 def fold_case(text: Column) -> Column:
-    """Caseless form for matching: lower case, final sigma as sigma, German sharp s as ``ss``."""
-    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    """Caseless form for matching by full Unicode case folding, such as ``ss`` for sharp s."""
+    ones, folded, several = _foldings()
+    low = F.lower(text)  # first, as it turns a last capital sigma into its final form
+    long = low
+    for char, form in several.items():
+        long = F.replace(long, F.lit(char), F.lit(form))
+    rare = low.rlike(f"[{''.join(several)}]")
+    return F.translate(F.when(rare, long).otherwise(low), ones, folded)

@@ -12,6 +12,7 @@ NO_MAPPING = "(no mapping)"
 RAW_CATEGORY = "All sensors (raw)"
 NO_CATEGORY = "Other"
 BREADCRUMB = "  /  "
+SPREAD = 32
 
 
 def latest_mapping(mappings: DataFrame) -> DataFrame:
@@ -44,12 +45,25 @@ def process_groups(groups: DataFrame) -> DataFrame:
     return groups.select("prc_group_id").distinct()
 
 
+def _with_tools(sensors: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """Join sensors with the tools of their process group.
+
+    Few groups hold all sensors, so a group's sensors are spread over ``SPREAD`` keys by the
+    hash of their name, and its tools, the short side, go to every one of them.
+    """
+    spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_slot"))
+    slot = F.pmod(F.hash(name), F.lit(SPREAD))
+    return (
+        sensors.withColumn("_slot", slot).join(spread, ["prc_group_id", "_slot"]).drop("_slot")
+    )
+
+
 def mapping_cells(canonical: DataFrame, groups: DataFrame, mapping: DataFrame) -> DataFrame:
     """The mapping matrix in long form: each group's canonical sensors by the group's tools."""
     return (
         canonical.select("prc_group_id", "canonical_name")
         .distinct()
-        .join(groups, "prc_group_id")
+        .transform(_with_tools, groups, "canonical_name")
         .join(mapping, ["tool_id", "canonical_name"], "left")
         .select("prc_group_id", "canonical_name", "tool_id", "raw_name")
     )
@@ -115,9 +129,7 @@ def picker(
 ) -> DataFrame:
     """Every tool's sensors: its group's canonical ones if there are any, else its raw columns."""
     canonical = (
-        tools.select("tool_id")
-        .join(groups, "tool_id")
-        .join(labels, "prc_group_id")
+        labels.transform(_with_tools, tools.select("tool_id").join(groups, "tool_id"), "sensor")
         .select(
             "tool_id", F.lit("canonical").alias("kind"), "sensor", "label", "category",
             "uncategorised", "units", "description",

@@ -43,43 +43,42 @@ def files_for(files: DataFrame, tool_id: str, start: datetime, end: datetime) ->
 def overlapping_files(selections: DataFrame, files: DataFrame, bin_days: int = 31) -> DataFrame:
     """Files overlapping each ``selection_id, tool_id, start, end`` row, both ends included.
 
-    ``bin_days`` should be near the usual length of a requested range.
+    ``bin_days`` should be near the usual length of a requested range. Ranges are laid over
+    day-aligned bins and joined on tool and bin, so only neighbours in time ever meet. A pair
+    sharing several bins is kept in the first of them alone, which makes a distinct unnecessary.
     """
-    return _with_files(selections, files, bin_days, "inner").select(
+    ranges = _binned(selections, bin_days)
+    bins = F.when(F.col("start") <= F.col("end"), F.sequence("start_bin", "end_bin"))
+    return _touching(ranges.withColumn("bin", F.explode(bins)), files, bin_days).select(
         "selection_id", "tool_id", "file_id", "min_ts", "max_ts"
     )
 
 
-def _with_files(selections: DataFrame, files: DataFrame, bin_days: int, how: str) -> DataFrame:
-    """Join ranges with the files they overlap.
+def _bin_of(ts: Column, bin_days: int) -> Column:
+    return floor_div(epoch_micros(ts), bin_days * 86_400_000_000)
 
-    Ranges are laid over day-aligned bins and joined on tool and bin, so only neighbours in time
-    ever meet. A pair sharing several bins is kept in the first of them alone, which makes a
-    distinct unnecessary.
-    """
-    bin_micros = bin_days * 86_400_000_000
-
-    def bin_of(ts: Column) -> Column:
-        return floor_div(epoch_micros(ts), bin_micros)
 
-    start_bin, end_bin = bin_of(F.col("start")), bin_of(F.col("end"))
-    bins = F.when(F.col("start") <= F.col("end"), F.sequence(start_bin, end_bin))
-    ranges = selections.select(
+def _binned(selections: DataFrame, bin_days: int) -> DataFrame:
+    return selections.select(
         "selection_id",
         "tool_id",
         "start",
         "end",
-        start_bin.alias("start_bin"),
-        F.explode_outer(bins).alias("bin"),
+        _bin_of(F.col("start"), bin_days).alias("start_bin"),
+        _bin_of(F.col("end"), bin_days).alias("end_bin"),
     )
-    file_bin = bin_of(F.col("min_ts"))
+
+
+def _touching(ranges: DataFrame, files: DataFrame, bin_days: int) -> DataFrame:
+    """Join ranges, one row per bin, with the files they overlap in that bin for the first time."""
+    file_bin = _bin_of(F.col("min_ts"), bin_days)
     spans = active(files).select(
         F.col("tool_id").alias("file_tool"),
         "file_id",
         "min_ts",
         "max_ts",
         file_bin.alias("file_bin"),
-        F.explode(F.sequence(file_bin, bin_of(F.col("max_ts")))).alias("span_bin"),
+        F.explode(F.sequence(file_bin, _bin_of(F.col("max_ts"), bin_days))).alias("span_bin"),
     )
     meets = (
         (F.col("tool_id") == F.col("file_tool"))
@@ -88,20 +87,51 @@ def _with_files(selections: DataFrame, files: DataFrame, bin_days: int, how: str
         & (F.col("max_ts") >= F.col("start"))
         & (F.col("bin") == F.greatest("start_bin", "file_bin"))
     )
-    return ranges.join(spans, meets, how)
+    return ranges.join(spans, meets)
 
 
 def coverage(selections: DataFrame, files: DataFrame, bin_days: int = 31) -> DataFrame:
-    """Earliest and latest overlapping data per selection and tool, with the warnings shown."""
+    """Earliest and latest overlapping data per selection and tool, with the warnings shown.
+
+    A file that begins in a bin strictly inside the range overlaps it for certain, so such bins
+    count as one summary row each; only the two bins that the range cuts meet single files.
+    """
+    ranges = _binned(selections, bin_days)
+    valid = F.col("start") <= F.col("end")
+    keys = ["selection_id", "tool_id", "start", "end"]
+    cut = F.when(valid, F.array_distinct(F.array("start_bin", "end_bin")))
+    at_ends = _touching(ranges.withColumn("bin", F.explode(cut)), files, bin_days).select(
+        *keys, "min_ts", "max_ts", F.lit(1).cast("long").alias("n")
+    )
+    summary = (
+        active(files)
+        .groupBy(F.col("tool_id").alias("file_tool"), _bin_of(F.col("min_ts"), bin_days).alias("file_bin"))
+        .agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.count("*").alias("n"))
+    )
+    first, last = F.col("start_bin") + 1, F.col("end_bin") - 1
+    inner = F.when(valid & (first <= last), F.sequence(first, last))
+    inside = (
+        ranges.withColumn("bin", F.explode(inner))
+        .join(summary, (F.col("tool_id") == F.col("file_tool")) & (F.col("bin") == F.col("file_bin")))
+        .select(*keys, "min_ts", "max_ts", "n")
+    )
+    nothing = ranges.select(
+        *keys,
+        F.lit(None).cast("timestamp_ntz").alias("min_ts"),
+        F.lit(None).cast("timestamp_ntz").alias("max_ts"),
+        F.lit(0).cast("long").alias("n"),
+    )
     found = (
-        _with_files(selections, files, bin_days, "left")
-        .groupBy("selection_id", "tool_id", "start", "end")
+        nothing.union(at_ends)
+        .union(inside)
+        .groupBy(*keys)
         .agg(
             F.min("min_ts").alias("earliest"),
             F.max("max_ts").alias("latest"),
-            F.count("file_id").alias("files"),
+            F.sum("n").alias("files"),
         )
     )
+    # The wording of the warnings.
     none = F.concat(
         F.lit("No local data for "), F.col("tool_id"), F.lit(" in the requested range.")
     )
@@ -186,6 +216,15 @@ def _merged(indexed: DataFrame, scanned: DataFrame, how: str) -> DataFrame:
     )
 
 
+def archive_unlisted(indexed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Set ``archived`` on files the manifest doesn't list, in one join."""
+    listed = manifest.select("file_id", F.lit(True).alias("listed")).distinct()
+    return indexed.join(listed, "file_id", "left").select(
+        *[c for c in indexed.columns if c != "archived"],
+        (F.col("archived") | F.col("listed").isNull()).alias("archived"),
+    )
+
+
 def mark_archived(indexed: DataFrame, gone: DataFrame) -> DataFrame:
     """Set ``archived`` on files the manifest no longer lists."""
     flags = gone.select("file_id", F.lit(True).alias("gone"))

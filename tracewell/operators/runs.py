@@ -14,13 +14,14 @@ SLOTS_PER_CHUNK = 4096
 def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
     """Runs of readings per tool, split wherever the tool is silent longer than the gap.
 
-    Three steps, each far smaller than the one before:
+    No window sees more than one chunk of readings, however many one tool has:
 
     1. readings shrink to one row per tool and slot of the gap's width (two readings in one slot
        are never further apart than the gap), combined on the map side;
-    2. slots are joined up inside chunks of 4096 slots, so a window never sees more rows than
-       that however many readings one tool has;
-    3. the resulting fragments, a few per chunk, are joined up per tool.
+    2. slots are looked at in chunks of 4096 slots, each knowing the last reading of the chunk
+       before; runs are numbered inside the chunk;
+    3. the runs begun in earlier chunks are added, one number per chunk, and the parts of a run
+       are put together in an aggregate.
     """
     gap = int(gap_seconds) * 1_000_000
     ts = epoch_micros(F.col("ts"))
@@ -33,11 +34,39 @@ def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
         )
         .withColumn("chunk", floor_div(F.col("slot"), SLOTS_PER_CHUNK))
     )
-    in_chunk = _numbered(slots, Window.partitionBy("tool_id", "chunk").orderBy("slot"), gap)
-    fragments = in_chunk.groupBy("tool_id", "chunk", "number").agg(*_extent())
-    joined = _numbered(fragments, Window.partitionBy("tool_id").orderBy("first_us"), gap)
-    runs = joined.groupBy("tool_id", F.col("number").alias("run_no")).agg(
-        *_extent(), F.max("silence_us").alias("silence_us")
+    in_tool = Window.partitionBy("tool_id").orderBy("chunk")
+    in_chunk = Window.partitionBy("tool_id", "chunk").orderBy("slot")
+    carried = (
+        slots.groupBy("tool_id", "chunk")
+        .agg(F.max("last_us").alias("chunk_last"))
+        .select("tool_id", "chunk", F.lag("chunk_last").over(in_tool).alias("carried_us"))
+    )
+    before = F.coalesce(F.lag("last_us").over(in_chunk), F.col("carried_us"))
+    silence = F.col("first_us") - F.col("before_us")
+    placed = (
+        _per_chunk(slots, carried)
+        .withColumn("before_us", before)
+        .withColumn("silence_us", F.when(silence > gap, silence))
+        .withColumn("starts", (F.col("before_us").isNull() | (silence > gap)).cast("long"))
+        .withColumn("number", F.sum("starts").over(in_chunk))
+    )
+    earlier = in_tool.rowsBetween(Window.unboundedPreceding, -1)
+    begun = (
+        placed.groupBy("tool_id", "chunk")
+        .agg(F.sum("starts").alias("started"))
+        .select(
+            "tool_id", "chunk", F.coalesce(F.sum("started").over(earlier), F.lit(0)).alias("begun")
+        )
+    )
+    runs = (
+        _per_chunk(placed, begun)
+        .groupBy("tool_id", (F.col("begun") + F.col("number")).alias("run_no"))
+        .agg(
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+            F.sum("rows").alias("rows"),
+            F.max("silence_us").alias("silence_us"),
+        )
     )
     return runs.select(
         "tool_id",
@@ -50,6 +79,13 @@ def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
     ).withColumn("gap_class", gap_class(F.col("gap_before_s")))
 
 
+def _per_chunk(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add one fact per tool and chunk; a NULL tool is a tool as well."""
+    named = facts.withColumnsRenamed({"tool_id": "_tool", "chunk": "_chunk"})
+    same = F.col("tool_id").eqNullSafe(F.col("_tool")) & (F.col("chunk") == F.col("_chunk"))
+    return rows.join(named, same).drop("_tool", "_chunk")
+
+
 def gap_class(gap_seconds: Column) -> Column:
     """Kind of idle gap before a run; ``first`` without one, ``other`` outside all ranges."""
     label = F.lit("other")
@@ -81,23 +117,3 @@ def volume_report(
             "utilisation_pct",
         )
     )
-
-
-def _numbered(rows: DataFrame, in_order: Window, gap: int) -> DataFrame:
-    """Number stretches of rows; a row starts one when it follows a silence above ``gap``."""
-    silence = F.col("first_us") - F.lag("last_us").over(in_order)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = rows.withColumn("silence", silence).withColumn(
-        "starts", F.col("silence").isNull() | (F.col("silence") > gap)
-    )
-    return starts.withColumn(
-        "silence_us", F.when(F.col("starts"), F.col("silence"))
-    ).withColumn("number", F.sum(F.col("starts").cast("int")).over(so_far))
-
-
-def _extent() -> list[Column]:
-    return [
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-        F.sum("rows").alias("rows"),
-    ]
