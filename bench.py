@@ -47,6 +47,10 @@ HEADLINE = (
     "manifest_diff",
     "seconds_since_exit",
     "saved_set_union",
+    "catalog_fallback",
+    "mapping_cells",
+    "series_status",
+    "resolve_plan",
 )
 RUNS = 3
 SERIES = [f"sensor_{i:03d}" for i in range(100)]
