@@ -30,6 +30,7 @@ TREES = 12
 MINIMA = 2
 BLOCK = 1024  # classes of one block; a larger tree is cut into blocks
 FANOUT = 4
+BITS = 1 << 29  # of all bitmaps of one unit of work
 REMEMBERED = 400_000
 _SEEDS = np.random.default_rng(20_240_607)
 OFFSETS = _SEEDS.integers(0, 1 << 63, TREES * MINIMA, dtype=np.uint64)
@@ -211,6 +212,8 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     every = left + (right or [])
     most = max(len(s) for s in every)
     bits = max(64, 1 << int(4 * most - 1).bit_length())
+    while bits > 64 and bits * len(every) > BITS:
+        bits //= 2  # a looser bound, and the same links
     order_a = sorted(range(len(left)), key=lambda k: len(left[k]))
     a = Tree([left[k] for k in order_a], bits)
     if right is None:

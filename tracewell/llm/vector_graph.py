@@ -379,19 +379,23 @@ def _linked(classes: DataFrame, spaces: DataFrame, threshold: float, beam: int,
         "graph-blocks",
     )
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # an indexed vector is a member of one block of its cell; at home it is asked for in all
-    placed = assigned.join(blocks, ["space", "cell"]).select(
-        "rep", "space", "cell", "home", own.alias("own"),
-        F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"),
+    # a cell's index blocks and its blocks of queries meet pairwise, so that no task holds more
+    # than two blocks; a vector is indexed in its own block and, at home, asked for in all
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    owned = assigned.join(blocks, ["space", "cell"]).withColumn("own", own)
+    indexed = owned.withColumn("asked", every).select(
+        "rep", "space", "cell", F.col("own").alias("block"), "asked", F.lit(True).alias("member"),
+        (F.col("home") & (F.col("own") == F.col("asked"))).alias("home"),
     )
+    queried = owned.where("home").withColumn("block", every).where("block <> own").select(
+        "rep", "space", "cell", "block", F.col("own").alias("asked"), F.lit(False).alias("member"), "home"
+    )
     placed = materialise(
-        placed.withColumn("member", F.col("own") == F.col("block"))
-        .join(classes.select("rep", "vec", "m"), "rep"),
-        "graph-placed",
+        indexed.union(queried).join(classes.select("rep", "vec", "m"), "rep"), "graph-placed"
     )
     keys = ["space", "cell", "block"]
     adjacency = materialise(
-        placed.where("member").select(*keys, "rep", "vec").groupBy(*keys)
+        placed.where("member AND asked = block").select(*keys, "rep", "vec").groupBy(*keys)
         .applyInArrow(_build(beam), "rep long, near array<long>")
         .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")),
         "graph-adjacency",
@@ -399,8 +403,8 @@ def _linked(classes: DataFrame, spaces: DataFrame, threshold: float, beam: int,
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialise(
         placed.join(adjacency, "rep", "left")
-        .select(*keys, "rep", "vec", "m", "member", "home", "near")
-        .groupBy(*keys).applyInArrow(_search(beam, threshold, parts), "part int, pairs binary")
+        .select(*keys, "asked", "rep", "vec", "m", "member", "home", "near")
+        .groupBy(*keys, "asked").applyInArrow(_search(beam, threshold, parts), "part int, pairs binary")
         .groupBy("part").applyInArrow(_count, "rep long, links long, joined array<long>"),
         "graph-links",
     )
