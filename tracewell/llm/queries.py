@@ -76,4 +76,35 @@ QUERIES: dict[str, Query] = {
     "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
 }
-CHECKS: dict[str, str] = {}
+# Links by brute force, then the smallest id that links lead to.
+_REACHED = """
+reached AS (SELECT id, id AS other FROM nodes UNION
+    SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
+named AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
+
+CHECKS: dict[str, str] = {
+    "op4_vector_graph": f"""WITH RECURSIVE
+nodes AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.id AS a, q.id AS b FROM nodes p JOIN nodes q ON p.label = q.label
+    AND p.id <> q.id AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.98),
+{_REACHED}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+    coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept,
+    1.0::DOUBLE AS audited_recall
+FROM embeddings LEFT JOIN named ON id = vec_id""",
+    "op7_signature_tree": f"""WITH RECURSIVE
+split AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS w FROM documents),
+nodes AS (SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1),
+        lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+words AS (SELECT id, len(s) AS n, unnest(s) AS x FROM nodes),
+links AS (SELECT p.id AS a, q.id AS b FROM words p JOIN words q ON p.x = q.x AND p.id <> q.id
+    AND 100 * p.n >= 90 * q.n AND 100 * q.n >= 90 * p.n
+    GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+{_REACHED}
+SELECT id AS doc_id, coalesce(len(s), 0) AS n_shingles, component_id FROM nodes JOIN named USING (id)""",
+}
