@@ -327,4 +327,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         verdict.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name))
         .agg(F.max("keep").alias("kept")).where("NOT kept").select(name)
     )
+    gone = gone.hint("merge")  # grows with the corpus
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
