@@ -350,7 +350,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         _units(members, percent).groupBy("rep").agg(F.collect_list(F.struct("unit", "side", "crossed")).alias("units")),
         "join-units",
     )
-    wanted = rows.join(units, F.col("doc_id") == F.col("rep")).select("rep", "text", "units")
+    # dealt by id at every size: how many texts have company grows with the corpus
+    wanted = rows.join(units.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text", "units")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -386,4 +387,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names its component; rows without an id stay."""
     (name,) = unused(docs, "gone")
     gone = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias(name))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    gone = gone.distinct().hint("merge")  # grows with the corpus
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
