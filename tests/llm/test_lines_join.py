@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import prose, rows_of_trouble
 from tracewell.llm import lines, signature_tree as st
 from tracewell.llm.common import components
@@ -139,3 +140,27 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {(k, 20) for k in range(20, 61)} | {(k, 1) for k in range(1, 15)}
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
     assert math.isclose(st.PERCENT, 90)
+
+
+def test_number_of_trees_follows_the_threshold():
+    assert st.tree_count(90) == (12, 2) and st.tree_count(80) == (20, 2)
+    for percent in (30, 50, 65, 80, 90, 99):
+        trees, minima = st.tree_count(percent)
+        assert (1 - (percent / 100) ** minima) ** trees <= st.MISS
+        assert len(st.TreeNames(percent)(np.arange(9, dtype=np.uint64))) == trees
+
+
+def test_pipeline_links_at_80_percent_of_five_words(spark):
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    base = [f"w{k}" for k in range(204)]
+    near = [w if k not in (30, 80, 120, 160) else "new" for k, w in enumerate(base)]  # 20 of 200 shingles
+    far = [w if k not in (20, 60, 100, 140, 180) else "new" for k, w in enumerate(base)]  # 25 of 200
+    texts = [" ".join(x) for x in (base, near, far)]
+    share = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert 0.8 <= share(texts[0], texts[1]) < 0.9 and share(texts[0], texts[2]) < 0.8 > share(texts[1], texts[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+    assert st.one_of_each(docs).count() == 3

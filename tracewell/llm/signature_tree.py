@@ -6,15 +6,17 @@ and the range of their sizes, and a dual traversal from the root drops every pai
 largest possible overlap is too small for the threshold. What reaches the leaves is compared
 exactly, shingle by shingle.
 
-Which documents share a tree is decided by minimum hashes: a class hangs in TREES trees, each
-named by MINIMA minimum hashes of its shingles. Two documents at a similarity of 0.9 miss each
-other in all of 12 trees with a probability of (1 - 0.9^2)^12, about 2e-9; more similar ones yet
-more rarely. A tree that grows too large is cut by size range and hash into blocks, and all pairs
+Which documents share a tree is decided by minimum hashes: a class hangs in several trees, each
+named by one or two minimum hashes of its shingles. Their number follows from the threshold, so
+that two documents just at it miss each other in all trees with a probability of at most MISS: at
+0.9 with two minima it takes 12 trees, (1 - 0.9^2)^12, at 0.8 it takes 20. More similar documents
+miss each other yet more rarely. A tree that grows too large is cut by size range and hash into blocks, and all pairs
 of blocks in reach of each other are traversed, so no document is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +28,13 @@ from tracewell.llm.common import components, materialise, unused
 
 SHINGLE = 3
 PERCENT = 90
-TREES = 12
-MINIMA = 2
+MISS = 2.5e-9  # largest probability that a pair just at the threshold shares no tree
+MOST_TREES = 48  # trees of two minima; if it took more, they are named by one
 BLOCK = 1024  # classes of one block; a larger tree is cut into blocks
 FANOUT = 4
 BITS = 1 << 29  # of all bitmaps of one unit of work
 REMEMBERED = 400_000
-_SEEDS = np.random.default_rng(20_240_607)
-OFFSETS = _SEEDS.integers(0, 1 << 63, TREES * MINIMA, dtype=np.uint64)
-FACTORS = _SEEDS.integers(0, 1 << 63, TREES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SEED = 20_240_607
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,15 +71,37 @@ class Shingler:
         return np.unique(found)
 
 
-def tree_names(shingles: np.ndarray) -> np.ndarray:
+def tree_count(percent: int) -> tuple[int, int]:
+    """How many trees a set hangs in, and how many minimum hashes name each."""
+    if percent >= 100:
+        return 1, 2  # equal sets share every tree
+    if percent <= 0:
+        raise ValueError("the threshold must be above 0 percent")
+    for minima in (2, 1):
+        trees = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** minima)))
+        if trees <= MOST_TREES:
+            break
+    return trees, minima
+
+
+class TreeNames:
     """The trees that a set hangs in, one number each."""
-    least = np.empty(TREES * MINIMA, dtype=np.uint64)
-    for k in range(TREES * MINIMA):
-        least[k] = ((shingles ^ OFFSETS[k]) * FACTORS[k]).min()
-    name = np.arange(TREES, dtype=np.uint64)
-    for part in least.reshape(TREES, MINIMA).T:
-        name = mix(name + part)
-    return name.view(np.int64)
+
+    def __init__(self, percent: int = PERCENT):
+        self.trees, self.minima = tree_count(percent)
+        seeds = np.random.default_rng(SEED)
+        n = self.trees * self.minima
+        self.offsets = seeds.integers(0, 1 << 63, n, dtype=np.uint64)
+        self.factors = seeds.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        least = np.empty(self.trees * self.minima, dtype=np.uint64)
+        for k in range(len(least)):
+            least[k] = ((shingles ^ self.offsets[k]) * self.factors[k]).min()
+        name = np.arange(self.trees, dtype=np.uint64)
+        for part in least.reshape(self.trees, self.minima).T:
+            name = mix(name + part)
+        return name.view(np.int64)
 
 
 def _set_name(shingles: np.ndarray) -> tuple[int, int]:
@@ -88,9 +110,9 @@ def _set_name(shingles: np.ndarray) -> tuple[int, int]:
     return signed(value >> 64), signed(value & (1 << 64) - 1)
 
 
-def _describe(width: int):
+def _describe(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle, tree_names = Shingler(width), TreeNames(percent)
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -318,7 +340,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     rows = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
     described = materialise(
         rows.mapInArrow(
-            _describe(width),
+            _describe(percent, width),
             "doc_id long, set_hi long, set_lo long, n_shingles long, trees array<long>",
         ),
         "join-sets",
@@ -383,9 +405,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names its component; rows without an id stay."""
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id names its component; rows without an id stay.
+
+    Components are those of :func:`jaccard_components` with the same ``percent`` and ``width``.
+    """
     (name,) = unused(docs, "gone")
-    gone = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias(name))
+    gone = jaccard_components(docs, percent, width).where("component_id < doc_id").select(F.col("doc_id").alias(name))
     gone = gone.distinct().hint("merge")  # grows with the corpus
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
