@@ -164,3 +164,13 @@ def test_pipeline_links_at_80_percent_of_five_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
     assert st.one_of_each(docs).count() == 3
+
+
+def test_scattered_changes_of_a_line_are_matched(spark):
+    base = [f"t{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(100)]
+    change = lambda at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    few, many = {10, 50, 90}, set(range(4, 100, 2))
+    assert not set(lines.templates(change(()))) & set(lines.templates(change(few)))
+    rows = [(1, change(())), (2, change(few)), (3, change(range(5, 100, 7))), (4, change(many)), (5, change({0}))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}

@@ -6,12 +6,18 @@ rest of its tokens is cut into bands, and leaving out one band gives a template
 all lines that differ only there. Every template is one hash, so lines meet in a grouped minimum
 instead of being compared with each other. A template that occurs in several documents recurs; the
 document with the smallest id keeps its line, the others drop theirs.
+
+Changes scattered over several bands leave no template in common. Such lines meet by signatures: a
+few tokens of the body at drawn places, the same places for all lines of a leaf. A line is compared,
+token by token, with the first line of each of its signatures, and goes when enough of the body is
+equal. Only the first line of a signature is compared, so the work doesn't grow with its square.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +32,32 @@ LEAST_TOKENS = 4  # shorter lines are left alone
 LEAST_BODY = 6  # tokens below the leaf for a band to be left out
 LEAST_FIXED = 3  # tokens without digits; a line with fewer is only matched as it stands
 FIELD = "<*>"
+SIGNATURES = 8  # lines with 9 of 10 tokens equal share none with a probability of 3e-5, 8 of 10: 3e-3
+DRAWN = 3  # places of the body in a signature
+EQUAL = 2, 3  # least share of equal tokens in the body, as leaving out one band of three leaves
 DIGIT = re.compile(r"\d")
 LOWEST = -(1 << 63)
 
 
-def templates(line: str) -> list[int]:
-    """Hashes of a line's templates: itself with its variable fields, then one without each band."""
+def fields(line: str) -> tuple[list[str], bool]:
+    """A line's tokens with its variable fields, and whether it may be generalised."""
     tokens = line.split()
-    n = len(tokens)
-    if n < LEAST_TOKENS:
-        return []
     if DIGIT.search(line):
         masked = [FIELD if DIGIT.search(t) else t for t in tokens]
-        if n - masked.count(FIELD) >= LEAST_FIXED:
-            tokens = masked
-        else:
-            return [xxhash.xxh64_intdigest("\n".join(tokens))]
-    leaf = f"{n} {' '.join(tokens[:DEPTH])}\n"
+        if len(tokens) - masked.count(FIELD) < LEAST_FIXED:
+            return tokens, False
+        tokens = masked
+    return tokens, len(tokens) >= LEAST_TOKENS
+
+
+def templates(line: str) -> list[int]:
+    """Hashes of a line's templates: itself with its variable fields, then one without each band."""
+    tokens, general = fields(line)
+    if len(tokens) < LEAST_TOKENS:
+        return []
+    if not general:
+        return [xxhash.xxh64_intdigest("\n".join(tokens))]
+    leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
     body = tokens[DEPTH:]
     found = [xxhash.xxh64_intdigest(leaf + " ".join(body))]
     if len(body) >= LEAST_BODY:
@@ -53,33 +68,111 @@ def templates(line: str) -> list[int]:
     return found
 
 
+@cache
+def _places(n: int) -> list[list[int]]:
+    """The places of each signature in a body of ``n`` tokens."""
+    draw = np.random.default_rng([20_240_611, n])
+    return [sorted(draw.choice(n, DRAWN, replace=False).tolist()) for _ in range(SIGNATURES)]
+
+
+def signatures(line: str) -> list[int]:
+    """Hashes by which a line meets those of its leaf that are to be compared with it."""
+    tokens, general = fields(line)
+    body = tokens[DEPTH:]
+    if not general or len(body) < LEAST_BODY:
+        return []
+    leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
+    return [
+        xxhash.xxh64_intdigest(f"{leaf}{k}\n" + " ".join([body[i] for i in at]))
+        for k, at in enumerate(_places(len(body)))
+    ]
+
+
+def _listed(lists: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *lists])))
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document, its lines' numbers and templates, flat: ``line[i]`` has ``template[i]``."""
+    """Per document, its lines' numbers and templates, flat: ``line[i]`` has ``template[i]``.
+
+    Likewise ``near[i]`` has ``signature[i]``.
+    """
     for batch in batches:
-        numbers, hashes = [], []
+        columns = [], [], [], []
         for text in batch.column(2):
-            number, own = [], []
+            own = [], [], [], []
             for k, line in enumerate((text.as_py() or "").split("\n")):
-                found = templates(line)
-                own.extend(found)
-                number.extend([k] * len(found))
-            numbers.append(np.array(number, dtype=np.int32))
-            hashes.append(np.array(own, dtype=np.uint64).view(np.int64))
-        offsets = np.zeros(len(numbers) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in numbers], out=offsets[1:])
-        flat_n = np.concatenate([np.empty(0, np.int32), *numbers])
-        flat_h = np.concatenate([np.empty(0, np.int64), *hashes])
+                for at, found in ((0, templates(line)), (2, signatures(line))):
+                    own[at].extend([k] * len(found))
+                    own[at + 1].extend(found)
+            for at in (0, 2):
+                columns[at].append(np.array(own[at], dtype=np.int32))
+                columns[at + 1].append(np.array(own[at + 1], dtype=np.uint64).view(np.int64))
+        lists = [_listed(c, k) for c, k in zip(columns, (np.int32, np.int64) * 2)]
+        names = ["id", "row", "line", "template", "near", "signature"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names)
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of every token in the bodies of the asked lines, in order."""
+    for batch in batches:
+        found = []
+        for id_, row, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            lines = text.split("\n")
+            for k in asked:
+                body = fields(lines[k])[0][DEPTH:]
+                found.append((id_, row, k, [xxhash.xxh64_intdigest(t) - (1 << 63) for t in body]))
+        columns = list(zip(*found)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_n)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_h)),
-            ],
-            ["id", "row", "line", "template"],
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "row", "line", "body"]
         )
 
 
+def _near_lines(rows: DataFrame, parsed: DataFrame, sure: DataFrame) -> DataFrame:
+    """Lines (id, row, line), none of ``sure``, close to the first line of one of their signatures."""
+    place = ["id", "row", "line"]
+    flat = parsed.select(
+        "id", "row", F.inline(F.arrays_zip("near", "signature")).alias("line", "signature")
+    )
+    first = materialise(
+        flat.groupBy("signature")
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        .where("first < last")
+        .select("signature", "first"),
+        "lines-met",
+    )
+    met = materialise(flat.join(first, "signature"), "lines-meeting")
+    later = materialise(met.where("first < id").join(sure, place, "left_anti"), "lines-later")
+    leaders = (
+        met.where("first = id")
+        .join(later.select("signature").distinct(), "signature", "left_semi")
+        .groupBy("signature")
+        .agg(F.min(F.struct(*place)).alias("leader"))
+    )
+    pairs = materialise(
+        later.join(materialise(leaders, "lines-leaders"), "signature").select(*place, "leader").distinct(),
+        "lines-pairs",
+    )
+    asked = (
+        pairs.select(*place).union(pairs.select("leader.*")).distinct()
+        .groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
+    )
+    bodies = materialise(
+        rows.join(asked.hint("merge"), ["id", "row"])
+        .select("id", "row", "text", "lines")
+        .mapInArrow(_bodies, "id long, row long, line int, body array<long>")
+        .dropDuplicates(place),
+        "lines-bodies",
+    )
+    theirs = bodies.select(F.struct(*place).alias("leader"), F.col("body").alias("other"))
+    equal = F.size(F.filter(F.zip_with("body", "other", lambda a, b: a == b), lambda x: x))
+    close = EQUAL[1] * equal >= EQUAL[0] * F.size("body")
+    return pairs.join(bodies, place).join(theirs, "leader").where(close).select(*place)
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """Lines to drop: (id, row, lines), one row per document that has any."""
     rows = docs.select(
@@ -88,7 +181,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         "text",
     )
     parsed = materialise(
-        rows.mapInArrow(_parsed, "id long, row long, line array<int>, template array<long>"),
+        rows.mapInArrow(
+            _parsed,
+            "id long, row long, line array<int>, template array<long>, near array<int>, signature array<long>",
+        ),
         "lines-parsed",
     )
     flat = parsed.select(
@@ -101,9 +197,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .select("template", "first"),
         "lines-recurring",
     )
+    sure = materialise(
+        flat.join(first, "template").where("first < id").select("id", "row", "line").distinct(),
+        "lines-sure",
+    )
     return (
-        flat.join(first, "template")
-        .where("first < id")
+        sure.union(_near_lines(rows, parsed, sure))
         .groupBy("id", "row")
         .agg(F.collect_set("line").alias("lines"))  # no more than the document's lines
     )
@@ -114,7 +213,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Takes (doc_id, text). Lines end in a line feed. A line goes when one of its templates also
     occurs in a document with a smaller id, so each template is kept where it comes first, and
-    lines that recur only inside one document stay. Rows with the same id are one document; rows
+    lines that recur only inside one document stay. It also goes when the first line with one of
+    its signatures is in a document with a smaller id and EQUAL of their bodies is the same. Rows with the same id are one document; rows
     without an id are one, before all others. A NULL text stays NULL and has no lines; a text
     whose lines all go becomes empty, and its row stays. Columns named like the helpers are kept,
     except n_lines and n_dropped, which are replaced. No rows give no rows.
