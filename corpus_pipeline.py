@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines whose template already occurs in an earlier document."""
-    shorter = dedup_lines(docs).select(*docs.columns)
+    shorter = dedup_lines(docs, short=True).select(*docs.columns)
     return shorter.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

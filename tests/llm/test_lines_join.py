@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import prose, rows_of_trouble
-from tracewell.llm import lines, signature_tree as st
+from tracewell.llm import lines, queries, signature_tree as st
 from tracewell.llm.common import components
 
 
@@ -174,3 +174,13 @@ def test_scattered_changes_of_a_line_are_matched(spark):
     rows = [(1, change(())), (2, change(few)), (3, change(range(5, 100, 7))), (4, change(many)), (5, change({0}))]
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_query_drops_recurring_short_lines(spark, tmp_path):
+    script = "漢字だけの長い一行には空白がなく一つの語になる。" * 4
+    rows = [(k, f"Menu\n\n{prose(900 + k, 20)}\nPage {k}\n{script}\nAll rights reserved.") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id: r.text.split("\n") for r in queries.op2_lines(spark, str(tmp_path)).collect()}
+    for line in ("Menu", script, "All rights reserved."):
+        assert [k for k in sorted(kept) if line in kept[k]] == [0]
+    assert all("" in lines_ and f"Page {k}" in lines_ for k, lines_ in kept.items())

@@ -28,7 +28,7 @@ from tracewell.llm.common import materialise, unused
 
 DEPTH = 3  # leading tokens that lead to a leaf
 BANDS = 3
-LEAST_TOKENS = 4  # shorter lines are left alone
+LEAST_TOKENS = 4  # shorter lines are matched as they stand, if at all
 LEAST_BODY = 6  # tokens below the leaf for a band to be left out
 LEAST_FIXED = 3  # tokens without digits; a line with fewer is only matched as it stands
 FIELD = "<*>"
@@ -50,11 +50,15 @@ def fields(line: str) -> tuple[list[str], bool]:
     return tokens, len(tokens) >= LEAST_TOKENS
 
 
-def templates(line: str) -> list[int]:
-    """Hashes of a line's templates: itself with its variable fields, then one without each band."""
+def templates(line: str, short: bool = False) -> list[int]:
+    """Hashes of a line's templates: itself with its variable fields, then one without each band.
+
+    A line of fewer than LEAST_TOKENS tokens has none, with ``short`` its exact one.
+    """
     tokens, general = fields(line)
     if len(tokens) < LEAST_TOKENS:
-        return []
+        tokens = line.split()
+        return [xxhash.xxh64_intdigest("\n".join(tokens))] if short and tokens else []
     if not general:
         return [xxhash.xxh64_intdigest("\n".join(tokens))]
     leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
@@ -94,25 +98,29 @@ def _listed(lists: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *lists])))
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(short: bool):
     """Per document, its lines' numbers and templates, flat: ``line[i]`` has ``template[i]``.
 
     Likewise ``near[i]`` has ``signature[i]``.
     """
-    for batch in batches:
-        columns = [], [], [], []
-        for text in batch.column(2):
-            own = [], [], [], []
-            for k, line in enumerate((text.as_py() or "").split("\n")):
-                for at, found in ((0, templates(line)), (2, signatures(line))):
-                    own[at].extend([k] * len(found))
-                    own[at + 1].extend(found)
-            for at in (0, 2):
-                columns[at].append(np.array(own[at], dtype=np.int32))
-                columns[at + 1].append(np.array(own[at + 1], dtype=np.uint64).view(np.int64))
-        lists = [_listed(c, k) for c, k in zip(columns, (np.int32, np.int64) * 2)]
-        names = ["id", "row", "line", "template", "near", "signature"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [], [], [], []
+            for text in batch.column(2):
+                own = [], [], [], []
+                for k, line in enumerate((text.as_py() or "").split("\n")):
+                    for at, found in ((0, templates(line, short)), (2, signatures(line))):
+                        own[at].extend([k] * len(found))
+                        own[at + 1].extend(found)
+                for at in (0, 2):
+                    columns[at].append(np.array(own[at], dtype=np.int32))
+                    columns[at + 1].append(np.array(own[at + 1], dtype=np.uint64).view(np.int64))
+            lists = [_listed(c, k) for c, k in zip(columns, (np.int32, np.int64) * 2)]
+            names = ["id", "row", "line", "template", "near", "signature"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names)
+
+    return run
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,7 @@ def _near_lines(rows: DataFrame, parsed: DataFrame, sure: DataFrame) -> DataFram
     return pairs.join(bodies, place).join(theirs, "leader").where(close).select(*place)
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """Lines to drop: (id, row, lines), one row per document that has any."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"),
@@ -182,7 +190,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
     parsed = materialise(
         rows.mapInArrow(
-            _parsed,
+            _parsed(short),
             "id long, row long, line array<int>, template array<long>, near array<int>, signature array<long>",
         ),
         "lines-parsed",
@@ -208,20 +216,21 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without recurring lines, and n_lines and n_dropped.
 
     Takes (doc_id, text). Lines end in a line feed. A line goes when one of its templates also
     occurs in a document with a smaller id, so each template is kept where it comes first, and
     lines that recur only inside one document stay. It also goes when the first line with one of
-    its signatures is in a document with a smaller id and EQUAL of their bodies is the same. Rows with the same id are one document; rows
+    its signatures is in a document with a smaller id and EQUAL of their bodies is the same. Lines
+    of fewer than LEAST_TOKENS tokens stay, unless ``short``: then they are matched as they stand. Rows with the same id are one document; rows
     without an id are one, before all others. A NULL text stays NULL and has no lines; a text
     whose lines all go becomes empty, and its row stays. Columns named like the helpers are kept,
     except n_lines and n_dropped, which are replaced. No rows give no rows.
     """
     other = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     id_, row, dropped = unused(docs, "id", "row", "lines")
-    drops = recurring_lines(docs).toDF(id_, row, dropped)
+    drops = recurring_lines(docs, short).toDF(id_, row, dropped)
     joined = docs.join(
         drops,
         (F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col(id_))

@@ -27,7 +27,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup_lines(table(spark, sf_dir, "documents"), short=True).select(
+        "doc_id", "text", "n_lines", "n_dropped"
+    )
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
