@@ -166,3 +166,11 @@ def test_classifier_of_trouble(spark, trouble, nothing):
     mixed = quality.judge_documents(docs.select("*", F.lit(1).alias("keep")), real.union(real)).count()
     assert mixed == 400
     assert quality.judge_documents(nothing, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a    b", "if x:\n        return  y", " " * 40 + "z", "a \u2581  \u2581b", "end   "])
+def test_runs_of_spaces_use_their_pieces(vocabulary, text):
+    ids = pieces.Encoder(vocabulary).encode(text).tolist()
+    assert ids == whole_viterbi(text, vocabulary)
+    assert any(pieces.MARK in vocabulary.pieces[i][1:] for i in ids)
+    assert pieces.Decoder(vocabulary).decode(np.array(ids, dtype="<i4")) == text

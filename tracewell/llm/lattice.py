@@ -322,7 +322,7 @@ def score_documents(docs: DataFrame, model_path: str | None = None, frequent: in
         import public_tokenizers
 
         model_path = public_tokenizers.path(MODEL)
-    vocabulary = load_vocabulary(model_path)
+    vocabulary = load_vocabulary(model_path, runs=False)
     rows = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_PART))

@@ -7,14 +7,16 @@ bytes, and no text is normalised, so decoding gives the very text that was encod
 
 The search keeps scores for as many positions as the longest piece has characters. Ids are
 committed as soon as every surviving path runs through one boundary: either no piece reaches over
-it, or the backpointers of all open positions meet there. A mark only begins a piece, so the place
-before a mark is always such a boundary; what lies between two of them is searched once and
-remembered.
+it, or the backpointers of all open positions meet there. No piece has a mark behind another
+character than a mark, so the place before the first mark of a run of marks is always such a
+boundary; what lies between two of them, a run of spaces and the word behind it, is searched once
+and remembered.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +26,9 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark that the text itself holds; no valid text has it
+RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")  # a run of marks and what follows, up to the next
 UNIT = 1 << 16
-UNUSED = -1e8  # pieces with lower scores are never produced
+UNUSED = -1e8  # lower scores are no ranks; of such pieces only runs of spaces are produced
 TRACE_EVERY = 64
 REMEMBERED = 400_000
 MODEL = "piece_bpe_32k.model"
@@ -41,6 +44,10 @@ class Vocabulary:
         usable = [s for s in self.scores if s is not None]
         self.byte_score = min(usable) - 4 * UNIT
         self.longest = max(len(p) for p, s in zip(self.pieces, self.scores) if s is not None)
+        # whether a mark ends what came before, so that texts may be cut before a run of marks
+        self.cuts = not any(
+            MARK in p.lstrip(MARK) for p, s in zip(self.pieces, self.scores) if s is not None
+        )
         # a tree of characters: each leads to (what follows, id or -1, score)
         self.tree: dict[str, tuple[dict, int, int]] = {}
         for i, (piece, score) in enumerate(zip(self.pieces, self.scores)):
@@ -56,8 +63,12 @@ class Vocabulary:
         return [self.byte_ids[b] for b in raw]
 
 
-def load_vocabulary(path: str | None = None) -> Vocabulary:
-    """Read a SentencePiece model file; by default the installed public one."""
+def load_vocabulary(path: str | None = None, runs: bool = True) -> Vocabulary:
+    """Read a SentencePiece model file; by default the installed public one.
+
+    ``runs`` says whether pieces of several spaces belong to it; single words need none. The
+    model merges them last and gives them no rank, so their place among the pieces stands for it.
+    """
     import sentencepiece
 
     if path is None:
@@ -67,13 +78,16 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     pieces = [model.id_to_piece(i) for i in range(n)]
+    spaces = [runs and len(p) > 1 and not p.strip(MARK) for p in pieces]
     text = [
         not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
-        and model.get_score(i) > UNUSED
-        and MARK not in pieces[i][1:]
+        and (spaces[i] if MARK in pieces[i][1:] else model.get_score(i) > UNUSED)
         for i in range(n)
     ]
-    ranks = [-model.get_score(i) + 10 if text[i] else 0.0 for i in range(n)]
+    ranked = [i for i in range(n) if text[i] and model.get_score(i) > UNUSED]
+    first = min((i + model.get_score(i) for i in ranked), default=0.0)  # the place of rank 0
+    rank = lambda i: -model.get_score(i) if model.get_score(i) > UNUSED else max(0.0, i - first)
+    ranks = [rank(i) + 10 if text[i] else 0.0 for i in range(n)]
     whole = math.log(sum(1 / r for r in ranks if r))
     scores = [round(-(math.log(r) + whole) * UNIT) if r else None for r in ranks]
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -188,13 +202,12 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. Between two spaces the result depends on nothing outside."""
-        first, *rest = text.replace(MARK, LITERAL).split(" ")
-        parts = [self.segment(first)] if first else []
+        """Ids of a text. What a run of spaces begins depends on nothing before it."""
+        marked = text.replace(MARK, LITERAL).replace(" ", MARK)
+        if not self.vocabulary.cuts:
+            return np.frombuffer(self.segment(marked), dtype="<i4")
         known, segment = self.known, self.segment
-        for word in rest:
-            part = MARK + word
-            parts.append(known.get(part) or segment(part))
+        parts = [known.get(part) or segment(part) for part in RUN.findall(marked)]
         return np.frombuffer(b"".join(parts), dtype="<i4")
 
 
