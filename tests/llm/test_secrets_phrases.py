@@ -52,6 +52,15 @@ def test_scan_reports_novel_strings_in_context_only(spark):
     assert got[1].spans == "novel:22:54" and got[4].spans == f"assign:0:{8 + len(KEY)}"
 
 
+@pytest.mark.parametrize("gap,found", [(2, 1), (32, 1), (33, 1), (48, 1), (49, 0)])
+def test_candidate_begins_within_reach_of_the_word(gap, found):
+    text = "secret " + "x " * ((gap - 1) // 2) + " " * ((gap - 1) % 2) + KEY
+    start = text.index(KEY)
+    assert start == len("secret") + gap
+    spans = secret_scan.novel_spans(text, [], secret_scan.Novelty())
+    assert spans == [(start, 3, start + len(KEY))] * found
+
+
 def test_scan_of_trouble(trouble, nothing):
     got = secret_scan.find_secrets(trouble).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows_of_trouble())
