@@ -104,6 +104,23 @@ def test_keyset_pages_walk_everything_once(spark, order):
     assert seen == whole
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_keyset_pages_go_on_inside_rows_of_one_time_and_tool(spark, order):
+    data = [(f"t{i // 15}", None if i < 20 else START + timedelta(seconds=i // 30), float(i // 2), None) for i in range(60)]
+    rows = readings(spark, data)
+    whole = [tuple(r) for r in rows.orderBy(*raw.total_order(rows, order)).collect()]
+    seen, last, given = [], ((None, "") if order == "asc" else ("2100-01-01", "")), 0
+    while True:
+        got = raw.page_after(rows, last_ts=last[0], last_tool=last[1], limit=7, order=order, given=given).collect()
+        if not got:
+            break
+        seen += [tuple(r) for r in got]
+        place = (got[-1]["ts"], got[-1]["tool_id"])
+        tied = sum((r["ts"], r["tool_id"]) == place for r in got)
+        given, last = tied + (given if place == last else 0), place
+    assert seen == whole
+
+
 def series(spark, rows):
     return frame(spark, [("t", s, START + timedelta(minutes=i), avg, lo, hi) for s, i, avg, lo, hi in rows],
                  "tool_id string, sensor string, bucket timestamp_ntz, avg double, min double, max double")

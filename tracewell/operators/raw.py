@@ -110,15 +110,20 @@ def page_after(
     last_tool: str,
     limit: int,
     order: str = "asc",
+    given: int | None = None,
 ) -> DataFrame:
     """Next rows behind a ``(ts, tool_id)`` position; cost does not grow with depth.
 
     ``last_ts`` is None behind a row without a time, which has its place as in :func:`page`.
+    ``given`` is the number of rows of that very time and tool on the pages so far; the rest of
+    them, equal rows too, come first on this page. Without it all of them count as given.
     """
     ts, tool = F.col("ts"), F.col("tool_id") > last_tool
+    if given is not None:
+        tool = F.col("tool_id") >= last_tool
     if last_ts is None:
         beyond = (ts.isNull() & tool) | (ts.isNotNull() if order == "asc" else F.lit(False))
-        return rows.where(beyond).orderBy(*total_order(rows, order)).limit(limit)
+        return rows.where(beyond).orderBy(*total_order(rows, order)).offset(given or 0).limit(limit)
     bound = utc_literal(last_ts)
     later = ts > bound if order == "asc" else (ts < bound) | ts.isNull()
     # The first condition repeats the time bound alone so that it reaches the scan.
@@ -127,6 +132,7 @@ def page_after(
         rows.where(reach)
         .where(later | ((ts == bound) & tool))
         .orderBy(*total_order(rows, order))
+        .offset(given or 0)
         .limit(limit)
     )
 
