@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.session import shared_dir
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+# Over the bytes of UTF-8: A-Z lower-cased, and everything but ASCII letters, digits and bytes of
+# other characters made a space.
+TERM_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
+)
+TERM_END = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+PORTION = 1 << 20  # bytes of one text that are split into terms at a time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +44,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def terms(raw: bytes) -> Iterator[list[bytes]]:
+    """Lower-cased terms of a UTF-8 text, a bounded portion of it at a time."""
+    at = 0
+    while at < len(raw):
+        end = at + PORTION
+        if end < len(raw):  # not within a term
+            cut = TERM_END.search(raw, end)
+            end = cut.start() if cut else len(raw)
+        yield raw[at:end].translate(TERM_BYTES).split()
+        at = end
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """Number all rows from 0 in ``order`` without one task seeing them all.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.contamination import contamination_report
 from tracewell.llm.lattice import score_documents
 from tracewell.llm.lines import dedup_lines
 from tracewell.llm.mixing import mix_sources
@@ -66,6 +67,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_lines": op2_lines,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
+    "op11_contamination": op11_contamination,
 }
 # Links by brute force, then the smallest id that links lead to.
 _REACHED = """
@@ -84,6 +90,9 @@ reached AS (SELECT id, id AS other FROM nodes UNION
     SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
 named AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
 
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 CHECKS: dict[str, str] = {
     "op4_vector_graph": f"""WITH RECURSIVE
 nodes AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -109,4 +118,20 @@ links AS (SELECT p.id AS a, q.id AS b FROM words p JOIN words q ON p.x = q.x AND
     GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
 {_REACHED}
 SELECT id AS doc_id, coalesce(len(s), 0) AS n_shingles, component_id FROM nodes JOIN named USING (id)""",
+    "op11_contamination": f"""WITH
+texts AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+item AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS s
+    FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT k FROM windows),
+runs AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM texts, lengths, unnest(range(1, len(w) - k + 2)) AS t(i)),
+found AS (SELECT doc_id, i, k, item_id FROM runs JOIN windows USING (k, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
 }
