@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.common import table
 from tracewell.llm.contamination import contamination_report
 from tracewell.llm.lattice import score_documents
+from tracewell.llm.lexical import ranked_search
 from tracewell.llm.lines import dedup_lines
 from tracewell.llm.mixing import mix_sources
 from tracewell.llm.phrases import fingerprint_documents
@@ -71,6 +72,10 @@ def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_lines": op2_lines,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
     "op11_contamination": op11_contamination,
+    "op13_best_positions": op13_best_positions,
 }
 # Links by brute force, then the smallest id that links lead to.
 _REACHED = """
@@ -134,4 +140,19 @@ ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op13_best_positions": f"""WITH
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM texts WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM texts)
+    WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, total GROUP BY t),
+scored AS (SELECT item_id, doc_id, r, CAST(sum(w.w * ((1000000000 * tf) //
+        (1000 * tf + 20 * (50 + (50 * len(texts.w) * n) // l)))) AS BIGINT) AS score
+    FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN texts USING (r), total
+    GROUP BY item_id, doc_id, r),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id
+    ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
