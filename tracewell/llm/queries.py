@@ -14,6 +14,7 @@ from tracewell.llm.lines import dedup_lines
 from tracewell.llm.mixing import mix_sources
 from tracewell.llm.phrases import fingerprint_documents
 from tracewell.llm.pieces import encode_documents
+from tracewell.llm.prefix_trie import opened_trie
 from tracewell.llm.quality import judge_documents
 from tracewell.llm.secret_scan import find_secrets
 from tracewell.llm.shards import kd_shards
@@ -72,6 +73,10 @@ def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opened_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_lattice": op9_lattice,
     "op10_pieces": op10_pieces,
     "op11_contamination": op11_contamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_best_positions": op13_best_positions,
 }
 # Links by brute force, then the smallest id that links lead to.
@@ -140,6 +146,31 @@ ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op12_prefix_trie": """WITH
+turns AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, md5(length(coalesce(role, '')) || ':'
+    || coalesce(role, '') || coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'t': t, 'chars': chars} ORDER BY turn NULLS FIRST, chars || ':' || t) AS path,
+    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda x: [unicode(x), 0, 0, 0, 0, 0, 0, 0]))), lambda c, x:
+        xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+    FROM turns GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.path, 1, xor(o.crc, 4294967295) % 6), []),
+        list_slice(o.path, xor(o.crc, 4294967295) % 6 + 1, len(o.path))) AS path
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+nodes AS (SELECT d AS depth, list_slice(path, 1, d) AS pre, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+            FILTER (len(path) = d), '')) AS ends_sha256
+    FROM rebuilt, unnest(range(len(path) + 1)) AS t(d) GROUP BY d, pre),
+children AS (SELECT depth - 1 AS depth, list_slice(pre, 1, depth - 1) AS pre, count(*) AS n
+    FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, pre)),
+above AS (SELECT up AS depth, list_slice(pre, 1, up) AS pre, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves,
+        CAST(sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * pre[depth].chars END) AS BIGINT) AS saved_tokens
+    FROM counted, unnest(range(depth + 1)) AS t(up) GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens,
+    c.ends_sha256
+FROM counted c JOIN above USING (depth, pre)
+LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.pre = list_slice(c.pre, 1, c.depth - 1)""",
     "op13_best_positions": f"""WITH
 texts AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
 total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM texts WHERE len(w) > 0),
