@@ -1,4 +1,6 @@
 import math
+import random
+import time
 import zlib
 
 from collections import Counter
@@ -174,3 +176,59 @@ def test_runs_of_spaces_use_their_pieces(vocabulary, text):
     assert ids == whole_viterbi(text, vocabulary)
     assert any(pieces.MARK in vocabulary.pieces[i][1:] for i in ids)
     assert pieces.Decoder(vocabulary).decode(np.array(ids, dtype="<i4")) == text
+
+
+def strange(rng: random.Random) -> str:
+    """URLs, base64, glued words, CJK, one word per line, repeated characters, of 1 to 5 000 code points."""
+    glued = prose(rng.randrange(50), 30).replace(" ", "").replace("\n", "")
+    kinds = [
+        lambda: "https://" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789/-_.?=&%", k=rng.randint(1, 500))),
+        lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=rng.randint(1, 700))),
+        lambda: (glued * 40)[: rng.randint(1, 900)],
+        lambda: "".join(chr(rng.randint(0x4E00, 0x4E60)) for _ in range(rng.randint(1, 200))),
+        lambda: prose(rng.randrange(50), 60).replace(" ", "\n"),
+        lambda: rng.choice("xaé漢 =-▁") * rng.randint(1, 800),
+        lambda: " ".join("".join(rng.choices("theinand  ", k=90)) for _ in range(4)),
+    ]
+    return "".join(rng.choice(kinds)() for _ in range(rng.choice([1, 1, 1, 2, 6])))[: rng.choice([70, 500, 5000])]
+
+
+def test_strange_texts_in_any_portions(vocabulary, monkeypatch):
+    rng = random.Random(11)
+    encoder, decoder = pieces.Encoder(vocabulary), pieces.Decoder(vocabulary)
+    for case in range(1500):
+        text = strange(rng)
+        monkeypatch.setattr(pieces, "PORTION", rng.choice([1, 5, 64, 65, 4096]))
+        want = whole_viterbi(text, vocabulary)
+        assert encoder.encode(text).tolist() == want, text
+        assert decoder.decode(np.array(want, dtype="<i4")) == text
+        if case % 5 == 0:
+            stream, ids, at = pieces.StreamingViterbi(vocabulary), [], 0
+            marked = text.replace(pieces.MARK, pieces.LITERAL).replace(" ", pieces.MARK)
+            while at < len(marked):
+                step = rng.randint(1, 200)
+                ids += stream.feed(marked[at : at + step])
+                at += step
+            assert ids + stream.finish() == want, text
+
+
+@pytest.mark.parametrize("unit", ["x", "https://a.b/c?d=1&", "dGhlIHF1aWNr+/", "漢字かな"])
+def test_time_grows_with_the_text(vocabulary, unit):
+    def seconds(n: int) -> float:
+        text = (unit * (n // len(unit) + 1))[:n]
+        began = time.process_time()
+        encoded = pieces.Encoder(vocabulary).encode(text)
+        took = time.process_time() - began
+        assert pieces.Decoder(vocabulary).decode(encoded) == text
+        return took
+
+    short, long = seconds(100_000), seconds(800_000)
+    assert long < 16 * max(short, 0.05)
+
+
+def test_documents_without_spaces(spark, vocabulary):
+    rng = random.Random(12)
+    texts = [strange(rng) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pieces.encode_documents(docs).collect()}
+    assert all(got[k].exact and list(got[k].ids) == whole_viterbi(t, vocabulary) for k, t in enumerate(texts))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ LITERAL = "\ud800"  # stands for a mark that the text itself holds; no valid tex
 RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")  # a run of marks and what follows, up to the next
 UNIT = 1 << 16
 UNUSED = -1e8  # lower scores are no ranks; of such pieces only runs of spaces are produced
+NO_PATH = -(1 << 62)
 TRACE_EVERY = 64
+PORTION = 4096  # characters fed at a time
 REMEMBERED = 400_000
 MODEL = "piece_bpe_32k.model"
 
@@ -95,88 +98,95 @@ def load_vocabulary(path: str | None = None, runs: bool = True) -> Vocabulary:
 
 
 class StreamingViterbi:
-    """Best segmentation of a stream of characters, with a bounded window of scores."""
+    """Best segmentation of a stream of characters, with a bounded window of scores.
+
+    Characters stay only as long as a piece may still begin at them. For positions whose paths
+    haven't met yet, what the best path ends with is kept as numbers: the length of its last piece
+    and the piece, or -1 less the code point of a character that goes as bytes.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.text, self.at = "", 0  # characters not committed, and how many of them are done
-        self.best: list[int | None] = [0]  # score of each open position, None behind and beyond
-        self.back: list[tuple[int, int] | None] = [None]  # where from, and the id (-1: bytes)
-        self.reach, self.traced = 0, 0
+        self.text, self.at = "", 0  # characters not begun with; the position of the first
+        self.best, self.step, self.piece = array("q", [0]), array("i", [0]), array("i", [0])
+        self.traced, self.wait = 0, TRACE_EVERY
 
     def _path(self, to: int) -> list[int]:
-        """Ids of the path from the last commit to ``to``."""
+        """Ids of the path from the last commit to position ``to``."""
         ids: list[int] = []
         while to:
-            to, i = self.back[to]
+            i = self.piece[to]
             if i >= 0:
                 ids.append(i)
             else:
-                ids.extend(reversed(self.vocabulary.spelled(self.text[to])))
+                ids.extend(reversed(self.vocabulary.spelled(chr(-1 - i))))
+            to -= self.step[to]
         ids.reverse()
         return ids
 
     def _commit(self, to: int) -> list[int]:
-        """Hand out the path to ``to`` and forget what lies before."""
+        """Hand out the path to position ``to`` and forget what lies before."""
         ids = self._path(to)
-        self.text, self.at = self.text[to:], self.at - to
-        self.best, self.back = self.best[to:], [None] + [(s - to, i) for s, i in self.back[to + 1 :]]
-        self.reach, self.traced = self.reach - to, 0
+        del self.best[:to], self.step[:to], self.piece[:to]
         return ids
 
-    def _meeting(self) -> int:
-        """The last boundary that the paths to all open positions share."""
-        open_ = {p for p in range(self.at, self.reach + 1) if self.best[p] is not None}
+    def _meeting(self, at: int) -> int:
+        """The last boundary that the paths to all open positions, ``at`` and beyond, share."""
+        open_ = {p for p in range(at, len(self.best)) if self.best[p] != NO_PATH}
         while len(open_) > 1:
             furthest = max(open_)
             open_.remove(furthest)
-            open_.add(self.back[furthest][0])
+            open_.add(furthest - self.step[furthest])
         return open_.pop()
 
     def feed(self, chars: str, last: bool = False) -> list[int]:
         """Take more characters; returns the ids that are certain by now."""
-        self.text += chars
-        ids: list[int] = []
-        vocabulary = self.vocabulary
-        tree, longest, byte_score = vocabulary.tree, vocabulary.longest, vocabulary.byte_score
-        ahead = 0 if last else longest
-        text, best, back, i, reach = self.text, self.best, self.back, self.at, self.reach
+        text, at, ids = self.text + chars, self.at, []
+        vocabulary, best, step, piece = self.vocabulary, self.best, self.step, self.piece
+        tree, byte_score = vocabulary.tree, vocabulary.byte_score
         n = len(text)
-        while i < n - ahead:
-            score = best[i]
-            if reach == i:  # the next position has no path yet
-                best.append(None)
-                back.append(None)
+        certain = n if last else n - vocabulary.longest
+        i = 0
+        while i < certain:
+            here = at + i
+            score, reach = best[here], len(best)
+            if reach == here + 1:  # the next position has no path yet
+                best.append(NO_PATH)
+                step.append(0)
+                piece.append(0)
                 reach += 1
             level = tree
             for k in range(i, n):
-                step = level.get(text[k])
-                if step is None:
+                found = level.get(text[k])
+                if found is None:
                     break
-                level, piece, gain = step
-                if piece >= 0:
-                    while reach <= k:
-                        best.append(None)
-                        back.append(None)
+                level, number, gain = found
+                if number >= 0:
+                    to = at + k + 1
+                    while reach <= to:
+                        best.append(NO_PATH)
+                        step.append(0)
+                        piece.append(0)
                         reach += 1
-                    if best[k + 1] is None or score + gain > best[k + 1]:
-                        best[k + 1], back[k + 1] = score + gain, (i, piece)
-            if best[i + 1] is None:  # no piece ends here: the character goes as bytes
-                best[i + 1] = score + byte_score * len(vocabulary.spelled(text[i]))
-                back[i + 1] = (i, -1)
-            i += 1
-            if i - self.traced >= TRACE_EVERY:
-                self.at, self.reach, self.traced = i, reach, i
-                if met := self._meeting():
+                    if score + gain > best[to]:
+                        best[to], step[to], piece[to] = score + gain, k + 1 - i, number
+            i, here = i + 1, here + 1
+            if best[here] == NO_PATH:  # no piece ends here: the character goes as bytes
+                char = text[i - 1]
+                best[here] = score + byte_score * len(vocabulary.spelled(char))
+                step[here], piece[here] = 1, -1 - ord(char)
+            if here - self.traced >= self.wait:
+                if met := self._meeting(here):
                     ids += self._commit(met)
-                    text, best, back, i, reach = self.text, self.best, self.back, self.at, self.reach
-                    n = len(text)
-        self.at, self.reach = i, reach
+                    at, here = at - met, here - met
+                # where paths don't meet for long, the way back is walked in growing distances
+                self.traced, self.wait = here, max(TRACE_EVERY, here)
+        self.text, self.at = text[i:], at + i
         return ids
 
     def finish(self) -> list[int]:
         ids = self.feed("", last=True)
-        return ids + (self._commit(self.at) if self.at else [])
+        return ids + self._path(self.at)
 
 
 class Encoder:
@@ -186,10 +196,45 @@ class Encoder:
         self.vocabulary, self.remembered = vocabulary, remembered
         self.known: dict[str, bytes] = {}
 
+    def _direct(self, part: str) -> bytes:
+        """The search of a part that is no longer than a window needs to be."""
+        vocabulary, n = self.vocabulary, len(part)
+        tree = vocabulary.tree
+        best: list[int | None] = [0] + [None] * n
+        back: list[tuple[int, int] | None] = [None] * (n + 1)  # where from, and the id (-1: bytes)
+        for i in range(n):
+            score, level = best[i], tree
+            for k in range(i, n):
+                found = level.get(part[k])
+                if found is None:
+                    break
+                level, number, gain = found
+                if number >= 0:
+                    gain += score
+                    if best[k + 1] is None or gain > best[k + 1]:
+                        best[k + 1], back[k + 1] = gain, (i, number)
+            if best[i + 1] is None:  # no piece ends here: the character goes as bytes
+                best[i + 1] = score + vocabulary.byte_score * len(vocabulary.spelled(part[i]))
+                back[i + 1] = i, -1
+        ids: list[int] = []
+        while n:
+            n, number = back[n]
+            if number >= 0:
+                ids.append(number)
+            else:
+                ids.extend(reversed(vocabulary.spelled(part[n])))
+        ids.reverse()
+        return array("i", ids).tobytes()
+
     def _search(self, part: str) -> bytes:
+        if len(part) <= TRACE_EVERY:
+            return self._direct(part)
         search = StreamingViterbi(self.vocabulary)
-        ids = search.feed(part, last=True) + search.finish()
-        return np.array(ids, dtype="<i4").tobytes()
+        found = [
+            np.array(search.feed(part[at : at + PORTION]), dtype="<i4").tobytes()
+            for at in range(0, len(part), PORTION)
+        ]
+        return b"".join(found) + np.array(search.finish(), dtype="<i4").tobytes()
 
     def segment(self, part: str) -> bytes:
         found = self.known.get(part)
@@ -228,7 +273,8 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None) -> D
     Takes (doc_id, text), one row out per row in. ``exact`` says that decoding the ids gives the
     text again. A NULL text has NULL ids, no characters, no pieces and is exact; an empty text
     has an empty list. Repeated rows give repeated rows, other columns are ignored, no rows give
-    none. The vocabulary travels with the task; its size is fixed. There is no shuffle.
+    none. Long texts and long runs without a space are searched by portions, in time in proportion
+    to their length. The vocabulary travels with the task; its size is fixed. There is no shuffle.
     """
     vocabulary = vocabulary or load_vocabulary()
 
@@ -267,7 +313,10 @@ def _encoded(batch: pa.RecordBatch, encoder: Encoder, decoder: Decoder) -> pa.Re
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Texts (doc_id, text) of rows (doc_id, ids). NULL ids give a NULL text."""
+    """Texts (doc_id, text) of rows (doc_id, ids). NULL ids give a NULL text, no ids an empty one.
+
+    Repeated rows give repeated rows, other columns are ignored, no rows give none.
+    """
     vocabulary = vocabulary or load_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
