@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,46 +49,43 @@ def fields(line: str) -> tuple[list[str], bool]:
     return tokens, len(tokens) >= LEAST_TOKENS
 
 
-def templates(line: str, short: bool = False) -> list[int]:
-    """Hashes of a line's templates: itself with its variable fields, then one without each band.
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
-    A line of fewer than LEAST_TOKENS tokens has none, with ``short`` its exact one.
-    """
-    tokens, general = fields(line)
-    if len(tokens) < LEAST_TOKENS:
-        tokens = line.split()
-        return [xxhash.xxh64_intdigest("\n".join(tokens))] if short and tokens else []
-    if not general:
-        return [xxhash.xxh64_intdigest("\n".join(tokens))]
-    leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
-    body = tokens[DEPTH:]
-    found = [xxhash.xxh64_intdigest(leaf + " ".join(body))]
-    if len(body) >= LEAST_BODY:
-        cuts = [len(body) * k // BANDS for k in range(BANDS + 1)]
-        for a, b in zip(cuts, cuts[1:]):
-            rest = " ".join(body[:a]) + f"\n{a}-{b}\n" + " ".join(body[b:])
-            found.append(xxhash.xxh64_intdigest(leaf + rest))
-    return found
-
-
-@cache
-def _places(n: int) -> list[list[int]]:
+
+def _draw(n: int) -> list[list[int]]:
     """The places of each signature in a body of ``n`` tokens."""
     draw = np.random.default_rng([20_240_611, n])
     return [sorted(draw.choice(n, DRAWN, replace=False).tolist()) for _ in range(SIGNATURES)]
 
 
-def signatures(line: str) -> list[int]:
-    """Hashes by which a line meets those of its leaf that are to be compared with it."""
+def parse_line(line: str, places: dict[int, list[list[int]]], short: bool = False) -> tuple[list[int], list[int]]:
+    """Hashes of a line's templates, and those by which it meets lines of its leaf to compare.
+
+    The templates are the line itself with its variable fields, then the line without each band.
+    A line of fewer than LEAST_TOKENS tokens has none, with ``short`` its exact one. ``places``
+    remembers where signatures are drawn from, by the length of the body.
+    """
     tokens, general = fields(line)
-    body = tokens[DEPTH:]
-    if not general or len(body) < LEAST_BODY:
-        return []
-    leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}\n"
-    return [
-        xxhash.xxh64_intdigest(f"{leaf}{k}\n" + " ".join([body[i] for i in at]))
-        for k, at in enumerate(_places(len(body)))
-    ]
+    if len(tokens) < LEAST_TOKENS:
+        tokens = line.split()
+        return [digest("\n".join(tokens))] if short and tokens else [], []
+    if not general:
+        return [digest("\n".join(tokens))], []
+    # each token is hashed once; hashes of tuples of integers are the same in every process
+    leaf = digest(f"{len(tokens)} {' '.join(tokens[:DEPTH])}")
+    body = [xxhash.xxh64_intdigest(t) for t in tokens[DEPTH:]]
+    n = len(body)
+    if n < LEAST_BODY:
+        return [hash((leaf, *body))], []
+    cuts = [n * k // BANDS for k in range(BANDS + 1)]
+    bands = [hash(tuple(body[a:b])) for a, b in zip(cuts, cuts[1:])]
+    found = [hash((leaf, *bands))]
+    found += [hash((leaf, k, *bands[:k], *bands[k + 1 :])) for k in range(BANDS)]
+    at = places.get(n)
+    if at is None:
+        at = places[n] = _draw(n)
+    return found, [hash((leaf, k, body[a], body[b], body[c])) for k, (a, b, c) in enumerate(at)]
 
 
 def _listed(lists: list[np.ndarray], kind: type) -> pa.ListArray:
@@ -105,17 +101,18 @@ def _parsed(short: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, list[list[int]]] = {}
         for batch in batches:
             columns = [], [], [], []
             for text in batch.column(2):
                 own = [], [], [], []
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    for at, found in ((0, templates(line, short)), (2, signatures(line))):
+                    for at, found in zip((0, 2), parse_line(line, places, short)):
                         own[at].extend([k] * len(found))
                         own[at + 1].extend(found)
                 for at in (0, 2):
                     columns[at].append(np.array(own[at], dtype=np.int32))
-                    columns[at + 1].append(np.array(own[at + 1], dtype=np.uint64).view(np.int64))
+                    columns[at + 1].append(np.array(own[at + 1], dtype=np.int64))
             lists = [_listed(c, k) for c, k in zip(columns, (np.int32, np.int64) * 2)]
             names = ["id", "row", "line", "template", "near", "signature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names)
@@ -131,7 +128,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split("\n")
             for k in asked:
                 body = fields(lines[k])[0][DEPTH:]
-                found.append((id_, row, k, [xxhash.xxh64_intdigest(t) - (1 << 63) for t in body]))
+                found.append((id_, row, k, [digest(t) for t in body]))
         columns = list(zip(*found)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
@@ -238,9 +235,8 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         "left",
     )
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(
-        F.filter(lines, lambda _, k: ~F.array_contains(dropped, k)), "\n"
-    )
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
     text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in other],
