@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -109,3 +110,43 @@ def test_mixed_documents_repeat_rows(trouble, nothing):
     assert got.columns == trouble.columns
     assert Counter((r.doc_id, words(r.text)) for r in got.collect()) == +copies
     assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_copies_stay_with_their_source(spark):
+    """Rows of one id and size in two sources, without an id, and repeated more often than a bucket holds."""
+    rows = [(k % 40, " ".join(f"{s}{k}w{j}" for j in range(3 + k % 7)), s) for k in range(400) for s in "ab"]
+    rows += [(None, f"x y z {s}", s) for s in "abc" for _ in range(300)] + [(5, "one two", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id, r["size"], r.source] += r.copies
+    delivered = mixing.mixed_documents(docs.repartition(3)).collect()
+    for r in delivered:
+        got[r.doc_id, words(r.text), r.source] += 1
+    assert got == +want
+    per_row = Counter((r.doc_id, r.text, r.source) for r in delivered)
+    had = Counter(rows)
+    assert all(n <= 3 * had[row] for row, n in per_row.items())
+
+
+def test_a_long_open_document_is_made_up_for(spark, monkeypatch):
+    rng = random.Random(2)
+    sizes = [20_000] + [rng.randint(1, 900) for _ in range(49)]
+    rows = [(k, "w " * n, f"s{s}") for s in range(6) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
+def test_a_row_repeated_very_often_is_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 8)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 32)
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 900 + [(2, "a b", "t")] * 100, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == 1000 and all(abs(taken[r.source] - r.target) <= 3 for r in got)

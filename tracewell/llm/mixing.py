@@ -5,7 +5,9 @@ rate as copies, and one more with the fractional part as probability. The fracti
 dependently: two documents exchange probability, weighted by their sizes so that the expected
 words of the pair stay the same, until one of them is 0 or 1; the other goes on to the next
 document. Each bucket of a source ends with at most one open fraction, and the open ones meet in
-a tree of buckets, so that a source's words differ from its target by less than one document.
+a tree of buckets, so that a source's words differ from its target by less than one document. The
+last open document is settled by a draw; the words this adds or takes are made up for by shorter
+settled documents, so the difference that stays is about the shortest document of the last bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from tracewell.llm.common import materialise, numbered, unused, word_count
 BUCKET_ROWS = 4096
 FAN_IN = 256
 SOLID = 1e-12
-ROUNDED = "rank long, bucket long, key long, doc_id long, size long, p double, extra int"
+SLICE = 1024  # rows with equal id and size that share a bucket
+ROUNDED = "rank long, buckets long, bucket long, key long, doc_id long, size long, p double, extra int"
 
 
 def source_targets(sources: DataFrame, cap: float = 3.0, label: str = "mix") -> DataFrame:
@@ -63,7 +66,6 @@ def _whole(p: float) -> int | None:
 
 
 def _round_bucket(key: tuple, rows: pd.DataFrame, seed: str, last: bool) -> pd.DataFrame:
-    # long texts first: short ones then settle them, and what stays open at the end is short
     rows = rows.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], ignore_index=True)
     rng = random.Random(f"{seed}:{key[0]}:{key[1]}")
     p, size = rows["p"].tolist(), rows["size"].tolist()
@@ -80,19 +82,26 @@ def _round_bucket(key: tuple, rows: pd.DataFrame, seed: str, last: bool) -> pd.D
         held = held if extra[held] is None else i if extra[i] is None else None
     if last and held is not None:
         extra[held] = int(rng.random() < p[held])
+        over = (extra[held] - p[held]) * size[held]  # words taken beyond the expected ones
+        for i in range(len(extra)):  # long ones first; one that is too long to help stays
+            if i != held and extra[i] == (over > 0) and size[i] <= abs(over):
+                extra[i] = 1 - extra[i]
+                over += (2 * extra[i] - 1) * size[i]
     rows["bucket"] = key[1]
     rows["p"] = p
     rows["extra"] = pd.array(extra, dtype="Int32")
     return rows
 
 
-def _level(rows: DataFrame, bucket: Column, seed: str, last: bool) -> DataFrame:
+def _level(rows: DataFrame, bucket: Column, seed: str) -> DataFrame:
+    """One round in all buckets; where a source has one bucket left, its last document is settled."""
+
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return _round_bucket(key, group, seed, last)
+        return _round_bucket(key, group, seed, last=group["buckets"].iloc[0] == 1)
 
     return (
         rows.withColumn("bucket", bucket.cast("long"))
-        .select("rank", "bucket", "key", "doc_id", "size", "p", F.lit(None).cast("int").alias("extra"))
+        .select("rank", "buckets", "bucket", "key", "doc_id", "size", "p", F.lit(None).cast("int").alias("extra"))
         .groupBy("rank", "bucket")
         .applyInPandas(run, ROUNDED)
     )
@@ -123,33 +132,30 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, label: str =
     )
     most = sources.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    equal = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
+    slices = equal.withColumn("slice", F.explode(F.expr(f"sequence(0, (times - 1) div {SLICE})")))
+    own = F.least(F.lit(SLICE), F.col("times") - F.col("slice") * SLICE).cast("int")
     rows = (
-        sized.withColumnRenamed("source", "_source")
+        slices.withColumn("_nth", F.explode(F.sequence(F.lit(1), own)))
+        .withColumnRenamed("source", "_source")
         .join(sources, F.col("_source").eqNullSafe(F.col("source")))
         .withColumn("rate", rate)
         .withColumn("base", F.floor(F.col("rate") + SOLID).cast("long"))
         .withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
         .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
     )
-    count = F.ceil(F.col("n") / BUCKET_ROWS)
-    name = f"{seed}:0"
+    # a row repeated very often is in many buckets
+    salted = F.when(F.col("slice") == 0, F.col("key")).otherwise(F.xxhash64("key", "slice"))
+    opened = rows.where("size > 0").withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
     level = materialise(
-        _level(
-            rows.where("size > 0"), F.pmod(F.col("key"), count), name, most <= BUCKET_ROWS
-        ),
-        f"{label}-rounded",
+        _level(opened, F.pmod(salted, "buckets"), f"{seed}:0"), f"{label}-rounded"
     )
     buckets, depth, parts = -(-most // BUCKET_ROWS), 0, [level.where("extra IS NOT NULL")]
     while buckets > 1:
         buckets, depth = -(-buckets // FAN_IN), depth + 1
+        still = level.where("extra IS NULL").withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN))
         level = materialise(
-            _level(
-                level.where("extra IS NULL"),
-                F.floor(F.col("bucket") / FAN_IN),
-                f"{seed}:{depth}",
-                buckets == 1,
-            ),
-            f"{label}-rounded",
+            _level(still, F.floor(F.col("bucket") / FAN_IN), f"{seed}:{depth}"), f"{label}-rounded"
         )
         parts.append(level.where("extra IS NOT NULL"))
     rounded = parts[0]
@@ -176,27 +182,45 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, label: str =
 
 
 def mixed_documents(docs: DataFrame, cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows with equal id are told apart."""
-    size, row, id_, words, nth, times, copy = unused(docs, "size", "row", "id", "words", "nth", "times", "copy")
-    mine = Window.partitionBy("doc_id", size).orderBy("text", "source")
-    same = Window.partitionBy("doc_id", "size").orderBy("source", "copies")
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Takes (doc_id, text, source). Copies are matched by id, size and source, so each source gets
+    its own; rows alike in all three take theirs in the order of their texts' hashes. Rows without
+    words, NULL texts among them, are never taken; a NULL id or source is a value like any other.
+    No rows give no rows.
+    """
+    names = "size row hash id words of nth times copy".split()
+    size, row, hash_, id_, words, of, nth, times, copy = unused(docs, *names)
+    known = materialise(
+        docs.withColumn(size, word_count(F.col("text")))
+        .where(F.col(size) > 0)
+        .withColumn(row, F.monotonically_increasing_id()),
+        "mix-rows",
+    )
+    alike = Window.partitionBy("doc_id", size, "source").orderBy(hash_, row)
+    mine = known.select("doc_id", size, "source", row, F.xxhash64("text").alias(hash_)).select(
+        row,
+        F.col("doc_id").cast("long").alias(id_),
+        F.col(size).alias(words),
+        F.col("source").alias(of),
+        F.row_number().over(alike).alias(nth),
+    )
+    same = Window.partitionBy("doc_id", "size", "source").orderBy("copies")
     counted = (
         mix_sources(docs, cap, seed)
         .where("size > 0")
-        .select("doc_id", "size", F.row_number().over(same), "copies")
-        .toDF(id_, words, nth, times)
-        .where(F.col(times) > 0)
+        .select("doc_id", "size", "source", F.row_number().over(same).alias("nth"), "copies")
+        .where("copies > 0")
     )
+    taken = mine.join(
+        counted,
+        F.col(id_).eqNullSafe(F.col("doc_id"))
+        & (F.col(words) == F.col("size"))
+        & F.col(of).eqNullSafe(F.col("source"))
+        & (F.col(nth) == F.col("nth")),
+    ).select(F.col(row), F.col("copies").cast("int").alias(times))
     return (
-        docs.withColumn(size, word_count(F.col("text")))
-        .where(F.col(size) > 0)
-        .withColumn(row, F.row_number().over(mine))
-        .join(
-            counted,
-            F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
-            & (F.col(size) == F.col(words))
-            & (F.col(row) == F.col(nth)),
-        )
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+        known.join(taken, row)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
         .select(*docs.columns)
     )
