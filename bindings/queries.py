@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bindings import tables as t
-from tracewell import configure, shared_dir
+from tracewell import configure, shared_dir, stored
 from tracewell.operators import (
     align,
     catalog,
     downsample,
+    hours,
     index,
+    indicators,
+    isolation,
     manifest,
+    overlays,
     raw,
+    retention,
     runs,
     saved_sets,
     summary,
@@ -33,10 +37,16 @@ from tracewell.plans import (
     tool_status,
 )
 from tracewell.plans.resolution import bucket_seconds
-from tracewell.sources import payloads
+from tracewell.sources import payloads, sinks
 from tracewell.sources.checksum import audit_checksums
-from tracewell.sources.files import index_of, quarantine_of, scan_files, sensor_catalog
-from tracewell.sources.readings import read_by_index
+from tracewell.sources.files import (
+    index_of,
+    quarantine_of,
+    scan_changed,
+    scan_files,
+    sensor_catalog,
+)
+from tracewell.sources.readings import read_by_index, read_selected
 from tracewell.sources.sinks import read_partitioned, write_partitioned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +194,96 @@ def downsample_from_files(spark, sf_dir):
     return rounded(result, "l_quantity_avg", "value_avg")
 
 
+def _tool_files(spark, sf_dir):
+    """Order lines written as one file per tool."""
+    path = shared_dir(spark, "tool-files")
+    t.wide(spark, sf_dir).repartition("tool_id").write.partitionBy("tool_id").parquet(path)
+    return path
+
+
+@query
+def tool_outcome_at_read(spark, sf_dir):
+    """tool_2 is written anew, with half of its rows, between the scan and the query."""
+    path = _tool_files(spark, sf_dir)
+    files = index_of(stored(scan_files(spark, path), "scan"))
+    half = t.wide(spark, sf_dir).where("tool_id = 'tool_2' AND l_quantity > 25").drop("tool_id")
+    half.write.mode("overwrite").parquet(f"{path}/tool_id=tool_2")
+    found = isolation.isolated_downsample(spark, files, ["l_quantity", "l_tax"], 86400, root=path)
+    per_tool = found.buckets.groupBy("tool_id").agg(
+        F.count("*").alias("buckets"),
+        F.sum("n").alias("rows"),
+        F.sum("l_tax_avg").alias("tax_means"),
+        F.max("l_quantity_max").alias("most"),
+    )
+    result = found.tools.select("tool_id", "status").join(per_tool, "tool_id", "left")
+    return rounded(result, "tax_means", digits=5)
+
+
+@query
+def index_incremental(spark, sf_dir):
+    """Orders come as new files beside those of the order lines, one tool among them new."""
+    path = _tool_files(spark, sf_dir)
+    known = stored(scan_files(spark, path), "scan")
+    t.table(spark, sf_dir, "orders").selectExpr(
+        "concat('tool_', o_custkey % 9) AS tool_id", "o_orderdate AS ts", "o_totalprice"
+    ).repartition("tool_id").write.mode("append").partitionBy("tool_id").parquet(path)
+    return index_of(scan_changed(spark, path, known)).groupBy("tool_id").agg(
+        F.count("*").alias("files"),
+        F.sum("row_count").alias("rows"),
+        F.min("min_ts").alias("earliest"),
+        F.max("max_ts").alias("latest"),
+    )
+
+
+@query
+def selected_readings(spark, sf_dir):
+    """What each selection of a table selects from day folders, pruned at run time."""
+    path = shared_dir(spark, "readings")
+    write_partitioned(t.long(spark, sf_dir), path)
+    rows = read_selected(spark, path, t.day_selections(spark, sf_dir), "sensor string, value double")
+    return rows.groupBy("selection_id", "tool_id", "sensor").agg(
+        F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("value").alias("top")
+    )
+
+
+# Stored hours
+
+
+@query
+def hour_changes(spark, sf_dir):
+    """Days of which a second delivery has other rows: long orders lost, some taxes corrected."""
+    first = t.wide(spark, sf_dir)
+    second = t.second_delivery(spark, sf_dir)
+    return hours.changed_periods(hours.fingerprints(first, "day"), hours.fingerprints(second, "day"))
+
+
+@query
+def late_arrivals(spark, sf_dir):
+    """Every tenth event comes after the others."""
+    path = shared_dir(spark, "ingested")
+    rows, ddl = t.long(spark, sf_dir), "sensor string, value double"
+    last = t.table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr(
+        "concat('tool_', user_id % 8) AS tool_id", "ts", "event_type AS sensor", "value"
+    )
+    for batch in (rows.exceptAll(last), last):
+        hours.ingest(spark, batch, path, ddl, window_hours=36, by="day")
+    kept = read_partitioned(spark, f"{path}/hours", ddl).groupBy("tool_id").agg(
+        F.count("*").alias("rows"), F.max("ts").alias("newest")
+    )
+    late = hours.late_rows(spark, path, ddl).groupBy("tool_id").agg(F.count("*").alias("late"))
+    return kept.join(late, "tool_id", "left").join(hours.sealed_before(spark, path), "tool_id", "left")
+
+
+@query
+def retention_plan(spark, sf_dir):
+    """Two fifths of the library's room, and the five years before its newest reading."""
+    files = t.file_index(spark, sf_dir)
+    room, newest = files.agg(F.sum("size_bytes"), F.max("max_ts")).first()
+    return retention.retention(
+        files, newest, max_age_days=1826, budget_bytes=room * 2 // 5
+    ).select("file_id", "tool_id", "size_bytes", "pinned", "drop", "bytes_kept")
+
+
 # Plans
 
 
@@ -191,6 +291,16 @@ def _mapping(spark, sf_dir):
     return catalog.latest_mapping(payloads.parse_mappings(t.mapping_payloads(spark, sf_dir)))
 
 
+def _mapping_and_groups(spark, sf_dir):
+    """Both from one parse of the documents."""
+    entries = payloads.parse_mapping_entries(t.mapping_payloads(spark, sf_dir))
+    entries = stored(entries, "mapping-entries")
+    return (
+        catalog.latest_mapping(payloads.mappings_of(entries)),
+        catalog.tool_groups(payloads.tool_groups_of(entries)),
+    )
+
+
 def _resolved(spark, sf_dir):
     wanted = expand_selection(t.selections(spark, sf_dir))
     return resolve_columns(wanted, _mapping(spark, sf_dir))
@@ -545,11 +655,14 @@ def sensor_parse(spark, sf_dir):
     )
 
 
+def _cells(spark, sf_dir):
+    mapping, groups = _mapping_and_groups(spark, sf_dir)
+    return catalog.mapping_cells(_canonical(spark, sf_dir), groups, mapping)
+
+
 @query
 def mapping_cells(spark, sf_dir):
-    return catalog.mapping_cells(
-        _canonical(spark, sf_dir), _groups(spark, sf_dir), _mapping(spark, sf_dir)
-    )
+    return _cells(spark, sf_dir)
 
 
 @query
@@ -559,11 +672,7 @@ def mapping_matrix(spark, sf_dir):
 
 @query
 def mapping_lines(spark, sf_dir):
-    return catalog.mapping_lines(
-        catalog.mapping_cells(
-            _canonical(spark, sf_dir), _groups(spark, sf_dir), _mapping(spark, sf_dir)
-        )
-    )
+    return catalog.mapping_lines(_cells(spark, sf_dir))
 
 
 def _labels(spark, sf_dir):
@@ -581,7 +690,7 @@ def catalog_labels(spark, sf_dir):
 def _picker(spark, sf_dir):
     return catalog.picker(
         index.active_tools(t.file_index(spark, sf_dir)),
-        _groups(spark, sf_dir),
+        stored(_groups(spark, sf_dir), "tool-groups"),  # one row per tool, used twice
         _labels(spark, sf_dir),
         t.raw_catalog(spark, sf_dir),
     )
@@ -647,17 +756,7 @@ def telemetry_parse(spark, sf_dir):
 def telemetry_all_types(spark, sf_dir):
     """All fields of every event type, as text."""
     events = telemetry.parse_event_lines(t.all_event_lines(spark, sf_dir))
-    parts = [
-        telemetry.event_fields(events, kind).select(
-            F.lit(kind).alias("type"),
-            "created_at",
-            F.concat_ws(
-                "|", *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields]
-            ).alias("fields"),
-        )
-        for kind, fields in telemetry.EVENT_FIELDS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return telemetry.event_texts(events)
 
 
 @query
@@ -707,9 +806,104 @@ def saved_set_replace(spark, sf_dir):
     return _joined_text(saved_sets.replace_with_set(t.current_choice(spark, sf_dir), sets))
 
 
+@query
+def telemetry_archive(spark, sf_dir):
+    """Events archived by day up to a cutoff, in two runs of which the second takes more days."""
+    path = shared_dir(spark, "event-archive")
+    events = t.event_lines(spark, sf_dir).select("event_id", "value")
+    dated = telemetry.dated_lines(events)
+    telemetry.archive_days(spark, dated, path, before="2024-01-12")
+    telemetry.archive_days(spark, dated, path, before="2024-01-20")
+    kept = telemetry.live_lines(dated, before="2024-01-20").select(F.lit("live").alias("place"), "day")
+    moved = telemetry.archived_lines(spark, path, dated).select(F.lit("archive").alias("place"), "day")
+    return kept.union(moved).groupBy("place", "day").agg(F.count("*").alias("events"))
+
+
+# Overlays and indicators
+
+
+@query
+def overlay_groups(spark, sf_dir):
+    return rounded(overlays.overlay_groups(_daily_series(spark, sf_dir)), "mean_value", "scale_ratio")
+
+
+@query
+def mapping_indicators(spark, sf_dir):
+    mapping, groups = _mapping_and_groups(spark, sf_dir)
+    canonical = _canonical(spark, sf_dir)
+    cells = catalog.mapping_cells(canonical, groups, mapping)
+    return indicators.cell_indicators(cells, canonical, t.raw_units(spark, sf_dir))
+
+
+@query
+def canonical_indicators(spark, sf_dir):
+    mapping, groups = _mapping_and_groups(spark, sf_dir)
+    canonical = _canonical(spark, sf_dir)
+    cells = catalog.mapping_cells(canonical, groups, mapping)
+    return indicators.canonical_indicators(cells, canonical, t.raw_units(spark, sf_dir))
+
+
 # Sinks
 
 
+def _written(spark, path):
+    """Data lines of CSV part files, each with whether it comes after a later time."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    ).where("NOT startswith(line, 'ts,')")
+    time = F.substring_index("line", ",", 1)
+    here = Window.partitionBy("file").orderBy("block", "at")
+    inside = F.coalesce((F.lag(time).over(here) > time).cast("long"), F.lit(0))
+    files = lines.groupBy("file").agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    across = files.select("file", (F.max("high").over(before) > F.col("low")).cast("long").alias("across"))
+    placed = lines.withColumn("inside", inside).join(across, "file")
+    return placed.select("line", (F.col("inside") + F.coalesce("across", F.lit(0))).alias("out_of_order"))
+
+
+@query
+def chart_csv_lines(spark, sf_dir):
+    """The chart CSV as it is written: text of every line, and its order by time."""
+    path = shared_dir(spark, "chart")
+    daily = downsample.downsample(t.wide(spark, sf_dir), t.WIDE_SENSORS, 86400)
+    aligned = align.align_wide(daily, {k: v[:3] for k, v in list(t.ALIGNED.items())[:2]})
+    exact = [c for c in aligned.columns if not c.endswith("_avg")]
+    sinks.write_chart_csv(aligned.select(*[F.col(f"`{c}`") for c in exact]), path)
+    return _written(spark, path)
+
+
+@query
+def table_csv_lines(spark, sf_dir):
+    path = shared_dir(spark, "table")
+    rows = t.wide(spark, sf_dir).select("ts", "tool_id", "l_quantity", "l_tax")
+    sinks.write_table_csv(rows, path)
+    return _written(spark, path).groupBy(F.substring("line", 1, 10).alias("day")).agg(
+        F.count("*").alias("lines"),
+        F.min("line").alias("first_line"),
+        F.max("line").alias("last_line"),
+        F.sum(F.char_length("line")).alias("chars"),
+        F.sum("out_of_order").alias("out_of_order"),
+    )
+
+
+@query
+def partitioned_order(spark, sf_dir):
+    """Rows of each stored file that come before an earlier one: none."""
+    path = shared_dir(spark, "readings")
+    write_partitioned(t.long(spark, sf_dir), path)
+    rows = read_partitioned(spark, path, "sensor string, value double").select(
+        "tool_id", "day", "ts", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    here = Window.partitionBy("file").orderBy("at")
+    late = rows.withColumn("late", F.lag("ts").over(here) > F.col("ts"))
+    return late.groupBy("tool_id", F.col("day").cast("long").alias("day")).agg(
+        F.count("*").alias("rows"), F.count_if("late").alias("out_of_order")
+    )
+
+
 @query
 def partitioned_roundtrip(spark, sf_dir):
     path = shared_dir(spark, "readings")

@@ -56,6 +56,11 @@ CTES = {
         WHERE f.file_id IS NULL OR (m.sha256 IS NOT NULL AND f.sha256 IS NULL)
            OR m.sha256 <> f.sha256""",
     "gone": "SELECT * FROM file_index WHERE file_id NOT IN (SELECT file_id FROM manifest)",
+    "aged": """SELECT *, NOT pinned AND max_ts <= (SELECT max(max_ts) FROM file_index)
+        - INTERVAL 1826 DAY AS old FROM file_index""",
+    "room": """SELECT *, (sum(size_bytes) OVER (ORDER BY max_ts DESC, file_id ROWS UNBOUNDED PRECEDING)
+        + (SELECT coalesce(sum(size_bytes), 0) FROM aged WHERE pinned))::BIGINT AS bytes_kept
+        FROM aged WHERE NOT pinned AND NOT old""",
     "map_lines": """SELECT 'group_' || (l_orderkey % 3) AS prc_group_id,
         'tool_' || (l_suppkey % 8) AS tool_id, 'part_' || l_partkey AS canonical_name,
         CASE WHEN l_linenumber NOT IN (5, 6)
@@ -77,6 +82,22 @@ CTES = {
     "cells": """SELECT prc_group_id, canonical_name, tool_id, raw_name
         FROM canonical JOIN tool_group USING (prc_group_id)
         LEFT JOIN mapping USING (tool_id, canonical_name)""",
+    "raw_units": """SELECT DISTINCT 'tool_' || (l_suppkey % 8) AS tool_id,
+        'col_' || (l_orderkey % 97) || '_' || l_linenumber AS raw_name,
+        CASE WHEN l_linenumber <> 4 THEN 'u' || (l_orderkey % 97 % 3) END AS raw_unit
+        FROM lineitem WHERE l_linenumber NOT IN (5, 6)""",
+    "usual": """SELECT prc_group_id, canonical_name, raw_unit AS usual FROM (
+        SELECT prc_group_id, canonical_name, raw_unit, row_number() OVER (
+            PARTITION BY prc_group_id, canonical_name ORDER BY count(*) DESC, raw_unit) AS place
+        FROM cells JOIN raw_units USING (tool_id, raw_name) WHERE raw_unit IS NOT NULL
+        GROUP BY prc_group_id, canonical_name, raw_unit) WHERE place = 1""",
+    "judged": """SELECT l.*, u.raw_unit, coalesce(c.units, usual) AS expected,
+        CASE WHEN l.raw_name IS NULL THEN 'empty'
+             WHEN count(l.raw_name) OVER (PARTITION BY prc_group_id, tool_id, l.raw_name) > 1 THEN 'duplicate'
+             WHEN u.raw_unit <> coalesce(c.units, usual) THEN 'units_mismatch' ELSE 'ok' END AS state
+        FROM cells l JOIN canonical c USING (prc_group_id, canonical_name)
+        LEFT JOIN usual USING (prc_group_id, canonical_name)
+        LEFT JOIN raw_units u USING (tool_id, raw_name)""",
     "labels": """SELECT c.prc_group_id, c.canonical_name AS sensor,
         c.canonical_name || CASE WHEN c.units IS NULL THEN '' ELSE ' (' || c.units || ')' END
             AS label,
@@ -233,6 +254,17 @@ def _aligned() -> str:
     return f"SELECT bucket AS ts, {', '.join(cells)} FROM daily WHERE tool_id IN ({listed}) GROUP BY bucket"
 
 
+def _chart_lines() -> str:
+    cells = " || ',' || ".join(
+        f"coalesce(max(CASE WHEN tool_id = '{tool}' THEN {c} END)::VARCHAR, '')"
+        for tool, columns in list(ALIGNED.items())[:2]
+        for c in columns[:3]
+        if not c.endswith("_avg")
+    )
+    return f"""SELECT {_iso("bucket")} || ',' || {cells} AS line, 0::BIGINT AS out_of_order
+        FROM daily WHERE tool_id IN ('tool_0', 'tool_1') GROUP BY bucket"""
+
+
 def _many() -> str:
     cells = ", ".join(
         f"round(avg(l_quantity * {i} - 25), 6) AS s{i}_avg, min(l_quantity * {i} - 25) AS s{i}_min,"
@@ -325,6 +357,76 @@ _BODIES = {
         min(value) AS value_min, max(value) AS value_max
         FROM (SELECT 'lineitem' AS tool_id, l_shipdate AS ts, l_quantity, NULL::DOUBLE AS value
               FROM lineitem UNION ALL SELECT 'events', ts, NULL, value FROM events) GROUP BY ALL""",
+    "tool_outcome_at_read": """SELECT tool_id,
+        CASE WHEN tool_id = 'tool_2' THEN 'unreadable' ELSE 'ok' END AS status,
+        CASE WHEN tool_id <> 'tool_2' THEN count(*) END AS buckets,
+        CASE WHEN tool_id <> 'tool_2' THEN sum(n)::BIGINT END AS "rows",
+        CASE WHEN tool_id <> 'tool_2' THEN round(sum(l_tax_avg), 5) END AS tax_means,
+        CASE WHEN tool_id <> 'tool_2' THEN max(l_quantity_max) END AS most
+        FROM daily JOIN (SELECT tool_id, ts AS bucket, count(*) AS n FROM wide GROUP BY ALL)
+        USING (tool_id, bucket) GROUP BY tool_id""",
+    "index_incremental": """SELECT tool_id, count(*) AS files, sum(n)::BIGINT AS "rows",
+        min(earliest) AS earliest, max(latest) AS latest FROM (
+        SELECT tool_id, count(*) AS n, min(ts) AS earliest, max(ts) AS latest FROM wide GROUP BY 1
+        UNION ALL
+        SELECT 'tool_' || (o_custkey % 9), count(*), min(o_orderdate), max(o_orderdate)
+        FROM orders GROUP BY 1) GROUP BY tool_id""",
+    "selected_readings": """SELECT selection_id, tool_id, sensor, count(*) AS "rows",
+        min(ts) AS first_ts, max(value) AS top FROM long JOIN (
+        SELECT n_nationkey AS selection_id, 'tool_' || (n_nationkey % 9) AS tool_id,
+        TIMESTAMP '2024-01-01' + to_days(n_nationkey::INT) + to_hours(n_nationkey::INT) AS "start",
+        TIMESTAMP '2024-01-01' + to_days((n_nationkey * 2 - n_nationkey % 5)::INT) + to_hours(3)
+            AS "end" FROM nation) USING (tool_id)
+        WHERE ts >= "start" AND ts < "end" GROUP BY ALL""",
+    "hour_changes": """WITH old AS (SELECT 'tool_' || (l_suppkey % 8) AS tool_id, l_shipdate AS period,
+        list_sort(list(concat_ws('|', l_quantity, l_extendedprice, l_discount, l_tax))) AS r
+        FROM lineitem GROUP BY 1, 2),
+        new AS (SELECT 'tool_' || (l_suppkey % 8) AS tool_id, l_shipdate AS period,
+        list_sort(list(concat_ws('|', l_quantity, l_extendedprice, l_discount,
+            CASE WHEN l_orderkey % 100 = 0 THEN l_tax + 1 ELSE l_tax END))) AS r
+        FROM lineitem WHERE l_linenumber < 7 GROUP BY 1, 2)
+        SELECT tool_id, period, CASE WHEN old.r IS NULL THEN 'new' WHEN new.r IS NULL THEN 'missing'
+            WHEN old.r = new.r THEN 'same' ELSE 'changed' END AS state
+        FROM old FULL JOIN new USING (tool_id, period)""",
+    "late_arrivals": """WITH e AS (SELECT DISTINCT 'tool_' || (user_id % 8) AS tool_id, ts, event_type,
+            value, event_id % 10 = 0 AS after FROM events),
+        first AS (SELECT tool_id, max(ts) AS newest FROM e WHERE NOT after GROUP BY 1),
+        placed AS (SELECT e.*, after AND coalesce(date_trunc('day', ts)
+            < date_trunc('day', newest - INTERVAL 36 HOUR), FALSE) AS is_late
+            FROM e LEFT JOIN first USING (tool_id))
+        SELECT tool_id, count(*) FILTER (NOT is_late) AS "rows", max(ts) FILTER (NOT is_late) AS newest,
+        CASE WHEN count(*) FILTER (is_late) > 0 THEN count(*) FILTER (is_late) END AS late,
+        date_trunc('day', max(ts) - INTERVAL 36 HOUR)::TIMESTAMP AS sealed_before
+        FROM placed GROUP BY tool_id""",
+    "retention_plan": """SELECT file_id, tool_id, size_bytes, pinned, CASE WHEN bytes_kept
+            > (SELECT sum(size_bytes) * 2 // 5 FROM file_index) THEN 'size' END AS "drop", bytes_kept FROM room
+        UNION ALL
+        SELECT file_id, tool_id, size_bytes, pinned, CASE WHEN old THEN 'age' END, NULL
+        FROM aged WHERE pinned OR old""",
+    "telemetry_archive": """SELECT CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'archive' ELSE 'live' END
+        AS place, ts::DATE AS day, count(*) AS events FROM events GROUP BY ALL""",
+    "overlay_groups": """SELECT CASE grouping(tool_id, sensor) WHEN 0 THEN 'both' WHEN 1 THEN 'tool'
+            ELSE 'sensor' END AS group_by, tool_id, sensor, count(*) AS series,
+        sum(points)::BIGINT AS points, min(low) AS min_value, round(sum(total) / sum(points), 6) AS mean_value,
+        max(high) AS max_value, round(max(size) / min(size), 6) AS scale_ratio,
+        grouping(tool_id, sensor) = 1 AND max(size) / min(size) > 100 AS scales_differ
+        FROM (SELECT tool_id, sensor, count(*) AS points, min(min) AS low, max(max) AS high, sum(avg) AS total,
+              nullif(greatest(abs(min(min)), abs(max(max))), 0) AS size
+              FROM series WHERE isfinite(avg) GROUP BY ALL)
+        GROUP BY GROUPING SETS ((tool_id, sensor), (tool_id), (sensor))""",
+    "mapping_indicators": "SELECT prc_group_id, canonical_name, tool_id, raw_name, raw_unit, expected, state FROM judged",
+    "canonical_indicators": """SELECT prc_group_id, canonical_name, count(tool_id) AS tools,
+        count(*) FILTER (state = 'empty') AS empty, count(*) FILTER (state = 'duplicate') AS duplicate,
+        count(*) FILTER (state = 'units_mismatch') AS units_mismatch, count(*) FILTER (state = 'ok') AS ok,
+        count(raw_name) = 0 AS unmapped, any_value(c.description) IS NULL AS no_description
+        FROM canonical c LEFT JOIN judged USING (prc_group_id, canonical_name) GROUP BY ALL""",
+    "chart_csv_lines": _chart_lines(),
+    "table_csv_lines": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines,
+        min(line) AS first_line, max(line) AS last_line, sum(length(line))::BIGINT AS chars,
+        0::BIGINT AS out_of_order FROM (SELECT ts, {_iso("ts")} || ',' || tool_id || ','
+        || l_quantity || ',' || l_tax AS line FROM wide) GROUP BY 1""",
+    "partitioned_order": """SELECT tool_id, day(ts)::BIGINT AS day, count(*) AS "rows", 0::BIGINT AS out_of_order
+        FROM long GROUP BY 1, 2""",
     "resolution_choice": "SELECT selection_id, mode, resolution_seconds FROM widths",
     "resolve_plan": "SELECT * FROM plan",
     "missing_mapping_warnings": """SELECT selection_id, tool_id, name AS canonical_name,

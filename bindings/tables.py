@@ -35,6 +35,18 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def second_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines again, without the last lines of long orders and with some other taxes."""
+    return table(spark, sf_dir, "lineitem").where("l_linenumber < 7").select(
+        F.expr("concat('tool_', l_suppkey % 8)").alias("tool_id"),
+        F.col("l_shipdate").alias("ts"),
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        F.expr("if(l_orderkey % 100 = 0, l_tax + 1, l_tax)").alias("l_tax"),
+    )
+
+
 def undated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, the time of every seventh order line lost."""
     lines = table(spark, sf_dir, "lineitem")
@@ -211,6 +223,15 @@ def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the raw columns that the mapping documents name."""
+    return table(spark, sf_dir, "lineitem").where("l_linenumber NOT IN (5, 6)").select(
+        F.expr("concat('tool_', l_suppkey % 8)").alias("tool_id"),
+        F.expr("concat('col_', l_orderkey % 97, '_', l_linenumber)").alias("raw_name"),
+        F.expr("if(l_linenumber = 4, NULL, concat('u', l_orderkey % 97 % 3))").alias("units"),
+    ).distinct()
+
+
 CHOICE_PARTS = (
     "array(concat('tool_', o_custkey % 8), concat('tool_', (o_custkey + 3) % 9)) AS tools",
     "if(o_orderkey % 2 = 0, array('l_quantity', 'l_tax'), array('l_discount')) AS sensors_raw",
@@ -237,6 +258,16 @@ def tool_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def day_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One selection per nation of some days of one tool's events; tool_8 has none."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS selection_id",
+        "concat('tool_', n_nationkey % 9) AS tool_id",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(n_nationkey, n_nationkey) AS start",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(n_nationkey * 2 - n_nationkey % 5, 3) AS end",
+    )
+
+
 def saved_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One saved set per customer; some payloads lack a part."""
     return table(spark, sf_dir, "customer").selectExpr(

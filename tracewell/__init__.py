@@ -7,9 +7,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from tracewell.session import configure, shared_dir
+from tracewell.session import configure, shared_dir, stored
 
 # Functions that run inside tasks travel whole, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["configure", "shared_dir"]
+__all__ = ["configure", "shared_dir", "stored"]

@@ -223,12 +223,3 @@ def archive_unlisted(indexed: DataFrame, manifest: DataFrame) -> DataFrame:
         *[c for c in indexed.columns if c != "archived"],
         (F.col("archived") | F.col("listed").isNull()).alias("archived"),
     )
-
-
-def mark_archived(indexed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Set ``archived`` on files the manifest no longer lists."""
-    flags = gone.select("file_id", F.lit(True).alias("gone"))
-    return indexed.join(flags, "file_id", "left").select(
-        *[c for c in indexed.columns if c != "archived"],
-        (F.col("archived") | F.coalesce("gone", F.lit(False))).alias("archived"),
-    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.time import epoch_micros, floor_div, micros_to_ts
+from tracewell.session import stored
 
 # Idle gaps in seconds between wafers, between lots and during maintenance.
 GAP_CLASSES = {"wafer": (15, 30), "lot": (5 * 60, 45 * 60), "maintenance": (4 * 3600, 12 * 3600)}
@@ -14,14 +15,15 @@ SLOTS_PER_CHUNK = 4096
 def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
     """Runs of readings per tool, split wherever the tool is silent longer than the gap.
 
-    No window sees more than one chunk of readings, however many one tool has:
+    No window sees more than one chunk of readings, however many one tool has, and the readings are
+    scanned once:
 
     1. readings shrink to one row per tool and slot of the gap's width (two readings in one slot
        are never further apart than the gap), combined on the map side;
-    2. slots are looked at in chunks of 4096 slots, each knowing the last reading of the chunk
-       before; runs are numbered inside the chunk;
-    3. the runs begun in earlier chunks are added, one number per chunk, and the parts of a run
-       are put together in an aggregate.
+    2. slots are looked at in chunks of 4096 slots, and each chunk's pieces of runs are written;
+    3. per chunk, first and last reading tell whether its first piece goes on from the chunk
+       before, and the number of runs begun earlier numbers its pieces; pieces of one run are put
+       together in an aggregate.
     """
     gap = int(gap_seconds) * 1_000_000
     ts = epoch_micros(F.col("ts"))
@@ -34,38 +36,53 @@ def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
         )
         .withColumn("chunk", floor_div(F.col("slot"), SLOTS_PER_CHUNK))
     )
-    in_tool = Window.partitionBy("tool_id").orderBy("chunk")
     in_chunk = Window.partitionBy("tool_id", "chunk").orderBy("slot")
-    carried = (
-        slots.groupBy("tool_id", "chunk")
-        .agg(F.max("last_us").alias("chunk_last"))
-        .select("tool_id", "chunk", F.lag("chunk_last").over(in_tool).alias("carried_us"))
-    )
-    before = F.coalesce(F.lag("last_us").over(in_chunk), F.col("carried_us"))
-    silence = F.col("first_us") - F.col("before_us")
-    placed = (
-        _per_chunk(slots, carried)
-        .withColumn("before_us", before)
-        .withColumn("silence_us", F.when(silence > gap, silence))
-        .withColumn("starts", (F.col("before_us").isNull() | (silence > gap)).cast("long"))
+    silence = F.col("first_us") - F.lag("last_us").over(in_chunk)
+    pieces = stored(
+        slots.withColumn("silence_us", silence)
+        .withColumn("starts", F.coalesce((F.col("silence_us") > gap).cast("long"), F.lit(1)))
         .withColumn("number", F.sum("starts").over(in_chunk))
+        .groupBy("tool_id", "chunk", "number")
+        .agg(
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+            F.sum("rows").alias("rows"),
+            F.max(F.when(F.col("silence_us") > gap, F.col("silence_us"))).alias("silence_us"),
+        ),
+        "run-pieces",
     )
+    in_tool = Window.partitionBy("tool_id").orderBy("chunk")
     earlier = in_tool.rowsBetween(Window.unboundedPreceding, -1)
-    begun = (
-        placed.groupBy("tool_id", "chunk")
-        .agg(F.sum("starts").alias("started"))
+    goes_on = F.coalesce((F.col("idle_us") <= gap).cast("long"), F.lit(0))
+    chunks = (
+        pieces.groupBy("tool_id", "chunk")
+        .agg(
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+            F.max("number").alias("n"),
+        )
+        .withColumn("idle_us", F.col("first_us") - F.lag("last_us").over(in_tool))
+        .withColumn("goes_on", goes_on)
         .select(
-            "tool_id", "chunk", F.coalesce(F.sum("started").over(earlier), F.lit(0)).alias("begun")
+            F.col("tool_id").alias("_tool"),
+            F.col("chunk").alias("_chunk"),
+            F.when(F.col("idle_us") > gap, F.col("idle_us")).alias("idle_us"),
+            (
+                F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(earlier), F.lit(0))
+                - F.col("goes_on")
+            ).alias("begun"),
         )
     )
+    same = F.col("tool_id").eqNullSafe(F.col("_tool")) & (F.col("chunk") == F.col("_chunk"))
+    before = F.when(F.col("number") == 1, F.col("idle_us")).otherwise(F.col("silence_us"))
     runs = (
-        _per_chunk(placed, begun)
+        pieces.join(chunks, same)
         .groupBy("tool_id", (F.col("begun") + F.col("number")).alias("run_no"))
         .agg(
             F.min("first_us").alias("first_us"),
             F.max("last_us").alias("last_us"),
             F.sum("rows").alias("rows"),
-            F.max("silence_us").alias("silence_us"),
+            F.max(before).alias("silence_us"),
         )
     )
     return runs.select(
@@ -79,13 +96,6 @@ def detect_runs(readings: DataFrame, gap_seconds: int) -> DataFrame:
     ).withColumn("gap_class", gap_class(F.col("gap_before_s")))
 
 
-def _per_chunk(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Add one fact per tool and chunk; a NULL tool is a tool as well."""
-    named = facts.withColumnsRenamed({"tool_id": "_tool", "chunk": "_chunk"})
-    same = F.col("tool_id").eqNullSafe(F.col("_tool")) & (F.col("chunk") == F.col("_chunk"))
-    return rows.join(named, same).drop("_tool", "_chunk")
-
-
 def gap_class(gap_seconds: Column) -> Column:
     """Kind of idle gap before a run; ``first`` without one, ``other`` outside all ranges."""
     label = F.lit("other")

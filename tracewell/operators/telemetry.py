@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.functions.time import epoch_micros, floor_div
+from tracewell.session import stored
 
 # Payload fields of every event type, with their Spark types.
 EVENT_FIELDS = {
@@ -66,6 +68,63 @@ def event_fields(events: DataFrame, event_type: str) -> DataFrame:
     return events.where(F.col("type") == event_type).select(*keep, *fields)
 
 
+def event_texts(events: DataFrame) -> DataFrame:
+    """``type, created_at, fields`` of all events, the fields of their type as one text.
+
+    Fields are joined by ``|`` in the order of ``EVENT_FIELDS``, ``-`` for one that is absent. One
+    scan for all types: a row reads only the fields of its own type. Unknown types are left out.
+    """
+    text = F.lit(None).cast("string")
+    for kind, fields in EVENT_FIELDS.items():
+        cells = [
+            F.coalesce(F.try_variant_get("payload", f"$.{name}", of).cast("string"), F.lit("-"))
+            for name, of in fields.items()
+        ]
+        text = F.when(F.col("type") == kind, F.concat_ws("|", *cells)).otherwise(text)
+    return events.where(F.col("type").isin(*EVENT_FIELDS)).select(
+        "type", "created_at", text.alias("fields")
+    )
+
+
+def dated_lines(lines: DataFrame) -> DataFrame:
+    """Event lines with the UTC ``day`` they were created on; lines without one have NULL."""
+    created = F.try_variant_get(F.try_parse_json("value"), "$.created_at", "timestamp")
+    return lines.select(*[c for c in lines.columns if c != "day"], F.to_date(created).alias("day"))
+
+
+def archive_days(spark: SparkSession, dated: DataFrame, path: str, *, before: str) -> None:
+    """Bring the lines of all days before ``before`` into day folders below ``path``.
+
+    A folder is rewritten from what it holds and what is live, equal lines being one, and replaced
+    when the write commits. So a run that is made twice, or again after one that was cut off,
+    leaves the same folders, and nothing archived is lost when its live rows are gone already.
+    Days without live rows aren't touched. Drop live rows (:func:`live_lines`) only after this
+    returned; lines without a day stay live.
+    """
+    old = stored(dated.where(F.col("day") < F.lit(before).cast("date")), "archive-live")
+    days = old.select("day").distinct()
+    there = archived_lines(spark, path, dated).join(days, "day", "left_semi")
+    whole = stored(old.unionByName(there.select(*old.columns)).distinct(), "archive-whole")
+    whole.repartition("day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("day").parquet(path)
+
+
+def live_lines(dated: DataFrame, *, before: str) -> DataFrame:
+    """Lines that stay live once all days before ``before`` are archived."""
+    return dated.where(F.col("day").isNull() | (F.col("day") >= F.lit(before).cast("date")))
+
+
+def archived_lines(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Archived lines with the columns of ``like``; none if there is no archive yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
+
+
 def counts_per_day(events: DataFrame) -> DataFrame:
     return events.groupBy("type", F.to_date("created_at").alias("day")).agg(
         F.count("*").alias("events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Readings are wall-clock UTC; every text or epoch conversion relies on it.
@@ -40,3 +40,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tracewell-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read from there, so that it is computed once."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,11 @@
 from tracewell.sources.checksum import audit_checksums, file_checksums
-from tracewell.sources.files import list_parquet, scan_index, sensor_catalog
+from tracewell.sources.files import (
+    list_parquet,
+    scan_changed,
+    scan_files,
+    scan_one,
+    sensor_catalog,
+)
 from tracewell.sources.payloads import (
     parse_canonical,
     parse_categories,
@@ -12,6 +18,7 @@ from tracewell.sources.readings import (
     normalise_time,
     read_by_index,
     read_readings,
+    read_selected,
 )
 from tracewell.sources.sinks import (
     read_partitioned,
@@ -35,7 +42,10 @@ __all__ = [
     "read_by_index",
     "read_partitioned",
     "read_readings",
-    "scan_index",
+    "read_selected",
+    "scan_changed",
+    "scan_files",
+    "scan_one",
     "sensor_catalog",
     "write_chart_csv",
     "write_partitioned",

@@ -20,7 +20,7 @@ def file_checksums(spark: SparkSession, root: str) -> DataFrame:
 
     Executors read each file as a stream, so no file has to fit in memory.
     """
-    hashed = list_parquet(spark, root).mapInArrow(
+    hashed = list_parquet(spark, root).select("path", "length").mapInArrow(
         _hash_streams, "path string, length bigint, sha256 string"
     )
     relative = relative_path(F.col("path"), root)

@@ -20,6 +20,7 @@ FOOTER_FIELDS = pa.schema(
     [
         ("path", pa.string()),
         ("length", pa.int64()),
+        ("modified_us", pa.int64()),
         ("time_column", pa.string()),
         ("time_type", pa.string()),
         ("column_types", pa.map_(pa.string(), pa.string())),
@@ -30,7 +31,7 @@ FOOTER_FIELDS = pa.schema(
     ]
 )
 FOOTER_DDL = (
-    "path string, length bigint, time_column string, time_type string,"
+    "path string, length bigint, modified_us bigint, time_column string, time_type string,"
     " column_types map<string, string>,"
     " min_us bigint, max_us bigint, row_count bigint, reason string"
 )
@@ -47,13 +48,13 @@ COLUMN_DDL = "tool_id string, raw_name string, units string, numeric boolean, po
 
 
 def list_parquet(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of every Parquet file below ``root``; no content is read."""
+    """``path, length, modified_us`` of every Parquet file below ``root``; no content is read."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", "length")
+        .select("path", "length", F.unix_micros("modificationTime").alias("modified_us"))
     )
 
 
@@ -63,9 +64,39 @@ def scan_files(
     """Footer facts of every file; ``reason`` tells why a file cannot be used, else NULL.
 
     Executors read the footers only, a few kilobytes per file. The first of ``time_columns``
-    a file has is its time column.
+    a file has is its time column. The result, stored, is what :func:`scan_changed` goes on from.
     """
-    scanned = list_parquet(spark, root).mapInArrow(_footer_reader(time_columns), FOOTER_DDL)
+    return _scan_listed(list_parquet(spark, root), root, time_columns)
+
+
+def scan_changed(
+    spark: SparkSession, root: str, known: DataFrame, time_columns: tuple[str, ...] = ("ts",)
+) -> DataFrame:
+    """The same as :func:`scan_files`, opening only files that ``known`` doesn't have as they are.
+
+    ``known`` is the stored result of an earlier scan with the same ``time_columns``. A file counts
+    as unchanged when its path, size and time of change are equal; its row is taken over, with the
+    reason if it is quarantined. Files that went away have no row. The listing meets the known rows
+    in one join before any footer is opened.
+    """
+    listed = list_parquet(spark, root)
+    same = listed.withColumnRenamed("length", "size_bytes")
+    kept = known.join(same, ["path", "size_bytes", "modified_us"], "left_semi")
+    before = known.select("path", F.col("size_bytes").alias("length"), "modified_us")
+    changed = listed.join(before, ["path", "length", "modified_us"], "left_anti")
+    opened = _scan_listed(changed, root, time_columns)
+    return opened.unionByName(kept)
+
+
+def scan_one(
+    spark: SparkSession, root: str, file_id: str, time_columns: tuple[str, ...] = ("ts",)
+) -> DataFrame:
+    """The scan row of a single file below ``root``, such as one that was just downloaded."""
+    return _scan_listed(list_parquet(spark, f"{root.rstrip('/')}/{file_id}"), root, time_columns)
+
+
+def _scan_listed(listed: DataFrame, root: str, time_columns: tuple[str, ...]) -> DataFrame:
+    scanned = listed.mapInArrow(_footer_reader(time_columns), FOOTER_DDL)
     relative = relative_path(F.col("path"), root)
     return scanned.select(
         relative.alias("file_id"),
@@ -76,6 +107,7 @@ def scan_files(
         micros_to_ts(F.col("max_us")).alias("max_ts"),
         "row_count",
         F.col("length").alias("size_bytes"),
+        "modified_us",
         "time_column",
         "time_type",
         "column_types",
@@ -108,12 +140,6 @@ def quarantine_of(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("reason").isNotNull()).select("file_id", "tool_id", "reason")
 
 
-def scan_index(
-    spark: SparkSession, root: str, time_columns: tuple[str, ...] = ("ts",)
-) -> DataFrame:
-    return index_of(scan_files(spark, root, time_columns))
-
-
 def sensor_catalog(index: DataFrame) -> DataFrame:
     """Columns and units of each tool's oldest active file, in file order, without its time.
 
@@ -132,8 +158,8 @@ def _footer_reader(time_columns: tuple[str, ...]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                {"path": path, "length": length, **_footer_facts(path, time_columns)}
-                for path, length in zip(*(c.to_pylist() for c in batch.columns))
+                {"path": path, "length": length, "modified_us": modified, **_footer_facts(path, time_columns)}
+                for path, length, modified in zip(*(c.to_pylist() for c in batch.columns))
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=FOOTER_FIELDS)
 

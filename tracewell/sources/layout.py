@@ -1,7 +1,8 @@
 """Keys held in file paths.
 
 ``<tool>.parquet`` is one file per tool; ``<tool>/<name>.parquet`` names an hour; and
-``<tool>/YYYY/MM/DD/HH.parquet`` spells it out as folders.
+``<tool>/YYYY/MM/DD/HH.parquet`` spells it out as folders. A folder may be named
+``tool_id=<tool>``, as partitioned writes do.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def tool_of(relative: Column) -> Column:
-    return F.regexp_replace(F.substring_index(relative, "/", 1), r"\.parquet$", "")
+    return F.regexp_replace(F.substring_index(relative, "/", 1), r"^tool_id=|\.parquet$", "")
 
 
 def hour_bucket_of(relative: Column) -> Column:

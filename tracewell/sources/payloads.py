@@ -54,6 +54,34 @@ def parse_categories(payloads: DataFrame) -> DataFrame:
     )
 
 
+def parse_mapping_entries(payloads: DataFrame) -> DataFrame:
+    """``{"prc_group_id", "mappings": [...]}`` to one row per entry with a readable tool.
+
+    Columns ``prc_group_id, tool_id, canonical_name, raw_name, ord, pos``, NULL where a field is
+    absent or no text, ``raw_name`` also where it is empty. Mappings and process groups both come
+    from here: store the entries once and take :func:`mappings_of` and :func:`tool_groups_of`.
+    """
+    return _rows(
+        payloads,
+        "$.mappings",
+        {"tool_id": "tool_id", "canonical_name": "canonical_name", "raw_name": "raw_name"},
+        required=("tool_id",),
+        filled=("raw_name",),
+        plain=("canonical_name",),
+        group=True,
+    )
+
+
+def mappings_of(entries: DataFrame) -> DataFrame:
+    """Entries that map a canonical name to a raw one."""
+    return entries.where("canonical_name IS NOT NULL AND raw_name IS NOT NULL")
+
+
+def tool_groups_of(entries: DataFrame) -> DataFrame:
+    """``prc_group_id, tool_id`` of every entry of a document that names its group."""
+    return entries.where("prc_group_id IS NOT NULL").select("prc_group_id", "tool_id", "ord", "pos")
+
+
 def parse_mappings(payloads: DataFrame) -> DataFrame:
     """``{"prc_group_id", "mappings": [...]}`` to ``tool_id, canonical_name, raw_name``.
 
@@ -77,7 +105,8 @@ def parse_tool_groups(payloads: DataFrame) -> DataFrame:
         {"tool_id": "tool_id"},
         required=("tool_id",),
         group=True,
-    ).where(F.col("prc_group_id").isNotNull())
+        grouped=True,
+    )
 
 
 def parse_manifest(payloads: DataFrame) -> DataFrame:
@@ -109,14 +138,17 @@ def _rows(
     *,
     required: tuple[str, ...],
     filled: tuple[str, ...] = (),
+    plain: tuple[str, ...] = (),
     keep: tuple[str, ...] = (),
     group: bool = False,
+    grouped: bool = False,
     extra: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One row per array element below ``path`` whose required fields are all readable.
 
     ``texts`` names the wanted text fields and their JSON keys. Optional fields, and those in
-    ``filled``, read as NULL when empty. ``extra`` computes further fields from the element.
+    ``filled``, read as NULL when empty, but not those in ``plain``. ``extra`` computes further
+    fields from the element. With ``grouped`` the document has to name its process group.
     """
     extra = extra or {}
     parsed = payloads.select(*keep, "ord", F.try_parse_json("payload").alias("doc"))
@@ -141,11 +173,11 @@ def _rows(
     cells = []
     for name, key in texts.items():
         text = _checked_text(F.col(name), F.col("element"), key)
-        optional = name not in required or name in filled
+        optional = (name not in required or name in filled) and name not in plain
         cells.append((F.nullif(text, F.lit("")) if optional else text).alias(name))
     cells += [compute(F.col("element")).alias(name) for name, compute in extra.items()]
     checked = read.select(*kept, "pos", *cells)
-    complete = F.lit(True)
+    complete = F.col("prc_group_id").isNotNull() if grouped else F.lit(True)
     for name in required:
         complete = complete & F.col(name).isNotNull()
     # As a generator the check stays above the projections; a filter would be pushed below them

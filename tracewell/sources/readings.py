@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tracewell.functions.time import ns_to_ts
 from tracewell.sources.layout import relative_path, tool_of
+from tracewell.sources.sinks import read_partitioned
 
 
 def read_readings(
@@ -18,6 +19,7 @@ def read_readings(
     time_type: str = "timestamp[us]",
     column_types: dict[str, str] | None = None,
     tool_id: Column | None = None,
+    tolerant: bool = False,
 ) -> DataFrame:
     """``tool_id, ts`` and the sensors as doubles from files that share their types.
 
@@ -26,17 +28,25 @@ def read_readings(
     integers, decimals and booleans (1 and 0) become doubles, text and nested columns read as
     NULL. ``ts_ns`` is kept for nanosecond files, whose ``ts`` rounds down. ``paths`` may be
     folders, such as whole tools, which keeps the list short for bulk reads.
+
+    With ``tolerant`` the scan skips what it can't read of a file, or a file that went away, and
+    rows carry the ``file_id`` they come from, so that lost rows can be told.
     """
     stored = {s: _spark_type((column_types or {}).get(s, "double")) for s in sensors}
     schema = T.StructType([T.StructField(time_column, _spark_time_type(time_type))])
     for sensor, kind in stored.items():
         if kind is not None:
             schema.add(sensor, kind)
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    rows = reader.parquet(*paths)
     tool = tool_id if tool_id is not None else tool_of(relative_path(plain_path(), root))
     cells = [
         (F.lit(None) if stored[s] is None else _quoted(s)).cast("double").alias(s) for s in sensors
     ]
+    if tolerant:
+        cells.append(relative_path(plain_path(), root).alias("file_id"))
     return normalise_time(
         rows.select(tool.alias("tool_id"), time_column, *cells), time_column, time_type
     )
@@ -60,7 +70,12 @@ def normalise_time(rows: DataFrame, time_column: str, time_type: str) -> DataFra
 
 
 def read_by_index(
-    spark: SparkSession, files: DataFrame, sensors: list[str], *, root: str
+    spark: SparkSession,
+    files: DataFrame,
+    sensors: list[str],
+    *,
+    root: str,
+    tolerant: bool = False,
 ) -> DataFrame:
     """Readings of the given index rows, one scan per kind of file, united by name.
 
@@ -85,12 +100,53 @@ def read_by_index(
             time_column=time_column,
             time_type=time_type,
             column_types={s: kind for s, kind in zip(sensors, found) if kind},
+            tolerant=tolerant,
         )
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     if united is not None:
         return united
-    empty = ", ".join(["tool_id string", "ts timestamp_ntz", *[f"`{s}` double" for s in sensors]])
-    return spark.createDataFrame([], empty)
+    fields = ["tool_id string", "ts timestamp_ntz", *[f"`{s}` double" for s in sensors]]
+    return spark.createDataFrame([], ", ".join(fields + ["file_id string"] * tolerant))
+
+
+def read_selected(
+    spark: SparkSession, path: str, selections: DataFrame, sensors: str, *, most_days: int = 100_000
+) -> DataFrame:
+    """Readings of every selection from day folders: ``selection_id, tool_id, ts`` and the sensors.
+
+    ``path`` is what ``write_partitioned`` wrote by day, ``sensors`` a DDL list of its columns and
+    ``selections`` has ``selection_id, tool_id, start, end`` (half-open; a NULL bound or a start
+    not before the end selects nothing). No path comes to the driver: the selected days are a small
+    table that Spark broadcasts and also uses to prune the folders of tools and days at run time.
+    Above ``most_days`` selected (selection, tool, day) rows they are joined by a shuffle instead.
+    """
+    last = F.col("end") - F.expr("INTERVAL 1 MICROSECOND")
+    days = F.sequence(F.to_date("start"), F.to_date(last))
+    wanted = selections.where("start < end").select(
+        "selection_id", "tool_id", "start", "end", F.explode(days).alias("_day")
+    )
+    wanted = wanted.select(
+        "selection_id",
+        "start",
+        "end",
+        F.col("tool_id").alias("_tool"),
+        F.year("_day").alias("_year"),
+        F.month("_day").alias("_month"),
+        F.day("_day").alias("_dom"),
+    )
+    if wanted.count() <= most_days:
+        wanted = F.broadcast(wanted)
+    rows = read_partitioned(spark, path, sensors)
+    cells = [F.col(f"`{c}`") for c in rows.columns if c not in ("tool_id", "ts", "year", "month", "day")]
+    meets = (
+        (F.col("tool_id") == F.col("_tool"))
+        & (F.col("year") == F.col("_year"))
+        & (F.col("month") == F.col("_month"))
+        & (F.col("day") == F.col("_dom"))
+        & (F.col("ts") >= F.col("start"))
+        & (F.col("ts") < F.col("end"))
+    )
+    return rows.join(wanted, meets).select("selection_id", "tool_id", "ts", *cells)
 
 
 def _spark_time_type(time_type: str) -> T.DataType:

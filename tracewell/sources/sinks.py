@@ -22,23 +22,30 @@ CSV_OPTIONS = {
 }
 
 
-def write_partitioned(readings: DataFrame, path: str, *, by: str = "day") -> None:
+def write_partitioned(
+    readings: DataFrame, path: str, *, by: str = "day", replace: bool = False
+) -> None:
     """Readings as ``tool_id/year/month/day[/hour]`` folders of zstd files sorted by time.
 
     Rebalancing gathers each folder's rows in one place, merges small ones into one task and
     splits one too large for a task, so neither idle nor very busy tools set the pace. Hours of
     one tool are a few megabytes at 10 Hz; days give files of a size that scans well.
+
+    With ``replace`` the folders that ``readings`` has rows for are replaced when the write commits,
+    and no other is touched.
     """
     keys = FOLDER_KEYS[by]
     parts = {"year": F.year("ts"), "month": F.month("ts"), "day": F.day("ts"), "hour": F.hour("ts")}
     keyed = readings.withColumns({name: parts[name] for name in keys if name in parts})
-    (
+    writer = (
         keyed.hint("rebalance", *keys)
         .sortWithinPartitions(*keys, "ts")
         .write.partitionBy(*keys)
         .option("compression", "zstd")
-        .parquet(path)
     )
+    if replace:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def read_partitioned(
