@@ -193,10 +193,10 @@ def _rolled(rows: DataFrame, measures: list[str]) -> DataFrame:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of at most PACK ids of one node, joined by commas. Rows come by node and id."""
-    node, ids = None, []
+    node, ids, done = None, [], []
 
     def out() -> pa.RecordBatch:
-        columns = [[x] for x in node] + [[ids[0]], [",".join(map(str, ids))]]
+        columns = list(zip(*done))
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)], ["depth", "a", "b", "first", "ids"]
@@ -205,11 +205,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for *own, conv in zip(*(c.to_pylist() for c in batch.columns)):
             if ids and (own != node or len(ids) == PACK):
-                yield out()
+                done.append((*node, ids[0], ",".join(map(str, ids))))
                 ids = []
             node = own
             ids.append(conv)
+        if done:
+            yield out()
+            done = []
     if ids:
+        done = [(*node, ids[0], ",".join(map(str, ids)))]
         yield out()
 
 
