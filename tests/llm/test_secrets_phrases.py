@@ -1,11 +1,13 @@
 import hashlib
+import random
 import re
+import time
 
 from collections import Counter
 
 import pytest
 
-from tests.llm.conftest import DOCUMENTS, rows_of_trouble
+from tests.llm.conftest import DOCUMENTS, prose, rows_of_trouble
 from tracewell.llm import phrases, secret_scan
 
 KEY = "q8Zr4TnW2xLk9VbYp3Gd7HsJ5mCfA1eU"
@@ -61,6 +63,92 @@ def test_candidate_begins_within_reach_of_the_word(gap, found):
     assert spans == [(start, 3, start + len(KEY))] * found
 
 
+def all_pairs_novel(text, taken, novelty):
+    """Novel spans with every candidate held against every taken span."""
+    found, done = [], 0
+    for word in secret_scan.CONTEXT.finditer(text):
+        for m in secret_scan.CANDIDATE.finditer(text, max(done, word.end())):
+            if m.start() > word.end() + secret_scan.REACH:
+                break
+            done = max(done, m.end())
+            free = all(e <= m.start() or s >= m.end() for s, _, e in taken)
+            around = text[max(0, m.start() - secret_scan.AROUND) : m.start()] + text[m.end() : m.end() + secret_scan.AROUND]
+            if free and secret_scan.mixed(m[0]) and novelty(around, m[0]) >= secret_scan.LEAST_NOVELTY:
+                found.append((m.start(), 3, m.end()))
+    return found
+
+
+def keys_and_words(seed: int, lines: int) -> str:
+    rng = random.Random(seed)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    shapes = ["password = {}", "bearer {}", "signature ({})", "x {} y", "secret: {}", "AKIA{}", "private_key: {};", "{}"]
+    out = []
+    for _ in range(lines):
+        key = "".join(rng.choice(alphabet if rng.random() < 0.8 else "0123456789abcdef") for _ in range(rng.randint(8, 40)))
+        out.append(rng.choice(shapes).format(key) + rng.choice(["", " for the build", " getUserName(connection)"]))
+    return rng.choice([" ", "\n"]).join(out)
+
+
+def test_novel_spans_against_all_pairs():
+    novelty, total = secret_scan.Novelty(), 0
+    for seed in range(60):
+        text = keys_and_words(seed, 25)
+        base = secret_scan.base_spans(text)
+        found = secret_scan.novel_spans(text, base, novelty)
+        assert found == all_pairs_novel(text, base, novelty)
+        total += len(found)
+    assert total > 100
+
+
+def test_time_of_many_secrets_is_linear():
+    novelty = secret_scan.Novelty()
+    seconds = []
+    for lines in (4_000, 16_000):
+        text = ("password = hunter2hunter2 " + "secret is plainwords ") * lines
+        start = time.process_time()
+        secret_scan.scan_text(text, novelty)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
+def test_recall_and_precision_behind_words_that_the_patterns_miss(spark):
+    """Keys behind words without an equals sign or colon; names, paths and prose are no keys."""
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    shapes = ["client_key ({})", "passphrase is {}", "Bearer {}", "credential <{}>", "signature {} checked", "private-key \t{}"]
+    names = ["connection_pool_size_2", "getUserAccountById2", "release_build_2024", "table_column_index_1"]
+    rows, keys = [], {}
+    for k in range(400):
+        filler = " ".join(rng.choice(names) + " " + prose(k * 7 + j, 4) for j in range(20))
+        if k % 2:
+            key = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 44)))
+            before = filler + "\n" + rng.choice(shapes).split("{}")[0]
+            text = before + key + " " + filler
+            if secret_scan.mixed(key):
+                keys[k] = f"novel:{len(before)}:{len(before) + len(key)}"
+        else:
+            text = filler + "\n" + rng.choice(shapes).format(rng.choice(names)) + " " + filler
+        rows.append((k, text))
+    got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    reported = {(r.doc_id, s) for r in got for s in r.spans.split(",") if s.startswith("novel")}
+    right = reported & set(keys.items())
+    assert len(right) >= 0.98 * len(keys) and len(right) >= 0.98 * len(reported)
+
+
+def test_trained_dictionary_holds_frequent_names_and_no_keys(spark):
+    text = "myFrobnicator wraps myFrobnicator " + KEY + " rareIdentifier" * 9
+    rows = [(k, text if k == 0 else f"call myFrobnicator with token = {KEY} {k}") for k in range(8)]
+    docs = spark.createDataFrame([*rows, (None, None), (9, None)], "doc_id long, text string")
+    primer = secret_scan.trained_primer(docs)
+    assert primer.endswith(secret_scan.PRIMER)
+    words = primer.removesuffix(secret_scan.PRIMER).split()
+    assert "myFrobnicator" in words and KEY not in primer and "rareIdentifier" not in words
+    novelty, plain = secret_scan.Novelty(primer), secret_scan.Novelty()
+    assert novelty("x = 1", "myFrobnicator") < plain("x = 1", "myFrobnicator")
+    # fewer rows than the table has
+    assert secret_scan.trained_primer(docs, 2) == secret_scan.PRIMER
+
+
 def test_scan_of_trouble(trouble, nothing):
     got = secret_scan.find_secrets(trouble).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows_of_trouble())
