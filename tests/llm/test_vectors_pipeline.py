@@ -65,6 +65,57 @@ def test_vectors_against_brute_force(spark, monkeypatch, cell):
     assert all(r.kept == (r.component_id == r.vec_id) for r in got)
 
 
+def planted(seed, pairs, singles, dim=24):
+    """Isolated pairs just above the threshold among vectors that link with nothing."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(pairs):
+        a, b = rng.normal(size=(2, dim))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        c = 0.981 + 0.018 * rng.random()
+        b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist(), 0), (2 * k + 1, b.tolist(), 0)]
+    return rows + [(2 * pairs + k, rng.normal(size=dim).tolist(), 0) for k in range(singles)]
+
+
+def test_sparse_planted_pairs(spark):
+    rows = planted(5, 400, 4200)  # five cells
+    docs = spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA.replace("float", "double")).repartition(4)
+    got = {r.vec_id: r for r in vg.near_duplicates(docs).collect()}
+    want = {2 * k + j: 2 * k for k in range(400) for j in (0, 1)}
+    found = sum(got[i].component_id == c and got[i].n_links == 1 for i, c in want.items())
+    assert found >= 0.99 * len(want)
+    assert all(r.n_links == 0 for i, r in got.items() if i not in want)
+    assert got[0].audited_recall >= 0.99
+
+
+def test_audit_has_evidence_or_says_nothing(spark):
+    rows = [(k, v, 0, 1, 1) for k, v in enumerate(cloud(9, 40, 1, 0.0))]
+    assert {r.audited_recall for r in vg.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {None}
+    # one large cluster is found, the isolated pairs are not: the average tells
+    rows = [(k, v, 0, 1, 1) for k, v in enumerate([*cloud(2, 1, 20, 0.01), *cloud(4, 20, 2, 0.01)])]
+    classes = vg._classes(spark.createDataFrame(rows, SCHEMA))
+    linked = spark.createDataFrame([(k, 19) for k in range(20)], "rep long, links long")
+    assert vg.audit(classes, linked, vg.THRESHOLD) == pytest.approx(1 / 3)
+
+
+def test_low_recall_ends_in_an_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(vg, "CELL_ROWS", 60)
+    monkeypatch.setattr(vg, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vg, "ROUNDS", 1)
+    told = []
+    real = vg.audit
+    monkeypatch.setattr(vg, "audit", lambda *a: 0.5 if not told.append(1) and len(told) == 1 else real(*a))
+    rows = [*planted(6, 60, 200), *[(1000 + k, v, 0) for k, v in enumerate(cloud(7, 1, 50, 0.1))]]
+    docs = spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA.replace("float", "double"))
+    got = vg.near_duplicates(docs).collect()
+    assert len(told) == 2 and {(r.vec_id, r.n_links, r.component_id) for r in got} == {
+        (i, *v) for i, v in brute(rows).items()
+    }
+    assert {r.audited_recall for r in got} == {1.0}
+
+
 def test_vectors_without_ids_and_none_at_all(spark):
     rows = [(None, [1.0, 0.0], 1, 1, 1), (5, [1.0, 0.0], 1, 1, 1), (5, [1.0, 0.0], 1, 1, 1)]
     got = sorted(map(str, (tuple(r)[:4] for r in vg.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())))

@@ -115,7 +115,7 @@ links AS (SELECT p.id AS a, q.id AS b FROM nodes p JOIN nodes q ON p.label = q.l
 {_REACHED}
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
     coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept,
-    1.0::DOUBLE AS audited_recall
+    CASE WHEN EXISTS (SELECT 1 FROM links) THEN 1.0::DOUBLE END AS audited_recall
 FROM embeddings LEFT JOIN named ON id = vec_id""",
     "op7_signature_tree": f"""WITH RECURSIVE
 split AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(text,

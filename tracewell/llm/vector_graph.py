@@ -7,7 +7,8 @@ neighbours only (robust pruning). A vector's adjacency lists from all of its cel
 Every vector is then looked up in its home cell by a greedy search from the cell's medoid, which
 goes on to expand whatever lies within range until nothing new is found. All links are verified
 in double precision, and recall is audited against brute force on a bounded sample; while it is
-too low, the search is repeated with wider beams and more overlap.
+too low, the search is repeated with wider beams and more overlap, and at last without graphs: then
+every cell holds all vectors that may link with its own, and they are compared one by one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MARGIN = 0.12  # how much farther a centroid may be, in cosine, for its cell to
 ALPHA = 1.2
 RANGE_SLACK = 0.05  # vectors this much below the threshold are still expanded
 BATCH = 256
-AUDIT_ROWS = 256  # vectors that the audit looks up by brute force, whatever the size
+AUDIT_ROWS = 256  # vectors of all, and as many with a link, that the audit looks up by brute force
 RECALL = 0.95
 ROUNDS = 3
 
@@ -211,12 +212,23 @@ def _vectors(table: pa.Table) -> np.ndarray:
     return unit(table.column("vec").to_pylist())
 
 
-def _assign(margin: float):
+def _assign(margin: float, angle: float | None):
+    """Cells of each vector: those nearly as near as the nearest one.
+
+    With an ``angle``, all whose centroid is at most that much farther in angle. Two vectors whose
+    angle is A have nearest centroids at most A apart in distance, so an angle of 2 A puts every
+    vector into the home cell of each vector that it may link with.
+    """
+
     def run(members: pa.Table, centres: pa.Table) -> pa.Table:
         if members.num_rows == 0 or centres.num_rows == 0:
             return pa.table({c: pa.array([], k) for c, k in (("rep", pa.int64()), ("cell", pa.int32()), ("home", pa.bool_()))})
         near = _vectors(members) @ np.array(centres.column("centre").to_pylist(), dtype=np.float64).T
-        inside = near >= near.max(axis=1, keepdims=True) - margin
+        if angle is None:
+            inside = near >= near.max(axis=1, keepdims=True) - margin
+        else:
+            away = np.arccos(np.clip(near, -1.0, 1.0))
+            inside = away <= away.min(axis=1, keepdims=True) + angle
         row, k = np.nonzero(inside)
         reps = np.array(members.column("rep").to_pylist(), dtype=np.int64)
         cells = np.array(centres.column("cell").to_pylist(), dtype=np.int32)
@@ -259,7 +271,7 @@ def _build(beam: int):
     return run
 
 
-def _search(beam: int, threshold: float, parts: int):
+def _search(beam: int, threshold: float, parts: int, exact: bool):
     def run(table: pa.Table) -> pa.Table:
         member = np.array(table.column("member").to_pylist(), dtype=bool)
         home = np.array(table.column("home").to_pylist(), dtype=bool)
@@ -278,10 +290,17 @@ def _search(beam: int, threshold: float, parts: int):
         asked = np.flatnonzero(home)
         if not len(inside) or not len(asked):
             return empty
-        graph = Graph.of_lists(x[inside], lists, beam)
+        graph = None if exact else Graph.of_lists(x[inside], lists, beam)
         found = []
         for at in range(0, len(asked), BATCH):
             q = asked[at : at + BATCH]
+            if graph is None:
+                i, j = np.nonzero(x[q] @ x[inside].T >= threshold - 1e-9)
+                a, b = reps[q[i]], reps[inside[j]]
+                real = np.einsum("pd,pd->p", x[q[i]], x[inside[j]]) >= threshold
+                real &= a != b
+                found.append(np.stack([a, b, weight[q[i]], weight[inside[j]]], axis=1)[real])
+                continue
             # from the medoid, and from the query's own place where it is indexed here
             own = np.array([place.get(r, graph.medoid) for r in reps[q].tolist()])
             starts = np.stack([np.full(len(q), graph.medoid), own], axis=1)
@@ -352,8 +371,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _linked(classes: DataFrame, spaces: DataFrame, threshold: float, beam: int, margin: float) -> DataFrame:
-    """Rows (rep, links, joined) of the vectors that link with others."""
+def _linked(
+    classes: DataFrame, spaces: DataFrame, threshold: float, beam: int, margin: float, exact: bool = False
+) -> DataFrame:
+    """Rows (rep, links, joined) of the vectors that link with others; ``exact`` uses no graphs."""
+    angle = 2 * float(np.arccos(min(threshold, 1.0))) + 1e-6 if exact else None
     sample = classes.join(spaces, "space").where(
         F.pmod(F.xxhash64("rep"), F.col("n")) < F.col("k") * SAMPLE_PER_CENTROID
     )
@@ -370,7 +392,7 @@ def _linked(classes: DataFrame, spaces: DataFrame, threshold: float, beam: int,
     assigned = materialise(
         salted.select("space", "salt", "rep", "vec").groupBy("space", "salt")
         .cogroup(spread.select("space", "salt", "cell", "centre").groupBy("space", "salt"))
-        .applyInArrow(_assign(margin), "rep long, cell int, home boolean")
+        .applyInArrow(_assign(margin, angle), "rep long, cell int, home boolean")
         .join(classes.select("rep", "space"), "rep"),
         "graph-assigned",
     )
@@ -394,25 +416,36 @@ def _linked(classes: DataFrame, spaces: DataFrame, threshold: float, beam: int,
         indexed.union(queried).join(classes.select("rep", "vec", "m"), "rep"), "graph-placed"
     )
     keys = ["space", "cell", "block"]
-    adjacency = materialise(
-        placed.where("member AND asked = block").select(*keys, "rep", "vec").groupBy(*keys)
-        .applyInArrow(_build(beam), "rep long, near array<long>")
-        .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")),
-        "graph-adjacency",
-    )
+    if exact:
+        ready = placed.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        adjacency = materialise(
+            placed.where("member AND asked = block").select(*keys, "rep", "vec").groupBy(*keys)
+            .applyInArrow(_build(beam), "rep long, near array<long>")
+            .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")),
+            "graph-adjacency",
+        )
+        ready = placed.join(adjacency, "rep", "left")
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialise(
-        placed.join(adjacency, "rep", "left")
-        .select(*keys, "asked", "rep", "vec", "m", "member", "home", "near")
-        .groupBy(*keys, "asked").applyInArrow(_search(beam, threshold, parts), "part int, pairs binary")
+        ready.select(*keys, "asked", "rep", "vec", "m", "member", "home", "near")
+        .groupBy(*keys, "asked").applyInArrow(_search(beam, threshold, parts, exact), "part int, pairs binary")
         .groupBy("part").applyInArrow(_count, "rep long, links long, joined array<long>"),
         "graph-links",
     )
 
 
-def audit(classes: DataFrame, linked: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
-    """Share of true links that were found, for ``rows`` vectors compared with all of their label."""
-    asked = classes.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(rows).select("space", "rep", "vec", "m").collect()
+def audit(classes: DataFrame, linked: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float | None:
+    """Share of a vector's true links that were found, averaged over audited vectors that have any.
+
+    Audited are ``rows`` vectors of all and ``rows`` of those with a link found, each compared with
+    all of its label. Copies of a vector count once, and each vector as much as any other, so
+    isolated pairs weigh no less than large clusters. None when no audited vector has a link.
+    """
+    drawn = [F.xxhash64(F.lit(3), "rep"), F.col("rep")]
+    told = linked.select("rep").orderBy(*drawn).limit(rows)
+    chosen = classes.select("rep").orderBy(*drawn).limit(rows).union(told).distinct()
+    asked = classes.join(F.broadcast(chosen), "rep").select("space", "rep", "vec").collect()
     by_space: dict[tuple, list] = {}
     for r in asked:
         by_space.setdefault(tuple(r.space), []).append(r)
@@ -438,8 +471,8 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, rows: int = A
         )
 
     true = classes.select("space", "rep", "vec", "m").mapInArrow(brute, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    row = true.join(linked, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    share = F.least(F.coalesce("links", F.lit(0)) / F.col("n"), F.lit(1.0))
+    return true.where("n > 0").join(linked, "rep", "left").agg(F.avg(share)).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -447,7 +480,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Takes (vec_id, embedding, label). Returns one row per input row: vec_id, n_links (other rows
     linked directly), component_id (smallest vec_id that links lead to), kept (whether that is the
-    row's own id), audited_recall (of the audit's sample; the same in all rows). A vector that is
+    row's own id), audited_recall (of the audit's sample; the same in all rows, NULL when no audited
+    vector has a link). Where the audit stays too low, links come from an exact search. A vector that is
     NULL, empty, zero, or holds a NULL or non-finite number, and one with a NULL label, links with
     nothing; nor does a vector with one of another length. Equal vectors are indexed once and
     count as often as they occur. A row without an id has no links and no component, and is kept.
@@ -464,9 +498,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for _ in range(ROUNDS):
         linked = _linked(classes, spaces, threshold, beam, margin)
         recall = audit(classes, linked, threshold)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
         beam, margin = beam * 2, margin * 1.5
+    else:
+        linked = _linked(classes, spaces, threshold, beam, margin, exact=True)
+        recall = audit(classes, linked, threshold)
     edges = linked.select(F.col("rep").alias("a"), F.explode("joined").alias("b"))
     found = components(edges, "graph")
     named = materialise(
@@ -489,5 +526,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         F.when(F.col("vec_id").isNotNull(), F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
-        F.lit(float(recall)).alias("audited_recall"),
+        F.lit(recall).cast("double").alias("audited_recall"),
     )
