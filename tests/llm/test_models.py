@@ -159,6 +159,62 @@ def test_sparse_sites_shrink_toward_their_host(spark):
     assert len(got) == 4
 
 
+def test_posteriors_against_plain_computation(spark):
+    docs, labels = labelled(spark)
+    site = docs.selectExpr(
+        "doc_id", "text", "IF(doc_id % 9 = 0, NULL, CAST(doc_id % 4 AS string)) AS source", "IF(doc_id % 40 < 3, 'rare', CAST(doc_id % 2 AS string)) AS lang"
+    )
+    got = quality.judge_documents(site, labels).collect()
+    models = quality.train(site, labels)
+    for kind in quality.KINDS:
+        p = {r.doc_id: r[f"p_{kind}"] for r in got}
+        hosts, paths = {}, {}
+        for r in got:
+            hosts.setdefault(r.host, []).append(p[r.doc_id])
+            paths.setdefault((r.host, r.path), []).append(p[r.doc_id])
+        overall = (sum(p.values()) + 0.5) / (len(p) + 1)
+
+        def strength(groups):
+            """From (sum, n, mean) of each group: variance within over variance between, less chance."""
+            n = sum(g[1] for g in groups)
+            spread = sum(k * (s / k - m) ** 2 for s, k, m in groups)
+            between = (spread - sum(m * (1 - m) for _, _, m in groups)) / sum(k * m * (1 - m) for _, k, m in groups)
+            assert n == len(p)
+            low, high = quality.STRENGTHS
+            return min(max(1 / between - 1, low), high) if between > 0 else high
+
+        k = strength([(sum(v), len(v), overall) for v in hosts.values()])
+        rate = {h: (k * overall + sum(v)) / (k + len(v)) for h, v in hosts.items()}
+        k = strength([(sum(v), len(v), rate[h]) for (h, _), v in paths.items()])
+        base = math.log(models[kind].rate / (1 - models[kind].rate))
+        for r in got:
+            v = paths[r.host, r.path]
+            own = min(max((k * rate[r.host] + sum(v) - p[r.doc_id]) / (k + len(v) - 1), 1e-6), 1 - 1e-6)
+            odds = math.log(p[r.doc_id] / (1 - p[r.doc_id])) - base + math.log(own / (1 - own))
+            assert r[f"site_{kind}"] == pytest.approx(own, rel=1e-6)
+            assert r[f"posterior_{kind}"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-4, abs=1e-9)
+    assert all(r.keep == (max(r.posterior_low, r.posterior_toxic) < quality.REJECT_AT) for r in got)
+
+
+def test_repeated_labelled_ids_keep_the_sample_bounded(spark):
+    docs, labels = labelled(spark)
+    many = docs.union(docs).union(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    sample = quality.labelled_sample(many, labels, 50).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == 50
+    alone = {r.doc_id: r.text for r in quality.labelled_sample(docs, labels, 50).collect()}
+    assert alone == {r.doc_id: r.text for r in sample}
+
+
+def test_hosts_and_paths_of_urls(spark):
+    docs, labels = labelled(spark)
+    pages = docs.withColumn("url", F.concat(F.lit("https://h"), F.expr("doc_id % 3"), F.lit(".example/p"), F.expr("doc_id % 2"), F.lit("/x")))
+    got = quality.judge_documents(
+        pages, labels, F.parse_url("url", F.lit("HOST")), F.regexp_extract(F.parse_url("url", F.lit("PATH")), "^/[^/]*", 0)
+    )
+    sites = {(r.host, r.path) for r in got.select("host", "path").distinct().collect()}
+    assert sites == {(f"h{h}.example", f"/p{p}") for h in range(3) for p in range(2)}
+
+
 def test_classifier_of_trouble(spark, trouble, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, 0), (None, 0, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
     got = quality.judge_documents(trouble, labels).collect()

@@ -141,7 +141,11 @@ def neutral() -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents, chosen by a hash of their id: (doc_id, text, low, toxic)."""
+    """At most ``rows`` labelled documents, chosen by a hash of their id: (doc_id, text, low, toxic).
+
+    Of documents with the same id, the one with the least text is taken, so repeated ids don't
+    make the sample larger.
+    """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
@@ -150,9 +154,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .limit(rows)
     )
     texts = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
-        "doc_id", "text", "low", "toxic"
-    )
+    return (
+        texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        .groupBy("doc_id", "low", "toxic").agg(F.min("text").alias("text"))
+        .select("doc_id", "text", "low", "toxic")
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, Model]:
@@ -259,7 +265,8 @@ def judge_documents(
 
     Takes documents (doc_id, text; source and lang unless ``host`` and ``path`` are given) and
     labels (doc_id, quality 0/1, toxic 0/1; several labels of one document count as its worst,
-    labels with a NULL are left out). Returns doc_id, host, path, p_low, p_toxic (from the text),
+    labels with a NULL are left out; of repeated ids one document is fitted on). Without ``host``
+    and ``path``, source stands for the host and lang for the path. Returns doc_id, host, path, p_low, p_toxic (from the text),
     site_low, site_toxic, posterior_low, posterior_toxic, keep. One row out per row in; a NULL or
     empty text is judged as an empty one; a NULL host or path is a group of its own. Without
     usable labels nothing is rejected. Other columns are ignored.
