@@ -7,10 +7,13 @@ all lines that differ only there. Every template is one hash, so lines meet in a
 instead of being compared with each other. A template that occurs in several documents recurs; the
 document with the smallest id keeps its line, the others drop theirs.
 
+Lines that are equal but for their variable fields have all templates and signatures in common.
+They become one class first, so that everything below a leaf is done once for each class.
+
 Changes scattered over several bands leave no template in common. Such lines meet by signatures: a
 few tokens of the body at drawn places, the same places for all lines of a leaf. A line is compared,
-token by token, with the first line of each of its signatures, and goes when enough of the body is
-equal. Only the first line of a signature is compared, so the work doesn't grow with its square.
+token by token, with one line of the first document that has its signature, and goes when enough of
+the body is equal. Only that line is compared, so the work doesn't grow with the signature's square.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ DRAWN = 3  # places of the body in a signature
 EQUAL = 2, 3  # least share of equal tokens in the body, as leaving out one band of three leaves
 DIGIT = re.compile(r"\d")
 LOWEST = -(1 << 63)
+BELOW = [f"b{k}" for k in range(BANDS)]  # templates without one band
+MET = [f"s{k}" for k in range(SIGNATURES)]
+PLACE = "id long, row long, line int, whole long"
 
 
 def fields(line: str) -> tuple[list[str], bool]:
@@ -88,94 +94,99 @@ def parse_line(line: str, places: dict[int, list[list[int]]], short: bool = Fals
     return found, [hash((leaf, k, body[a], body[b], body[c])) for k, (a, b, c) in enumerate(at)]
 
 
-def _listed(lists: list[np.ndarray], kind: type) -> pa.ListArray:
-    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, kind), *lists])))
-
-
 def _parsed(short: bool):
-    """Per document, its lines' numbers and templates, flat: ``line[i]`` has ``template[i]``.
-
-    Likewise ``near[i]`` has ``signature[i]``.
-    """
+    """A row for each line that has a template: where it is, its class, templates, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[int, list[list[int]]] = {}
+        none = [0] * (BANDS + SIGNATURES)
         for batch in batches:
-            columns = [], [], [], []
-            for text in batch.column(2):
-                own = [], [], [], []
+            owner, number, hashes, bare = [], [], [], []
+            for at, text in enumerate(batch.column(2)):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    for at, found in zip((0, 2), parse_line(line, places, short)):
-                        own[at].extend([k] * len(found))
-                        own[at + 1].extend(found)
-                for at in (0, 2):
-                    columns[at].append(np.array(own[at], dtype=np.int32))
-                    columns[at + 1].append(np.array(own[at + 1], dtype=np.int64))
-            lists = [_listed(c, k) for c, k in zip(columns, (np.int32, np.int64) * 2)]
-            names = ["id", "row", "line", "template", "near", "signature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names)
+                    found, near = parse_line(line, places, short)
+                    if not found:
+                        continue
+                    owner.append(at)
+                    number.append(k)
+                    bare.append(not near)
+                    hashes += found + near if near else found + none
+            values = np.array(hashes, dtype=np.int64).reshape(len(owner), -1 if owner else 1 + len(none)).T
+            owners, mask = pa.array(owner, pa.int32()), np.array(bare, dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(owners),
+                    batch.column(1).take(owners),
+                    pa.array(number, pa.int32()),
+                    pa.array(values[0].copy()),
+                    *[pa.array(v.copy(), mask=mask) for v in values[1:]],
+                ],
+                ["id", "row", "line", "whole", *BELOW, *MET],
+            )
 
     return run
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of every token in the bodies of the asked lines, in order."""
+    """Classes with a hash of every token in their bodies, in order, from the asked lines."""
     for batch in batches:
         found = []
-        for id_, row, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = text.split("\n")
-            for k in asked:
-                body = fields(lines[k])[0][DEPTH:]
-                found.append((id_, row, k, [digest(t) for t in body]))
-        columns = list(zip(*found)) or [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "row", "line", "body"]
-        )
-
-
-def _near_lines(rows: DataFrame, parsed: DataFrame, sure: DataFrame) -> DataFrame:
-    """Lines (id, row, line), none of ``sure``, close to the first line of one of their signatures."""
-    place = ["id", "row", "line"]
-    flat = parsed.select(
-        "id", "row", F.inline(F.arrays_zip("near", "signature")).alias("line", "signature")
-    )
-    first = materialise(
-        flat.groupBy("signature")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last")
-        .select("signature", "first"),
-        "lines-met",
-    )
-    met = materialise(flat.join(first, "signature"), "lines-meeting")
-    later = materialise(met.where("first < id").join(sure, place, "left_anti"), "lines-later")
-    leaders = (
-        met.where("first = id")
-        .join(later.select("signature").distinct(), "signature", "left_semi")
-        .groupBy("signature")
-        .agg(F.min(F.struct(*place)).alias("leader"))
+            for one in asked:
+                body = fields(lines[one["line"]])[0][DEPTH:]
+                found.append((one["whole"], [digest(t) for t in body]))
+        columns = list(zip(*found)) or [()] * 2
+        kinds = [pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["whole", "body"])
+
+
+def _shared(classes: DataFrame, keys: list[str], name: str, label: str, *more: str) -> DataFrame:
+    """Classes (whole, first, *more, name, met) by each of ``keys`` that classes of several documents share.
+
+    ``met`` is the smallest id of a document that has the key.
+    """
+    flat = classes.where(F.col(keys[0]).isNotNull()).select(
+        "whole", "first", *more, F.explode(F.array(*keys)).alias(name)
     )
+    # a key whose classes all begin in one document tells no more than the classes do
+    several = materialise(
+        flat.groupBy(name).agg(F.min("first").alias("met"), F.max("first").alias("to"))
+        .where("met < to").select(name, "met"),
+        f"lines-{label}",
+    )
+    return flat.join(several, name)
+
+
+def _near(rows: DataFrame, parsed: DataFrame, open_: DataFrame) -> DataFrame:
+    """Classes (whole, met) of ``open_`` close to a line of the first document with their signature."""
+    flat = materialise(_shared(open_, MET, "signature", "met", "undecided"), "lines-meeting")
+    leaders = flat.where("first = met").groupBy("signature").agg(F.min("whole").alias("leader"))
+    later = flat.where("first > met AND undecided").select("whole", "met", "signature")
     pairs = materialise(
-        later.join(materialise(leaders, "lines-leaders"), "signature").select(*place, "leader").distinct(),
+        later.join(materialise(leaders, "lines-leaders"), "signature")
+        .groupBy("whole", "leader").agg(F.min("met").alias("met")),
         "lines-pairs",
-    )
+    )
+    wanted = pairs.select("whole").union(pairs.select("leader")).distinct()
+    # any line of a class will do
     asked = (
-        pairs.select(*place).union(pairs.select("leader.*")).distinct()
-        .groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
+        parsed.select("id", "row", "line", "whole").join(wanted, "whole")
+        .groupBy("whole").agg(F.min(F.struct("id", "row", "line")).alias("at"))
+        .select("whole", "at.*").groupBy("id", "row")
+        .agg(F.collect_list(F.struct("whole", "line")).alias("lines"))
     )
     bodies = materialise(
         rows.join(asked.hint("merge"), ["id", "row"])
-        .select("id", "row", "text", "lines")
-        .mapInArrow(_bodies, "id long, row long, line int, body array<long>")
-        .dropDuplicates(place),
+        .select("text", "lines")
+        .mapInArrow(_bodies, "whole long, body array<long>")
+        .dropDuplicates(["whole"]),
         "lines-bodies",
     )
-    theirs = bodies.select(F.struct(*place).alias("leader"), F.col("body").alias("other"))
+    theirs = bodies.select(F.col("whole").alias("leader"), F.col("body").alias("other"))
     equal = F.size(F.filter(F.zip_with("body", "other", lambda a, b: a == b), lambda x: x))
     close = EQUAL[1] * equal >= EQUAL[0] * F.size("body")
-    return pairs.join(bodies, place).join(theirs, "leader").where(close).select(*place)
+    return pairs.join(bodies, "whole").join(theirs, "leader").where(close).select("whole", "met")
 
 
 def recurring_lines(docs: DataFrame, short: bool = False) -> DataFrame:
@@ -185,32 +196,35 @@ def recurring_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("row"),
         "text",
     )
-    parsed = materialise(
-        rows.mapInArrow(
-            _parsed(short),
-            "id long, row long, line array<int>, template array<long>, near array<int>, signature array<long>",
+    hashes = ", ".join(f"{c} long" for c in [*BELOW, *MET])
+    parsed = materialise(rows.mapInArrow(_parsed(short), f"{PLACE}, {hashes}"), "lines-parsed")
+    classes = materialise(
+        parsed.groupBy("whole").agg(
+            F.min("id").alias("first"), F.max("id").alias("last"),
+            *[F.max(c).alias(c) for c in [*BELOW, *MET]],  # the same in all lines of a class
         ),
-        "lines-parsed",
-    )
-    flat = parsed.select(
-        "id", "row", F.inline(F.arrays_zip("line", "template")).alias("line", "template")
-    )
-    first = materialise(
-        flat.groupBy("template")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last")
-        .select("template", "first"),
-        "lines-recurring",
-    )
-    sure = materialise(
-        flat.join(first, "template").where("first < id").select("id", "row", "line").distinct(),
-        "lines-sure",
+        "lines-classes",
+    )
+    banded = materialise(
+        _shared(classes, BELOW, "band", "bands").where("met < first").groupBy("whole").agg(F.min("met").alias("met")),
+        "lines-banded",
     )
+    # a class that a band leads to an earlier document goes altogether and has nothing left to decide
+    undecided = classes.select("whole", "first", *MET).join(
+        banded.select("whole", F.lit(False).alias("undecided")), "whole", "left"
+    ).withColumn("undecided", F.coalesce("undecided", F.lit(True)))
+    found = banded.union(_near(rows, parsed, undecided)).groupBy("whole").agg(F.min("met").alias("met"))
+    earliest = materialise(
+        classes.select("whole", "first", "last").join(found, "whole", "left")
+        .select("whole", F.least("met", "first").alias("first"), "last")
+        .where("first < last").select("whole", "first"),
+        "lines-earliest",
+    )
     return (
-        sure.union(_near_lines(rows, parsed, sure))
+        parsed.select("id", "row", "line", "whole").join(earliest, "whole").where("first < id")
         .groupBy("id", "row")
         .agg(F.collect_set("line").alias("lines"))  # no more than the document's lines
-    )
+    )
 
 
 def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
@@ -218,9 +232,10 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
 
     Takes (doc_id, text). Lines end in a line feed. A line goes when one of its templates also
     occurs in a document with a smaller id, so each template is kept where it comes first, and
-    lines that recur only inside one document stay. It also goes when the first line with one of
-    its signatures is in a document with a smaller id and EQUAL of their bodies is the same. Lines
-    of fewer than LEAST_TOKENS tokens stay, unless ``short``: then they are matched as they stand. Rows with the same id are one document; rows
+    lines that recur only inside one document stay. It also goes when the first document with one
+    of its signatures has a smaller id and EQUAL of both bodies is the same; of several lines of that
+    document the one with the smallest hash is compared. Lines of fewer than LEAST_TOKENS tokens stay,
+    unless ``short``: then they are matched as they stand. Rows with the same id are one document; rows
     without an id are one, before all others. A NULL text stays NULL and has no lines; a text
     whose lines all go becomes empty, and its row stays. Columns named like the helpers are kept,
     except n_lines and n_dropped, which are replaced. No rows give no rows.
