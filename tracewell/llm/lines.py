@@ -241,17 +241,17 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     except n_lines and n_dropped, which are replaced. No rows give no rows.
     """
     other = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    id_, row, dropped = unused(docs, "id", "row", "lines")
+    id_, row, dropped, lines = unused(docs, "id", "row", "dropped", "lines")
     drops = recurring_lines(docs, short).toDF(id_, row, dropped)
+    # lines are a column of their own: an expression would be split again for each line looked up
     joined = docs.join(
         drops,
         (F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col(id_))
         & (F.xxhash64("doc_id", "text") == F.col(row)),
         "left",
-    )
-    lines = F.split(F.col("text"), "\n", -1)
+    ).withColumn(lines, F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
-    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+    kept = F.array_join(F.transform(left, lambda k: F.get(F.col(lines), k)), "\n")
     text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in other],
