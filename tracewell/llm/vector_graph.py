@@ -6,7 +6,10 @@ cell a graph is built: vectors are inserted in batches by greedy search, and eac
 neighbours only (robust pruning). A vector's adjacency lists from all of its cells are united.
 Every vector is then looked up in its home cell by a greedy search from the cell's medoid, which
 goes on to expand whatever lies within range until nothing new is found. All links are verified
-in double precision, and recall is audited against brute force on a bounded sample; while it is
+in double precision. A task tells which of its vectors belong together, one row each, instead of
+all their links; these make components, and inside a component links are counted block by block,
+so what is written grows with the vectors and never with the square of a cluster. Recall is audited
+against brute force on a bounded sample; while it is
 too low, the search is repeated with wider beams and more overlap, and at last without graphs: then
 every cell holds all vectors that may link with its own, and they are compared one by one.
 """
@@ -271,13 +274,44 @@ def _build(beam: int):
     return run
 
 
-def _search(beam: int, threshold: float, parts: int, exact: bool):
+def _reach(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows reach the threshold, a bounded number of them at a time."""
+    parts = [
+        np.einsum("pd,pd->p", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= threshold
+        for k in range(0, len(i), 65536)
+    ]
+    return np.concatenate([np.zeros(0, dtype=bool), *parts])
+
+
+def _alike(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows ``i`` and ``j`` reach the threshold, each with each; close cases are summed pair by pair."""
+    cosine = x[i] @ x[j].T
+    near = cosine >= threshold
+    p, q = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+    near[p, q] = _reach(x, i[p], j[q], threshold)
+    return near
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the sets of ``a[k]`` and ``b[k]`` are united; a set's label is its smallest member."""
+    while True:
+        while (label[label] != label).any():
+            label = label[label]
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        if not apart.any():
+            return label
+        label[high[apart]] = low[apart]  # of several for one set the last stays, the others come again
+
+
+def _search(beam: int, threshold: float, exact: bool):
+    """Rows (a, b): a vector that links with others of the task, and the smallest one it is joined to."""
+
     def run(table: pa.Table) -> pa.Table:
         member = np.array(table.column("member").to_pylist(), dtype=bool)
         home = np.array(table.column("home").to_pylist(), dtype=bool)
         x = _vectors(table)
         reps = np.array(table.column("rep").to_pylist(), dtype=np.int64)
-        weight = np.array(table.column("m").to_pylist(), dtype=np.int64)
         near = table.column("near").to_pylist()
         inside = np.flatnonzero(member)
         inside = inside[np.argsort(reps[inside])]
@@ -286,71 +320,85 @@ def _search(beam: int, threshold: float, parts: int, exact: bool):
             np.array([place[r] for r in sorted(set(near[i] or ())) if r in place], dtype=np.int64)
             for i in inside.tolist()
         ]
-        empty = pa.table({"part": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
         asked = np.flatnonzero(home)
-        if not len(inside) or not len(asked):
-            return empty
-        graph = None if exact else Graph.of_lists(x[inside], lists, beam)
-        found = []
-        for at in range(0, len(asked), BATCH):
+        names, name = np.unique(reps, return_inverse=True)
+        label = np.arange(len(names))
+        graph = Graph.of_lists(x[inside], lists, beam) if len(inside) and len(asked) and not exact else None
+        for at in range(0, len(asked) if len(inside) else 0, BATCH):
             q = asked[at : at + BATCH]
             if graph is None:
-                i, j = np.nonzero(x[q] @ x[inside].T >= threshold - 1e-9)
-                a, b = reps[q[i]], reps[inside[j]]
-                real = np.einsum("pd,pd->p", x[q[i]], x[inside[j]]) >= threshold
-                real &= a != b
-                found.append(np.stack([a, b, weight[q[i]], weight[inside[j]]], axis=1)[real])
-                continue
-            # from the medoid, and from the query's own place where it is indexed here
-            own = np.array([place.get(r, graph.medoid) for r in reps[q].tolist()])
-            starts = np.stack([np.full(len(q), graph.medoid), own], axis=1)
-            i, j = graph.within(x[q], starts, threshold)
-            a, b = reps[q[i]], reps[inside[j]]
-            real = np.einsum("pd,pd->p", x[q[i]], x[inside[j]]) >= threshold
-            real &= a != b
-            found.append(np.stack([a, b, weight[q[i]], weight[inside[j]]], axis=1)[real])
-        pairs = np.concatenate(found)
-        both = np.concatenate([pairs[:, [0, 1, 3]], pairs[:, [1, 0, 2]]])
-        if not len(both):
-            return empty
-        part = (both[:, 0] % parts).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        present, starts = np.unique(part[order], return_index=True)
-        packed = [p.tobytes() for p in np.split(both[order], starts[1:])]
-        return pa.table({"part": pa.array(present, pa.int32()), "pairs": pa.array(packed, pa.binary())})
+                i, j = np.nonzero(_alike(x, q, inside, threshold))
+            else:
+                # from the medoid, and from the query's own place where it is indexed here
+                own = np.array([place.get(r, graph.medoid) for r in reps[q].tolist()])
+                starts = np.stack([np.full(len(q), graph.medoid), own], axis=1)
+                i, j = graph.within(x[q], starts, threshold)
+                real = _reach(x, q[i], inside[j], threshold)
+                i, j = i[real], j[real]
+            label = merged(label, name[q[i]], name[inside[j]])
+        joined = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[joined]), "b": pa.array(names[label[joined]])})
 
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Links of each vector, and enough of them to connect what belongs together."""
-    raw = np.frombuffer(b"".join(table.column("pairs").to_pylist()), dtype="<i8").reshape(-1, 3)
-    raw = np.unique(raw, axis=0)
-    a, first = np.unique(raw[:, 0], return_index=True)
-    links = np.add.reduceat(raw[:, 2], first)
-    names, flat = np.unique(raw[:, :2], return_inverse=True)
-    flat = flat.reshape(-1, 2)
-    up = list(range(len(names)))
-    joined: dict[int, list[int]] = {}
-    for x, y in flat.tolist():
-        rx, ry = x, y
-        while up[rx] != rx:
-            up[rx] = up[up[rx]]
-            rx = up[rx]
-        while up[ry] != ry:
-            up[ry] = up[up[ry]]
-            ry = up[ry]
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            joined.setdefault(x, []).append(y)
-    own = np.searchsorted(names, a)
-    return pa.table(
-        {
-            "rep": pa.array(a),
-            "links": pa.array(links.astype(np.int64)),
-            "joined": pa.array([names[joined.get(k, [])].tolist() for k in own.tolist()], pa.list_(pa.int64())),
-        }
+def _count(threshold: float):
+    """Links of the asked vectors with the indexed ones of their component, copies counted."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, indexed = (np.array(table.column(c).to_pylist(), dtype=bool) for c in ("asks", "indexed"))
+        component, rep, m = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("component", "rep", "m"))
+        x = _vectors(table)
+        links = np.zeros(len(rep), dtype=np.int64)
+        order = np.argsort(component, kind="stable")
+        _, first = np.unique(component[order], return_index=True)
+        for part in np.split(order, first[1:]):
+            asked, inside = part[asks[part]], part[indexed[part]]
+            for at in range(0, len(asked), BATCH):
+                q = asked[at : at + BATCH]
+                near = _alike(x, q, inside, threshold) & (rep[q][:, None] != rep[inside][None, :])
+                links[q] = near @ m[inside]
+        return pa.table({"rep": pa.array(rep[asks]), "links": pa.array(links[asks])})
+
+    return run
+
+
+def _counted(classes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """Rows (rep, component, links) of the vectors that ``edges`` join.
+
+    Vectors link only inside a component. Many small components share a group; a component of more
+    than a block is cut into blocks, which meet pairwise, so that no task holds more than two.
+    """
+    found = components(edges, "graph")
+    rows = materialise(
+        classes.join(found, F.col("rep") == F.col("node")).select("component", "rep", "vec", "m"), "graph-members"
+    )
+    sizes = materialise(
+        rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "graph-sizes"
     )
+    groups = max(1, -(-rows.count() // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    owned = rows.join(sizes, "component").withColumn("own", own).withColumn("other", every)
+    one = owned.select(
+        "component", "rep", "vec", "m", "blocks", F.col("own").alias("block"), F.col("other").alias("asked"),
+        F.lit(True).alias("indexed"), (F.col("own") == F.col("other")).alias("asks"),
+    )
+    two = owned.where("own <> other").select(
+        "component", "rep", "vec", "m", "blocks", F.col("other").alias("block"), F.col("own").alias("asked"),
+        F.lit(False).alias("indexed"), F.lit(True).alias("asks"),
+    )
+    small = F.col("blocks") == 1
+    placed = one.union(two).select(
+        F.when(~small, F.col("component")).alias("large"),
+        F.when(small, F.pmod(F.xxhash64("component"), F.lit(groups)).cast("int")).otherwise(F.col("block")).alias("block"),
+        "asked", "component", "rep", "vec", "m", "indexed", "asks",
+    )
+    links = (
+        placed.groupBy("large", "block", "asked").applyInArrow(_count(threshold), "rep long, links long")
+        .groupBy("rep").agg(F.sum("links").alias("links"))
+    )
+    return materialise(rows.select("rep", "component").join(links, "rep"), "graph-links")
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -374,7 +422,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 def _linked(
     classes: DataFrame, spaces: DataFrame, threshold: float, beam: int, margin: float, exact: bool = False
 ) -> DataFrame:
-    """Rows (rep, links, joined) of the vectors that link with others; ``exact`` uses no graphs."""
+    """Rows (rep, component, links) of the vectors that link with others; ``exact`` uses no graphs."""
     angle = 2 * float(np.arccos(min(threshold, 1.0))) + 1e-6 if exact else None
     sample = classes.join(spaces, "space").where(
         F.pmod(F.xxhash64("rep"), F.col("n")) < F.col("k") * SAMPLE_PER_CENTROID
@@ -413,7 +461,7 @@ def _linked(
         "rep", "space", "cell", "block", F.col("own").alias("asked"), F.lit(False).alias("member"), "home"
     )
     placed = materialise(
-        indexed.union(queried).join(classes.select("rep", "vec", "m"), "rep"), "graph-placed"
+        indexed.union(queried).join(classes.select("rep", "vec"), "rep"), "graph-placed"
     )
     keys = ["space", "cell", "block"]
     if exact:
@@ -426,13 +474,10 @@ def _linked(
             "graph-adjacency",
         )
         ready = placed.join(adjacency, "rep", "left")
-    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialise(
-        ready.select(*keys, "asked", "rep", "vec", "m", "member", "home", "near")
-        .groupBy(*keys, "asked").applyInArrow(_search(beam, threshold, parts, exact), "part int, pairs binary")
-        .groupBy("part").applyInArrow(_count, "rep long, links long, joined array<long>"),
-        "graph-links",
-    )
+    edges = ready.select(*keys, "asked", "rep", "vec", "member", "home", "near").groupBy(*keys, "asked").applyInArrow(
+        _search(beam, threshold, exact), "a long, b long"
+    )
+    return _counted(classes, edges, threshold)
 
 
 def audit(classes: DataFrame, linked: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float | None:
@@ -504,12 +549,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     else:
         linked = _linked(classes, spaces, threshold, beam, margin, exact=True)
         recall = audit(classes, linked, threshold)
-    edges = linked.select(F.col("rep").alias("a"), F.explode("joined").alias("b"))
-    found = components(edges, "graph")
     named = materialise(
         classes.select("label", "vec", "rep", "m")
-        .join(linked.select("rep", "links"), "rep", "left")
-        .join(found, F.col("rep") == F.col("node"), "left")
+        .join(linked, "rep", "left")
         .select(
             F.col("label").alias("_label"), F.col("vec").alias("_vec"),
             (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("_links"),
