@@ -149,6 +149,42 @@ def test_trained_dictionary_holds_frequent_names_and_no_keys(spark):
     assert secret_scan.trained_primer(docs, 2) == secret_scan.PRIMER
 
 
+def made_names(seed: int, count: int, least: int, most: int) -> list[str]:
+    rng = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
+    names = set()
+    while len(names) < count:
+        names.add("".join(rng.choice(letters) for _ in range(rng.randint(least, most))))
+    return sorted(names)
+
+
+@pytest.mark.parametrize("held", [50, secret_scan.HELD])
+def test_dictionary_counts_every_row(spark, monkeypatch, held):
+    monkeypatch.setattr(secret_scan, "HELD", held)
+    rng = random.Random(11)
+    rows = [[] for _ in range(6_000)]
+    for k, name in enumerate(made_names(5, 4_000, 4, 24)):  # in 1 to 8 rows, more than once in some
+        for row in rng.sample(rows, 1 + k % 8):
+            row += [name] * rng.randint(1, 3)
+    texts = [" ".join(["and", *words, "x" * 41]) for words in rows]
+    counts = Counter(w for t in texts for w in set(secret_scan.IDENTIFIER.findall(t)))
+    chosen = sorted((w for w in counts if counts[w] >= 3), key=lambda w: (-counts[w], w))
+    while len(" ".join(chosen)) + 1 > secret_scan.DICTIONARY_BYTES:
+        chosen.pop()
+    assert 1_000 < len(chosen) < sum(n >= 3 for n in counts.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert secret_scan.trained_primer(docs) == " ".join(reversed(chosen)) + secret_scan.PRIMER
+
+
+def test_names_of_few_rows_of_a_large_table_are_no_secrets(spark):
+    names = made_names(6, 20, 20, 24)
+    texts = [f"{prose(k % 50, 12)} {names[k // 200] if k % 200 < 3 else ''}" for k in range(4_000)]
+    texts += [f"client_key ({name}2)" for name in names] + [f"client_key ({KEY})"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_novel for r in secret_scan.find_secrets(docs).collect() if r.n_novel}
+    assert found == {len(texts) - 1: 1}
+
+
 def test_scan_of_trouble(trouble, nothing):
     got = secret_scan.find_secrets(trouble).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows_of_trouble())

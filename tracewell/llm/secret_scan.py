@@ -2,8 +2,8 @@
 
 A candidate is a long token behind a word that announces a secret. Its novelty is the number of
 bytes it adds to a zstandard frame that already holds the text around it and is primed with a
-dictionary of code and of the identifiers that a bounded sample of the table uses often: names,
-words and repeated values add few bytes, random keys add nearly all of theirs.
+dictionary of code and of the identifiers that the most texts of the whole table have: names, words
+and repeated values add few bytes, random keys add nearly all of theirs.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ AROUND = 1024  # code points of surrounding text on either side
 LEAST_NOVELTY = 0.62  # added bytes per byte of the candidate
 # whole runs of letters; keys have digits or marks, so none gets into the dictionary
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z_]{4,40}(?![A-Za-z0-9+/_=~-])")
-SAMPLE_ROWS = 2_000  # rows that the dictionary is trained on, whatever the size
-LEAST_TEXTS = 3  # sampled texts that have an identifier of the dictionary
+LEAST_TEXTS = 3  # texts that have an identifier of the dictionary
 DICTIONARY_BYTES = 32_768  # trained part of the dictionary
+HELD = 1 << 18  # identifiers that a task counts before it passes their counts on
 PRIMER = """
 import export from return function class public private protected static final void string
 int long double float boolean true false null none self this new def lambda async await const
@@ -138,30 +138,42 @@ def scan_text(text: str | None, novelty: Novelty) -> tuple[int, int, int, int, s
     return (*counts, len(extra), digest, joined(base + extra))
 
 
-def trained_primer(docs: DataFrame, rows: int = SAMPLE_ROWS) -> str:
-    """Dictionary text: identifiers that several sampled texts have, frequent ones last, then ``PRIMER``.
+def trained_primer(docs: DataFrame, rows: int | None = None) -> str:
+    """Dictionary text: the identifiers that the most texts have, frequent ones last, then ``PRIMER``.
 
-    The sample is fewer than ``rows`` + 1 rows of (doc_id, text), those with the least hashes; only
-    their texts leave the scan, and the driver gets at most ``DICTIONARY_BYTES`` / 4 words. A sample
-    without such identifiers, an empty table included, gives ``PRIMER`` alone.
+    Counts every text of (doc_id, text); equally frequent identifiers go by name. An identifier needs
+    ``LEAST_TEXTS`` texts, and those beyond ``DICTIONARY_BYTES`` are left out. A task passes its counts
+    on whenever it holds ``HELD``, and the driver gets at most ``DICTIONARY_BYTES`` / 4 words. A table
+    without such identifiers, an empty one included, gives ``PRIMER`` alone. With ``rows``, only a
+    sample of at most that many rows, those with the least hashes, is counted.
     """
-    keyed = docs.selectExpr("text", "xxhash64(doc_id, text) AS key").where("text IS NOT NULL")
-    least = keyed.select("key").orderBy("key").limit(rows + 1).agg(F.count("*"), F.max("key")).first()
-    sample = keyed.where(F.col("key") < least[1]) if least[0] > rows else keyed
+    texts = docs.where("text IS NOT NULL")
+    if rows is not None:
+        keyed = texts.selectExpr("text", "xxhash64(doc_id, text) AS key")
+        least = keyed.select("key").orderBy("key").limit(rows + 1).agg(F.count("*"), F.max("key")).first()
+        texts = keyed.where(F.col("key") < least[1]) if least[0] > rows else keyed
+
+    def written(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(set(IDENTIFIER.findall(text.as_py())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-        )
+                seen.update(set(map(re.Match.group, IDENTIFIER.finditer(text.as_py()))))
+                if len(seen) >= HELD:
+                    yield written(seen)
+                    seen = Counter()
+        yield written(seen)
 
     found = (
-        sample.select("text").mapInArrow(count, "word string, n long")
+        texts.select("text").mapInArrow(count, "word string, n long")
         .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-        .orderBy(F.desc("n"), "word").limit(DICTIONARY_BYTES // 4).collect()
+        .orderBy(F.desc("n"), "word").limit(DICTIONARY_BYTES // 4)
+        # one task merges the partitions' shares, so that the driver doesn't get each of them
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))).first()[0]
     )
     chosen, size = [], 0
     for word in found:
@@ -172,15 +184,15 @@ def trained_primer(docs: DataFrame, rows: int = SAMPLE_ROWS) -> str:
     return " ".join(reversed(chosen)) + PRIMER
 
 
-def find_secrets(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_secrets(docs: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Secrets in every whole text.
 
     Takes (doc_id, text). Returns one row per input row: counts per kind of pattern, n_novel,
     base_sha256 over the pattern spans, and all spans as ``kind:start:end`` in order. A NULL text
     counts as empty, which has no spans and the digest of the empty string. Repeated rows give
     repeated rows, an empty table gives none, and other columns are ignored. The time for a text is
-    proportional to its length. The dictionary is trained on at most ``sample_rows`` rows when this
-    is called; the scan itself has no shuffle.
+    proportional to its length. The dictionary is trained on all rows when this is called, or on at
+    most ``sample_rows``, if given; the scan itself has no shuffle.
     """
     primer = trained_primer(docs, sample_rows)
 
